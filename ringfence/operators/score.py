@@ -7,6 +7,7 @@ expressions, so neither the driver nor a task ever holds all of them.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -80,6 +81,7 @@ def score(
     attach: Sequence[str] = (),
     detail: bool = False,
     flag_far: bool = False,
+    timed: bool = False,
     outside_only: bool = False,
     outside_eps: float = OUTSIDE_EPS,
     broadcast_bytes: int = BROADCAST_BYTES,
@@ -90,18 +92,21 @@ def score(
     ``flag_far`` lets far rows keep their raw score. ``detail`` adds
     ``raw_score``, ``max_sim`` and ``zone``. ``attach`` copies columns of the
     model. Rows with a missing feature, or whose key has no model, score NULL.
+    ``timed`` adds ``score_seconds``, a row's share of the time its batch took in the kernel.
     ``outside_only`` keeps just the rows scoring above ``outside_eps``.
     """
     by, attach = list(by), list(attach)
     if model_bytes(models) <= broadcast_bytes:
-        return _score_broadcast(df, models, features, by, attach, detail, flag_far, outside_only, outside_eps)
+        return _score_broadcast(df, models, features, by, attach, detail, flag_far, timed, outside_only, outside_eps)
     if not by:
         raise ValueError("a single model larger than the broadcast limit: its k x k inverse could not have been fitted")
     out = score_joined(df, models, features, by, attach, detail, flag_far)
+    if timed:
+        out = out.withColumn("score_seconds", F.lit(None).cast("double"))
     return out.filter(F.col("score") > outside_eps) if outside_only else out
 
 
-def _score_broadcast(df, models, features, by, attach, detail, flag_far, outside_only, eps) -> DataFrame:
+def _score_broadcast(df, models, features, by, attach, detail, flag_far, timed, outside_only, eps) -> DataFrame:
     spark = df.sparkSession
     fields = ["sv", "alpha", "radius", "sigma", "eps_near", "eps_far", "seen", "n_sv", "dim"]
     rows = models.select(*by, *attach, *fields).collect()
@@ -118,6 +123,7 @@ def _score_broadcast(df, models, features, by, attach, detail, flag_far, outside
         + [kinds[a] for a in attach]
         + [T.StructField("score", T.DoubleType())]
         + (_detail_fields() if detail else [])
+        + ([T.StructField("score_seconds", T.DoubleType())] if timed else [])
     )
     attach_types = [pa.int64() if isinstance(kinds[a].dataType, T.LongType) else None for a in attach]
     by_list, names = list(by), list(features) if not isinstance(features, str) else features
@@ -128,6 +134,7 @@ def _score_broadcast(df, models, features, by, attach, detail, flag_far, outside
             n = batch.num_rows
             if n == 0:
                 continue
+            clock = time.perf_counter()
             x = matrix(batch, names)
             outs = [np.full(n, np.nan) for _ in range(3)]
             zones = np.full(n, None, dtype=object)
@@ -161,6 +168,8 @@ def _score_broadcast(df, models, features, by, attach, detail, flag_far, outside
             if detail:
                 cols += [pa.array(outs[1], mask=np.isnan(outs[1])), pa.array(outs[2], mask=np.isnan(outs[2]))]
                 cols.append(pa.array(zones.tolist(), type=pa.string()))
+            if timed:
+                cols.append(pa.array(np.full(n, (time.perf_counter() - clock) / n)))
             made = pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
             if outside_only:
                 made = made.filter(pa.array(np.nan_to_num(outs[0], nan=-1.0) > eps))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ringfence.operators.analysis import stacked
@@ -35,12 +34,9 @@ def read(spark: SparkSession, path: str, schema: T.StructType | DatasetSpec | No
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path can be read from, on any file system Spark reaches."""
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).schema
-        return True
-    except AnalysisException:
-        return False
+    """Whether a path exists, on any file system Spark reaches; nothing is listed."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def read_present(spark: SparkSession, paths: Mapping[str, str], schema=None, fmt: str | None = None) -> DataFrame | None:
