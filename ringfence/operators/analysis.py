@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ringfence.functions.columns import known
 from ringfence.operators.rank import quantiles
+from ringfence.session import cut
 from ringfence.spec import AnomalyRule
 
 # Limits of the rule diagnosis.
@@ -87,7 +88,7 @@ def diagnosis(df: DataFrame, features: Sequence[str], target: str, rule: Anomaly
 
 def feature_screen(df: DataFrame, features: Sequence[str], target: str, least: float = 0.2, most: float = 0.9) -> DataFrame:
     """(feature, r, kept, reason): drop weak features and the weaker one of a redundant pair."""
-    matrix = correlations(df, [*features, target])
+    matrix = cut(correlations(df, [*features, target]), "corr")  # one row per pair, read several times
     to_target = matrix.filter((F.col("feature_b") == target) & (F.col("feature_a") != target)).select(
         F.col("feature_a").alias("feature"), "r"
     )

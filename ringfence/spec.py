@@ -55,7 +55,7 @@ class DatasetSpec:
 
     def schema(self, extra: tuple[str, ...] = ("content", "file")) -> T.StructType:
         """Read schema: features and target as doubles, ``extra`` as strings."""
-        numeric = list(self.features) + ([self.target] if self.target else [])
+        numeric = list(dict.fromkeys([*self.features, *([self.target] if self.target else [])]))
         return T.StructType(
             [T.StructField(c, T.DoubleType()) for c in numeric]
             + [T.StructField(c, T.StringType()) for c in extra]
