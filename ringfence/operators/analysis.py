@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ringfence.functions.columns import known
 from ringfence.operators.rank import quantiles
+from ringfence.operators.score import matrix
 from ringfence.session import cut
 from ringfence.spec import AnomalyRule
 
@@ -16,36 +18,68 @@ from ringfence.spec import AnomalyRule
 WEAK, FEW_GOOD, STRONG_NEGATIVE, ALL_WEAK = 0.1, 100, -0.5, 0.3
 
 
+def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per ordered pair (feature_a, feature_b): rows where both are known, and sums over them.
+
+    Values are taken relative to the column means, so that the sums do not cancel.
+    Every task adds up its own d x d matrices and hands on one row per pair.
+    """
+    names, d = list(columns), len(columns)
+    lean = df.select(*[known(F.col(c)).alias(f"c{i}") for i, c in enumerate(names)])
+    stats = lean.agg(
+        *[F.avg(f"c{i}").alias(f"m{i}") for i in range(d)], *[F.max(F.abs(f"c{i}")).alias(f"x{i}") for i in range(d)]
+    ).first()
+    mean = np.array([stats[f"m{i}"] or 0.0 for i in range(d)])
+    # below this, a spread is rounding noise of a constant
+    floor = [(1e-12 * (stats[f"x{i}"] or 0.0)) ** 2 for i in range(d)]
+    at = np.indices((d, d)).reshape(2, -1)
+
+    def run(batches):
+        total = np.zeros((4, d, d))
+        for batch in batches:
+            x = matrix(batch, batch.schema.names)
+            have = np.isfinite(x)
+            x = np.where(have, x - mean, 0.0)
+            have = have.astype(float)
+            total += np.array([have.T @ have, x.T @ have, (x * x).T @ have, x.T @ x])
+        yield pa.RecordBatch.from_pydict({
+            "a": at[0].astype(np.int32), "b": at[1].astype(np.int32),
+            **{n: t.ravel() for n, t in zip(("n", "sx", "sxx", "sxy"), total)},
+        })
+
+    cells = lean.mapInArrow(run, "a int, b int, n double, sx double, sxx double, sxy double")
+    sums = cells.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")])
+    label = F.array(*[F.lit(c) for c in names])
+    low = F.array(*[F.lit(v) for v in floor])
+    spread = F.greatest(F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n")), F.lit(0.0))
+    return sums.select(
+        F.get(label, "a").alias("feature_a"), F.get(label, "b").alias("feature_b"), "n", "sx", "sxy",
+        F.when(spread > F.col("n") * F.get(low, "a"), spread).otherwise(0.0).alias("spread"),
+    )
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long Pearson matrix (feature_a, feature_b, r) in one pass; NULL for a constant column.
+    """Long Pearson matrix (feature_a, feature_b, r); NULL for a constant column.
 
     Every pair uses the rows where both values are known.
     """
-    cells = []
-    for a, b in combinations_with_replacement(columns, 2):
-        x, y = known(F.col(a)), known(F.col(b))
-        both = x.isNotNull() & y.isNotNull()
-        sx, sy = F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))
-        r = F.try_divide(F.covar_pop(x, y), sx * sy)
-        cells.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), r.alias("r")))
-    upper = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-    mirror = upper.filter("feature_a <> feature_b").select(
-        F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "r"
+    cells = cut(moments(df, columns), "moments")  # one row per pair of columns
+    other = cells.select(
+        F.col("feature_a").alias("feature_b"), F.col("feature_b").alias("feature_a"),
+        F.col("sx").alias("sy"), F.col("spread").alias("spread_b"),
+    )
+    co = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    return cells.join(other, ["feature_a", "feature_b"]).select(
+        "feature_a", "feature_b", F.try_divide(co, F.sqrt(F.col("spread") * F.col("spread_b"))).alias("r")
     )
-    return upper.unionByName(mirror)
 
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """(feature, r) with the target, strongest positive first."""
-    cells = []
-    for c in features:
-        x, y = known(F.col(c)), known(F.col(target))
-        both = x.isNotNull() & y.isNotNull()
-        r = F.try_divide(
-            F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-        )
-        cells.append(F.struct(F.lit(c).alias("feature"), r.alias("r")))
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells")).orderBy(F.desc_nulls_last("r"), "feature")
+    pairs = correlations(df, [*features, target])
+    return pairs.filter((F.col("feature_b") == target) & (F.col("feature_a") != target)).select(
+        F.col("feature_a").alias("feature"), "r"
+    ).orderBy(F.desc_nulls_last("r"), "feature")
 
 
 def class_means(df: DataFrame, features: Sequence[str], label: str | Column, name: str = "label") -> DataFrame:

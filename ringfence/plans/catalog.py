@@ -39,7 +39,7 @@ ITEMS = DatasetSpec(
 )
 EVENTS = DatasetSpec(
     name="events",
-    features=("value", "k"),
+    features=("value", "hour"),
     target="k",
     clip=("value",),
     log=("value",),
@@ -66,12 +66,16 @@ def _r(c, digits: int = 6):
 
 
 def _events(spark, sf) -> DataFrame:
-    """Events with the number inside ``props`` as column ``k``."""
+    """Events with the number inside ``props`` as ``k`` and the time of day as ``hour``."""
     return _with_k(_t(spark, sf, "events"))
 
 
 def _with_k(df: DataFrame) -> DataFrame:
-    return df.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    day = F.lit(86_400_000_000)
+    return df.withColumns({
+        "k": F.get_json_object("props", "$.k").cast("double"),
+        "hour": F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), day) / F.lit(3.6e9),
+    })
 
 
 def _vectors(spark, sf) -> DataFrame:
@@ -549,22 +553,22 @@ def spread_of_metrics(spark, sf):
 
 @query
 def iforest(spark, sf):
-    rows = _events(spark, sf).select("event_id", "value", "k")
-    forest = baselines.fit_forest(rows, ["value", "k"], ["event_id"])
-    return baselines.score_forest(rows, forest, ["value", "k"]).select("event_id", "score")
+    rows = _events(spark, sf).select("event_id", *EVENTS.features)
+    forest = baselines.fit_forest(rows, EVENTS.features, ["event_id"])
+    return baselines.score_forest(rows, forest, EVENTS.features).select("event_id", "score")
 
 
 @query
 def linear_svm(spark, sf):
     rows = _item_vectors(spark, sf)
-    out = baselines.fit_linear_svm(rows, ITEM_FEATURES, steps=25).score(rows)
+    out = baselines.fit_linear_svm(rows, ITEM_FEATURES).score(rows)
     return out.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("score") > 0, 1.0).otherwise(0.0)).alias("outside"))
 
 
 @query
 def rbf_svm(spark, sf):
     rows = _item_vectors(spark, sf)
-    out = baselines.fit_rbf_svm(rows, ITEM_FEATURES, size=64, steps=25).score(rows)
+    out = baselines.fit_rbf_svm(rows, ITEM_FEATURES, size=64).score(rows)
     return out.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("score") > 0, 1.0).otherwise(0.0)).alias("outside"))
 
 
@@ -704,15 +708,15 @@ def _event_detector(spark, sf, mode="single"):
 
 @query
 def stream_score_only(spark, sf):
-    """Events on a stream against the per-type means of log value and k."""
+    """Events on a stream against the per-type means of log value and hour."""
     events = _events(spark, sf)
     ready = prep.prepare(events, EVENTS)
     scaler = prep.fit_scaler(ready, EVENTS.features)
-    centers = scaler.transform(ready).groupBy("event_type").agg(F.array(F.avg("value"), F.avg("k")).alias("center"))
+    centers = scaler.transform(ready).groupBy("event_type").agg(F.array(F.avg("value"), F.avg("hour")).alias("center"))
     model = cut(uniform_model(centers, "center", "event_type", sigma=1.0, radius=0.5), "refs")
     taus = spark.range(1).select(F.lit(0.0).alias("tau"))
     detector = Detector(EVENTS, scaler, {}, model, taus, 1.0)
-    out = stream_scoring.score_stream(_with_k(_stream(spark, sf)).select("event_id", "value", "k"), detector)
+    out = stream_scoring.score_stream(_with_k(_stream(spark, sf)).select("event_id", "value", "hour"), detector)
     done = stream_sources.run_available(out.select("event_id", "score", "is_anomaly"))
     return done.select("event_id", _r("score").alias("score"), F.col("is_anomaly").cast("long").alias("is_anomaly"))
 

@@ -252,7 +252,7 @@ SQL: dict[str, str] = {
         round(sum(value), 2) as total from events group by 1, 2""",
     "stream_window_features": _windows(3600, False),
     "stream_score_only": f"""
-        with p as (select event_id, event_type, ln(1 + greatest(value, 0)) as v, k from ({EVENTS_K})),
+        with p as (select event_id, event_type, ln(1 + greatest(value, 0)) as v, (epoch_us(ts) % 86400000000) / 3.6e9 as k from events),
         z as (select event_id, event_type, (v - avg(v) over ()) / stddev_pop(v) over () as v,
                      (k - avg(k) over ()) / stddev_pop(k) over () as k from p),
         c as (select event_type, avg(v) as v, avg(k) as k from z group by 1),
