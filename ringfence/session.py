@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,26 @@ def build_session(app: str = "ringfence", master: str | None = None, **conf) ->
     }
     for name, value in settings.items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, for use inside tasks."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        home = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="run-"), "ringfence.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(home):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(home)))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
