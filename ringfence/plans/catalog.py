@@ -15,6 +15,7 @@ from ringfence.plans.train import Detector, load, train
 from ringfence.plans.update import update_stored
 from ringfence.session import cut, new_path
 from ringfence.sources import arrays, records, tables
+from ringfence.sources.models import headers
 from ringfence.spec import AnomalyRule, DatasetSpec
 from ringfence.streaming import adaptive, score as stream_scoring, sources as stream_sources, update as stream_update
 from ringfence.streaming import windows as stream_windows
@@ -743,4 +744,4 @@ def stream_learn(spark, sf):
     _event_detector(spark, sf).save(path, version=0)
     writer = stream_update.learn_batches(_with_k(_stream(spark, sf)), path, EVENTS, "ts", ["event_id"])
     writer.option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/model_header").select("version", "parent_version", "n_sv", "seen", "tau", "new_rows")
+    return headers(spark, path, EVENTS.name).select("version", "parent_version", "n_sv", "seen", "tau", "new_rows")

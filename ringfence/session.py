@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,6 +53,21 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def by_value():
+    """Pickle this package's code by value.
+
+    The stateful operator first starts on the driver in a process that does not
+    look into shipped archives.
+    """
+    package = sys.modules["ringfence"]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 

@@ -19,6 +19,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ringfence.functions.kernel import MODEL_FIELDS, Boundary, fit, from_fields, to_fields
 from ringfence.plans.train import Detector
+from ringfence.session import by_value
 from ringfence.spec import DatasetSpec
 
 _STATE = MODEL_FIELDS + ", tau double, since_refit bigint, buffer array<double>"
@@ -149,10 +150,11 @@ def adapt_stream(
         default = {**r, "tau": detector.taus.first()["tau"], "since_refit": 0, "buffer": []}
     kinds = {f.name: f for f in ready.schema.fields}
     out = T.StructType([kinds[c] for c in kept] + _parse_datatype_string(_RESULT).fields)
-    return ready.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Adapt(keys, kept, names, order, spec, default, options),
-        outputStructType=out, outputMode="Append", timeMode="None", initialState=initial,
-    )
+    with by_value():
+        return ready.groupBy(*keys).transformWithStateInPandas(
+            statefulProcessor=_Adapt(keys, kept, names, order, spec, default, options),
+            outputStructType=out, outputMode="Append", timeMode="None", initialState=initial,
+        )
 
 
 def status(results: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
