@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ringfence.operators.fit import CHUNK_ROWS, fit_steps
+from ringfence.operators.fit import fit_steps
 from ringfence.operators.metrics import decisions, ranking, spread
 from ringfence.operators.score import score
 from ringfence.operators.splits import fold_count, with_folds
@@ -40,7 +40,7 @@ def cross_validate(
     ties: Sequence[str] = (),
     folds: int | None = None,
     seed: int = 42,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(fold records, scored test rows). Each fold is fitted on the normal rows of the others.
 

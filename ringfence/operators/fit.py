@@ -25,7 +25,9 @@ from ringfence.operators.rank import ROWS_PER_BUCKET, as_position, row_index
 from ringfence.operators.score import matrix, score
 from ringfence.session import cut
 
-CHUNK_ROWS = 250_000
+# Feature cells one task may hold at once, and the width assumed for an array column.
+CHUNK_CELLS = 6_000_000
+ARRAY_WIDTH = 64
 COUNTERS = ("processed", "added", "removed")
 
 _BATCH = "array<struct<batch bigint, processed bigint, added bigint, removed bigint, n_sv bigint>>"
@@ -48,6 +50,10 @@ _STEP_TYPES = {
 MODEL_COLUMNS = [f.strip().split()[0] for f in MODEL_FIELDS.split(",")]
 
 
+def rows_per_task(features: Sequence[str] | str) -> int:
+    return CHUNK_CELLS // (ARRAY_WIDTH if isinstance(features, str) else max(1, len(features)))
+
+
 def _key_fields(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
     kinds = {f.name: f for f in df.schema.fields}
     return [T.StructField(k, kinds[k].dataType) for k in by]
@@ -181,7 +187,7 @@ def fit_steps(
     seed: str = "first",
     batch_rows: int | None = None,
     trace: bool = False,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> tuple[DataFrame, DataFrame]:
     """(models, steps): the sequential fit per key, and what each learned chunk did.
@@ -189,8 +195,10 @@ def fit_steps(
     ``models`` given: continue those (an incremental update); keys without rows
     keep their model. ``sigma`` may name a column that is constant within a key.
     The result equals one pass over each key's rows in (``order_col``, ``ties``)
-    order, whatever the number of rows per key.
+    order, whatever the number of rows per key. ``chunk_rows`` bounds what one
+    task learns (default: ``CHUNK_CELLS`` divided by the number of features).
     """
+    chunk_rows = chunk_rows or rows_per_task(features)
     by = list(by)
     ties = list(ties)
     lean = _lean(df, by, features, sigma, order_col, ties)

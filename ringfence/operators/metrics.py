@@ -24,7 +24,9 @@ def ranked_scores(
     previous: bool = False,
 ) -> DataFrame:
     """Per distinct score: pos, neg, their counts below, and totals per group."""
-    rows = df.count() if rows is None else rows
+    if rows is None:
+        # the largest group decides how finely values are cut
+        rows = (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) if by else df.count()
     cuts = cut_points(df, F.nullif(F.col(score).cast("double"), F.lit(float("nan"))), rows, rows_per_bucket)
     return running_totals(value_histogram(df, score, by, label), score, ["pos", "neg"], by, cuts, previous)
 

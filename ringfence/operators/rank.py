@@ -175,6 +175,54 @@ def row_index(
     )
 
 
+def _ranked(df: DataFrame, value: str, by: list[str], rows_per_bucket: int, rows: int | None) -> DataFrame:
+    """Values with their counts and the counts below, choosing buckets by the largest group."""
+    if rows is None:
+        sizes = df.groupBy(*by).count().agg(F.max("count")).first()[0] if by else df.count()
+        rows = sizes or 0
+    known = df.filter(~F.isnan(F.col(value).cast("double")))
+    cuts = cut_points(known, F.col(value).cast("double"), rows, rows_per_bucket)
+    return running_totals(value_histogram(df, value, by), value, ["n"], by, cuts)
+
+
+# A sketch places a wanted rank within rows / SKETCH; the bracket around it is SLACK times wider.
+SKETCH, SLACK = 10_000, 3
+
+
+def order_statistics(df: DataFrame, value: str, ranks: Sequence[int], rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> dict[int, tuple[float, int, int]]:
+    """rank -> (value, rows below it, rows equal to it) for close 0-based ranks of a whole column.
+
+    A sketch gives a bracket around the ranks; one pass counts the rows under it,
+    and only the values inside it are shuffled. ``rows`` is the number of known values.
+    """
+    v = F.col("_v")
+    known = df.select(F.nullif(F.col(value).cast("double") + F.lit(0.0), F.lit(float("nan"))).alias("_v")).filter(v.isNotNull())
+    low, high = min(ranks), max(ranks)
+    brackets = [(float("-inf"), float("inf"))]
+    if rows > rows_per_bucket:
+        ends = [max(0.0, low / rows - SLACK / SKETCH), min(1.0, high / rows + SLACK / SKETCH)]
+        found = known.agg(F.percentile_approx(v, ends, SKETCH)).first()[0]
+        # the wide bracket stays as the answer to a sketch that missed
+        brackets.insert(0, (float("-inf") if ends[0] == 0 else found[0], float("inf") if ends[1] == 1 else found[1]))
+    for lo, hi in brackets:
+        below = 0 if lo == float("-inf") else known.filter(v < lo).count()
+        near = known.filter((v >= lo) & (v <= hi))
+        expected = rows if lo == float("-inf") and hi == float("inf") else int(rows * 4 * SLACK / SKETCH) + high - low
+        cuts = cut_points(near, v, expected, rows_per_bucket)
+        cells = running_totals(value_histogram(near, "_v"), "_v", ["n"], (), cuts)
+        first, after = F.col("n_before") + below, F.col("n_before") + F.col("n") + below
+        wanted = F.lit(False)
+        for r in ranks:
+            wanted = wanted | ((first <= r) & (F.lit(r) < after))
+        hits = cells.filter(wanted).select("_v", first.alias("first"), "n").collect()
+        out = {}
+        for r in ranks:
+            out.update({r: (h["_v"], h["first"], h["n"]) for h in hits if h["first"] <= r < h["first"] + h["n"]})
+        if len(out) == len(set(ranks)):
+            return out
+    raise ValueError(f"ranks {list(ranks)} are not among {rows} known values of '{value}'")
+
+
 def quantiles(
     df: DataFrame,
     value: str,
@@ -185,11 +233,15 @@ def quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one output column per entry of ``probs``.
 
-    Unlike ``percentile``, no task holds all distinct values of a group.
+    Unlike ``percentile``, no task holds all distinct values of a group. NULL and
+    NaN are left out.
     """
-    rows = df.count() if rows is None else rows
-    cuts = cut_points(df.filter(~F.isnan(F.col(value).cast("double"))), F.col(value).cast("double"), rows, rows_per_bucket)
-    ranked = running_totals(value_histogram(df, value, by), value, ["n"], by, cuts)
+    by = list(by)
+    if not by:
+        known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).count()
+        if known > rows_per_bucket:
+            return _whole_quantiles(df, value, probs, known, rows_per_bucket)
+    ranked = _ranked(df, value, by, rows_per_bucket, rows)
     first, after, v = F.col("n_before"), F.col("n_before") + F.col("n"), F.col(value)
     aggs = []
     for name, q in probs.items():
@@ -208,3 +260,16 @@ def quantiles(
             for n in probs
         ],
     )
+
+
+def _whole_quantiles(df, value, probs, rows, rows_per_bucket) -> DataFrame:
+    """Quantiles of a whole long column from bracketed order statistics; one row."""
+    found = {}
+    for name, q in probs.items():
+        spot = q * (rows - 1)
+        low = int(spot)
+        ranks = sorted({low, min(low + 1, rows - 1)})
+        got = order_statistics(df, value, ranks, rows, rows_per_bucket)
+        a, b = got[ranks[0]][0], got[ranks[-1]][0]
+        found[name] = a + (b - a) * (spot - low)
+    return df.sparkSession.range(1).select(*[F.lit(v).alias(n) for n, v in found.items()])

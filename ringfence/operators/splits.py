@@ -7,7 +7,9 @@ from math import ceil
 
 from pyspark.sql import DataFrame, functions as F
 
-from ringfence.operators.rank import cut_points, row_index, running_totals, value_histogram
+from ringfence.operators.rank import (
+    ROWS_PER_BUCKET, as_position, cut_points, order_statistics, row_index, running_totals, value_histogram,
+)
 from ringfence.operators.sampling import hash_number
 from ringfence.spec import DatasetSpec
 
@@ -40,11 +42,30 @@ def holdout_last_groups(df: DataFrame, group: str, order_col: str, n: int = 3) -
     return df.join(held, group, "left_anti"), df.join(held, group, "left_semi")
 
 
-def holdout_tail(df: DataFrame, order_col: str, ties=(), share: float = 0.8, **rank) -> tuple[DataFrame, DataFrame]:
-    """(train, test): test starts at row int(share * n) in order."""
-    placed = row_index(df, order_col, ties, name="_at", total="_all", **rank)
-    late = F.col("_at") >= F.floor(F.col("_all") * F.lit(share))
-    return placed.filter(~late).drop("_at", "_all"), placed.filter(late).drop("_at", "_all")
+def holdout_tail(
+    df: DataFrame, order_col: str, ties: Sequence[str] = (), share: float = 0.8, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> tuple[DataFrame, DataFrame]:
+    """(train, test): test starts at row int(share * n) in (``order_col``, hash of ``ties``) order.
+
+    Only the position of the first test row is looked up; the rows themselves are
+    filtered, not moved.
+    """
+    kind = dict(df.dtypes)[order_col]
+    at = as_position(F.col(order_col), kind) + F.lit(0.0)
+    rows = df.filter(F.col(order_col).isNotNull()).count()
+    first = int(rows * share)
+    if first >= rows:
+        return df, df.limit(0)
+    edge, below, same = order_statistics(df.select(at.alias("_at")), "_at", [first], rows, rows_per_bucket)[first]
+    late = at >= edge
+    if same > 1 and first > below and ties:
+        # the cut falls among rows with equal order: the hash of their ties decides, as in row_index
+        tie = F.shiftright(F.xxhash64(*ties), 11)
+        inside = df.filter(at == edge).select(tie.alias("_tie"))
+        limit = order_statistics(inside, "_tie", [first - below], same, rows_per_bucket)[first - below][0]
+        late = (at > edge) | ((at == edge) & (tie >= int(limit)))
+    late = F.coalesce(late, F.lit(False))
+    return df.filter(~late), df.filter(late)
 
 
 def min_group_size(df: DataFrame, group: str, least: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ringfence.operators.fit import CHUNK_ROWS, fit_steps
+from ringfence.operators.fit import fit_steps
 from ringfence.operators.score import score
 from ringfence.operators.threshold import threshold
 from ringfence.plans.train import Detector, load
@@ -25,7 +25,7 @@ def update(
     threshold_scope: str = "new",
     earlier: DataFrame | None = None,
     batch_rows: int | None = None,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> Detector:
     """Learn ``df`` with the frozen scaler and take a new threshold.
 

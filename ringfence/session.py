@@ -13,6 +13,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROW_GROUP_BYTES = 8 << 20
+
+
 def build_session(app: str = "ringfence", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the library relies on.
 
@@ -98,5 +101,6 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.mode("error").parquet(path)
+    # small row groups let the next scan split a file over all cores
+    df.write.mode("error").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -186,6 +186,14 @@ def test_last_groups_ignore_null_and_keep_train_whole(groups):
     assert train.count() + test.count() == len(pdf)
 
 
+def test_tail_splits_ties_by_hash(spark):
+    df = spark.range(1000).withColumn("t", F.lit(7))
+    train, test = splits.holdout_tail(df, "t", ["id"], rows_per_bucket=80)
+    assert (train.count(), test.count()) == (800, 200)
+    again = splits.holdout_tail(df.repartition(5), "t", ["id"])[1]
+    assert sorted(r["id"] for r in again.collect()) == sorted(r["id"] for r in test.collect())
+
+
 def test_tail_groups_and_batches(groups):
     pdf, df = groups
     train, test = splits.holdout_tail(df, "id", rows_per_bucket=90)

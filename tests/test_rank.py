@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ringfence.operators.rank import cut_points, quantiles, row_index, running_totals, value_histogram
+from ringfence.operators.rank import cut_points, order_statistics, quantiles, row_index, running_totals, value_histogram
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +86,12 @@ def test_hot_value_is_spread_over_buckets(skewed):
 def test_quantiles_skip_null_and_nan(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (2.0,), (3.0,), (7.0,)], "v double")
     assert quantiles(df, "v", {"q": 0.9}).first()["q"] == pytest.approx(5.8)
+
+
+@pytest.mark.parametrize("per_bucket", [10_000, 50])
+def test_order_statistics(skewed, per_bucket):
+    pdf, df = skewed
+    v = np.sort(pdf.v)
+    for k in (0, 1, 1500, 2999):
+        value, below, same = order_statistics(df, "v", [k], len(v), per_bucket)[k]
+        assert value == v[k] and below == (v < value).sum() and same == (v == value).sum()

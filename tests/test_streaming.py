@@ -90,7 +90,7 @@ def test_adaptive_stream_equals_replay(spark, tmp_path, rows, detector, options)
     assert table.loc[300, "is_anomaly"] == 0 and pd.isna(table.loc[300, "score"])
     assert table.loc[120, "score"] == -1.0 and table.loc[120, "is_anomaly"] == 0
     last = status(got, ["k"], ["t"]).toPandas().set_index("k")
-    assert last.loc["hot", "buffer_size"] == 8 and (last.seen_since_refit < 5).all()
+    assert 3 < last.loc["hot", "buffer_size"] <= 8 and (last.seen_since_refit < 5).all()
 
 
 def test_decision_before_update_threshold_after(detector):
