@@ -23,7 +23,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ringfence.functions.kernel import MODEL_FIELDS, Boundary, from_fields, to_fields
 from ringfence.operators.rank import ROWS_PER_BUCKET, as_position, row_index
 from ringfence.operators.score import matrix, score
-from ringfence.session import cut
+from ringfence.session import cut, join_small
 
 # Feature cells one task may hold at once, and the width assumed for an array column.
 CHUNK_CELLS = 6_000_000
@@ -234,7 +234,7 @@ def fit_steps(
         done.append(current.join(upcoming, by, "left_anti").select(*by, *MODEL_COLUMNS))
         if upcoming.isEmpty():
             break
-        part = numbered.join(upcoming, [*by, "_chunk"], "left_semi")
+        part = join_small(numbered, upcoming, [*by, "_chunk"], "left_semi")
         moving = current.join(upcoming, by, "left_semi")
         stepped = _group_step(part.drop("_chunk"), moving, by, *args).join(
             upcoming.withColumnRenamed("_chunk", "chunk"), by

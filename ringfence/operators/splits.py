@@ -11,6 +11,7 @@ from ringfence.operators.rank import (
     ROWS_PER_BUCKET, as_position, cut_points, order_statistics, row_index, running_totals, value_histogram,
 )
 from ringfence.operators.sampling import hash_number
+from ringfence.session import cut, join_small
 from ringfence.spec import DatasetSpec
 
 
@@ -145,7 +146,7 @@ def group_folds(df: DataFrame, group: str, folds: int | None = None, seed: int =
         name="_at", total=None,
     )
     return (
-        ranked.join(plan, "n_rows")
+        join_small(ranked, plan, "n_rows")
         .filter((F.col("_at") >= F.col("lo")) & (F.col("_at") < F.col("hi")))
         .select(group, "n_rows", "fold")
     )
@@ -153,5 +154,5 @@ def group_folds(df: DataFrame, group: str, folds: int | None = None, seed: int =
 
 def with_folds(df: DataFrame, group: str, folds: int | None = None, seed: int = 42) -> DataFrame:
     """Add ``fold``; a group never straddles folds. A NULL group counts as one group."""
-    table = group_folds(df, group, folds, seed).select(F.col(group).alias("_g"), "fold")
-    return df.join(table, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+    table = cut(group_folds(df, group, folds, seed).select(F.col(group).alias("_g"), "fold"), "folds")
+    return join_small(df, table, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")

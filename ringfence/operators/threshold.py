@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ringfence.functions.columns import flag
 from ringfence.operators.rank import quantiles, row_index
+from ringfence.session import join_small
 
 EWMA_CHUNK = 1_000_000
+LAST_SALTS = 64
 
 
 def threshold(scored: DataFrame, q: float, by: Sequence[str] = (), score: str = "score", **rank) -> DataFrame:
@@ -24,7 +26,7 @@ def flagged(scored: DataFrame, taus: DataFrame | float, by: Sequence[str] = (),
     """Add ``tau`` and ``is_anomaly`` (0/1). Without keys the threshold comes in as one scalar."""
     if isinstance(taus, DataFrame):
         if by:
-            out = scored.join(taus.select(*by, "tau"), list(by), "left")
+            out = join_small(scored, taus.select(*by, "tau"), list(by), "left")
         else:
             out = scored.withColumn("tau", taus.select("tau").scalar())
     else:
@@ -35,11 +37,14 @@ def flagged(scored: DataFrame, taus: DataFrame | float, by: Sequence[str] = (),
 def last_n(df: DataFrame, by: Sequence[str], order_col: str, n: int = 500, ties: Sequence[str] = ()) -> DataFrame:
     """The latest ``n`` rows per key, with ``age`` 1 for the newest.
 
-    Spark pushes the rank limit below the shuffle, so a hot key sends at most
-    ``n`` rows per map task.
+    Spark pushes the rank limit below the shuffle, so a hot key sends at most ``n``
+    rows per map task; those are first thinned out over ``LAST_SALTS`` tasks.
     """
     order = [F.desc(order_col), *[F.desc(t) for t in ties]]
-    return df.withColumn("age", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("age") <= n)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(order_col, *ties), F.lit(LAST_SALTS)))
+    part = Window.partitionBy(*by, "_salt").orderBy(*order)
+    few = salted.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= n).drop("_r", "_salt")
+    return few.withColumn("age", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("age") <= n)
 
 
 # -- moving threshold ---------------------------------------------------------

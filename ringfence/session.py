@@ -10,7 +10,7 @@ import zipfile
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 ROW_GROUP_BYTES = 8 << 20
@@ -93,6 +93,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/ringfence-{label}-{uuid.uuid4().hex}"
 
 
+# Rows a table may have to be sent whole to every executor.
+SMALL_ROWS = 200_000
+
+
+def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join a table that is usually small and already written out.
+
+    It is counted, and broadcast only below ``SMALL_ROWS``; the rows of a hot key
+    then stay where they are. A larger one is joined by key, where adaptive
+    execution splits hot keys.
+    """
+    return df.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small, on, how)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
