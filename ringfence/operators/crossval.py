@@ -50,11 +50,11 @@ def cross_validate(
     k, base = _folded(df, features, group, label, order_col, ties, folds, seed)
     train = _training(base, k, label)
     models, steps = fit_steps(train, features, ["cv"], order_col, ties, sigma, chunk_rows=chunk_rows)
-    learned = cut(score(train, models, features, ["cv"]).select("cv", "score"), "learned")
+    learned = cut(score(train, models, features, ["cv"], keep=()), "learned")
     taus = cut(threshold(learned, q, ["cv"]), "tau")
     test = base.withColumn("cv", F.col("fold").cast("int"))
-    names = [features] if isinstance(features, str) else list(features)
-    tested = cut(flagged(score(test, models, features, ["cv"], timed=True), taus, ["cv"]).drop(*names), "tested")
+    kept = [c for c in test.columns if c != features and c not in features]
+    tested = cut(flagged(score(test, models, features, ["cv"], kept, timed=True), taus, ["cv"]), "tested")
 
     fits = steps.groupBy("cv").agg(F.sum("fit_seconds").alias("t_train_s"))
     times = tested.groupBy("cv").agg(F.sum("score_seconds").alias("t_score_s"))
@@ -102,9 +102,9 @@ def grid_search(
     train = _training(base, k, label).withColumn("width", F.explode(widths))
     keys = ["width", "cv"]
     models, _ = fit_steps(train, features, keys, order_col, ties, "width")
-    learned = cut(score(train, models, features, keys).select(*keys, "score"), "learned")
+    learned = cut(score(train, models, features, keys, keep=()), "learned")
     test = base.withColumn("cv", F.col("fold").cast("int")).withColumn("width", F.explode(widths))
-    tested = cut(score(test, models, features, keys).select(*keys, label, "score"), "tested")
+    tested = cut(score(test, models, features, keys, keep=[label]), "tested")
     rank = ranking(tested, label=label, by=keys)
     parts = []
     for q in quantiles:

@@ -17,7 +17,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.types import _parse_datatype_string
 
 from ringfence.functions.kernel import MODEL_FIELDS, Boundary, from_fields, to_fields
@@ -227,7 +227,7 @@ def fit_steps(
         # in parallel: the first chunk of each key with a row outside its current boundary
         low = current.agg(F.min("_next")).first()[0]
         pending = score(
-            numbered.filter(F.col("_chunk") >= low), current, features, by, attach=["_next"],
+            numbered.filter(F.col("_chunk") >= low), current, features, by, keep=["_chunk"], attach=["_next"],
             outside_only=True, outside_eps=0.0,
         ).filter(F.col("_chunk") >= F.col("_next"))
         upcoming = cut(pending.groupBy(*by).agg(F.min("_chunk").alias("_chunk")), "next")
@@ -247,7 +247,8 @@ def fit_steps(
     for more in steps[1:]:
         steps_out = steps_out.unionByName(more)
     # rows of chunks that were passed over count as seen too
-    seen = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_seen"))
+    seen = cut(numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_seen")), "seen")
+    steps_out = steps_out.unionByName(_passed_over(steps_out, seen, by, chunk_rows, batch_rows))
     if models is not None:
         seen = seen.join(models.select(*by, F.col("seen").alias("_had")), by, "full").select(
             *by, (F.coalesce("_seen", F.lit(0)) + F.coalesce("_had", F.lit(0))).alias("_seen")
@@ -256,6 +257,35 @@ def fit_steps(
     return models_out, steps_out
 
 
+def _passed_over(steps: DataFrame, seen: DataFrame, by: list[str], chunk_rows: int, batch_rows: int | None) -> DataFrame:
+    """Steps of the chunks in which no row was accepted: the model as it stood, nothing added."""
+    after = F.lead("chunk").over(Window.partitionBy(*by).orderBy("chunk"))
+    gaps = (
+        steps.withColumn("_after", after).join(seen, by)
+        .withColumn("_after", F.coalesce("_after", F.ceil(F.col("_seen") / chunk_rows)))
+        .filter(F.col("_after") > F.col("chunk") + 1)
+        .withColumn("chunk", F.explode(F.sequence(F.col("chunk") + 1, F.col("_after") - 1)))
+    )
+    start = F.col("chunk") * chunk_rows
+    rows = F.least(F.lit(chunk_rows), F.col("_seen") - start).cast("long")
+    none = F.lit(0).cast("long")
+    if batch_rows:
+        first, last = F.floor(start / batch_rows), F.floor((start + rows - 1) / batch_rows)
+        batches = F.transform(F.sequence(first, last), lambda b: F.struct(
+            b.alias("batch"), F.least(F.lit(batch_rows), F.col("_seen") - b * batch_rows).cast("long").alias("processed"),
+            none.alias("added"), none.alias("removed"), F.col("n_sv").cast("long").alias("n_sv"),
+        ))
+    else:
+        batches = F.array()
+    kinds = {f.name: f.dataType for f in steps.schema.fields}
+    made = {
+        "processed": rows, "added": none, "removed": none, "sv_before": F.col("n_sv").cast("long"),
+        "fit_seconds": F.lit(0.0), "batches": batches.cast(kinds["batches"]),
+        "trace": F.lit(None).cast(kinds["trace"]),
+    }
+    return gaps.withColumns(made).select(*steps.columns)
+
+
 def fit_by_key(df, features, by, order_col, ties=(), sigma=1.0, **options) -> DataFrame:
     """One boundary per key: columns of ``by`` plus the model fields."""
     return fit_steps(df, features, by, order_col, ties, sigma, **options)[0]
@@ -277,14 +307,10 @@ def update_one(models, df, features, order_col, ties=(), **options) -> DataFrame
 
 
 def batch_stats(steps: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per learned batch: counters and the support vector count after it.
-
-    Chunks in which no row was accepted were passed over; their batches, which
-    changed nothing, do not appear.
-    """
+    """One row per batch: counters and the support vector count after it."""
     return steps.select(*by, F.inline("batches"))
 
 
 def objective_trace(steps: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Radius term after each learned row: (key, chunk, seq, radius)."""
+    """Radius term after each learned row: (key, chunk, seq, radius); constant over chunks without one."""
     return steps.select(*by, "chunk", F.posexplode("trace").alias("seq", "radius"))

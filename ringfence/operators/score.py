@@ -78,6 +78,7 @@ def score(
     models: DataFrame,
     features: Sequence[str] | str,
     by: Sequence[str] = (),
+    keep: Sequence[str] | None = None,
     attach: Sequence[str] = (),
     detail: bool = False,
     flag_far: bool = False,
@@ -92,21 +93,27 @@ def score(
     ``flag_far`` lets far rows keep their raw score. ``detail`` adds
     ``raw_score``, ``max_sim`` and ``zone``. ``attach`` copies columns of the
     model. Rows with a missing feature, or whose key has no model, score NULL.
+    ``keep`` names the columns to return next to the keys (default: all); others are
+    not read, or not sent back from Python.
     ``timed`` adds ``score_seconds``, a row's share of the time its batch took in the kernel.
     ``outside_only`` keeps just the rows scoring above ``outside_eps``.
     """
     by, attach = list(by), list(attach)
+    names = [features] if isinstance(features, str) else list(features)
+    kept = df.columns if keep is None else list(dict.fromkeys([*by, *keep]))
+    df = df.select(*dict.fromkeys([*kept, *by, *names]))
     if model_bytes(models) <= broadcast_bytes:
-        return _score_broadcast(df, models, features, by, attach, detail, flag_far, timed, outside_only, outside_eps)
+        return _score_broadcast(df, models, features, by, kept, attach, detail, flag_far, timed, outside_only, outside_eps)
     if not by:
         raise ValueError("a single model larger than the broadcast limit: its k x k inverse could not have been fitted")
     out = score_joined(df, models, features, by, attach, detail, flag_far)
+    out = out.drop(*[c for c in df.columns if c not in kept])
     if timed:
         out = out.withColumn("score_seconds", F.lit(None).cast("double"))
     return out.filter(F.col("score") > outside_eps) if outside_only else out
 
 
-def _score_broadcast(df, models, features, by, attach, detail, flag_far, timed, outside_only, eps) -> DataFrame:
+def _score_broadcast(df, models, features, by, kept, attach, detail, flag_far, timed, outside_only, eps) -> DataFrame:
     spark = df.sparkSession
     fields = ["sv", "alpha", "radius", "sigma", "eps_near", "eps_far", "seen", "n_sv", "dim"]
     rows = models.select(*by, *attach, *fields).collect()
@@ -118,8 +125,9 @@ def _score_broadcast(df, models, features, by, attach, detail, flag_far, timed,
         )
     box = spark.sparkContext.broadcast(shared)
     kinds = {f.name: f for f in models.schema.fields}
+    own = {f.name: f for f in df.schema.fields}
     schema = T.StructType(
-        df.schema.fields
+        [own[c] for c in kept]
         + [kinds[a] for a in attach]
         + [T.StructField("score", T.DoubleType())]
         + (_detail_fields() if detail else [])
@@ -162,7 +170,7 @@ def _score_broadcast(df, models, features, by, attach, detail, flag_far, timed,
                         np.isnan(best), None,
                         np.where(best < model.far, "far", np.where(best > 1 - model.near, "duplicate", "scored")),
                     )
-            cols = list(batch.columns)
+            cols = [batch.column(c) for c in kept]
             cols += [pa.array(e.tolist(), type=t) for e, t in zip(extra, attach_types)]
             cols.append(pa.array(outs[0], mask=np.isnan(outs[0])))
             if detail:

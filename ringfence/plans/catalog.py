@@ -95,7 +95,7 @@ def _fixed_scores(spark, sf, detail: bool = False) -> DataFrame:
     """All vectors scored against the class means with equal weights."""
     vectors = _vectors(spark, sf)
     model = cut(uniform_model(_class_means(vectors), "center", "label", sigma=1.0, radius=0.6), "refs")
-    return score(vectors, model, "embedding", detail=detail).drop("embedding")
+    return score(vectors, model, "embedding", keep=["vec_id", "label"], detail=detail)
 
 
 def _ranked(spark, sf) -> DataFrame:
@@ -365,7 +365,7 @@ def threshold_flags(spark, sf):
 def fit_by_key_flags(spark, sf):
     """Flagship: prepare, scale, fit per key, score, threshold and flag the whole table."""
     detector = train(_t(spark, sf, "lineitem"), ITEMS, "l_orderkey", ITEM_TIES, ["l_returnflag"])
-    scored = detector.score(_t(spark, sf, "lineitem"))
+    scored = detector.score(_t(spark, sf, "lineitem"), keep=())
     return scored.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("is_anomaly").cast("long")).alias("n_flagged")
     )
@@ -427,7 +427,7 @@ def model_roundtrip(spark, sf):
     train(early, ITEMS, "l_orderkey", ITEM_TIES, mode="single").save(path)
     update_stored(spark, path, ITEMS, late, "l_orderkey", ITEM_TIES, source="late")
     again = load(spark, path, ITEMS)
-    return again.score(items).groupBy("is_anomaly").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
+    return again.score(items, keep=()).groupBy("is_anomaly").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
 
 
 # -- evaluation -------------------------------------------------------------------

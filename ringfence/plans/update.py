@@ -47,7 +47,7 @@ def update(
     rows = vectors.select(*keys, *names)
     if threshold_scope == "all":
         rows = rows.unionByName(detector.vectors(earlier, invert_max).select(*keys, *names))
-    scored = cut(score(rows, models, names, keys).select(*keys, "score"), "scores")
+    scored = cut(score(rows, models, names, keys, keep=()), "scores")
     taus = threshold(scored, detector.spec.quantile, keys)
     if keys:
         taus = detector.taus.withColumnRenamed("tau", "_old").join(taus, keys, "full").select(

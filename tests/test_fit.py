@@ -63,6 +63,17 @@ def test_update_equals_one_longer_fit_and_keeps_idle_keys(keyed, chunk_rows):
         assert same(r, kernel_model(part, r["k"]))
 
 
+@pytest.mark.parametrize("chunk_rows", [200, 100])
+def test_batches_of_passed_over_chunks_are_listed(keyed, chunk_rows):
+    pdf, df = keyed
+    _, steps = fit_steps(df, FEATS, ["k"], "t", sigma=1.3, batch_rows=100, chunk_rows=chunk_rows)
+    _, whole = fit_steps(df, FEATS, ["k"], "t", sigma=1.3, batch_rows=100)
+    order = ["k", "batch"]
+    a, b = (batch_stats(s, ["k"]).toPandas().sort_values(order).reset_index(drop=True) for s in (steps, whole))
+    assert a.equals(b)
+    assert steps.agg({"processed": "sum"}).first()[0] == len(pdf)
+
+
 def test_batches_and_trace(keyed):
     pdf, df = keyed
     _, steps = fit_steps(df, FEATS, ["k"], "t", sigma=1.3, batch_rows=100, trace=True)
