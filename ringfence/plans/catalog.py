@@ -652,6 +652,15 @@ def latency_summary(spark, sf):
     return out.select("event_type", *[_r(c, 4).alias(c) for c in ("mean_ms", "p99_ms", "rows_per_s")])
 
 
+@query
+def latency_scored(spark, sf):
+    """Kernel time per row of scoring the whole table with per-flag models."""
+    rows = _item_vectors(spark, sf, ["l_returnflag"])
+    models = fit_by_key(rows, ITEM_FEATURES, ["l_returnflag"], "l_orderkey", ITEM_TIES, 1.66)
+    timed = cut(score(rows, models, ITEM_FEATURES, ["l_returnflag"], keep=(), timed=True), "timed")
+    return analysis.latency_summary(timed, ["l_returnflag"], "score_seconds")
+
+
 @query
 def report_order(spark, sf):
     cells = _t(spark, sf, "events").groupBy("event_type", "user_id").agg(_r(F.avg("value"), 8).alias("m"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ringfence.functions.kernel import fit, from_fields
 from ringfence.operators import analysis, baselines, crossval
-from ringfence.plans.evaluate import compare_baselines, evaluate
+from ringfence.plans.evaluate import compare_baselines, comparison_report, evaluate
 from ringfence.plans.train import load, train
 from ringfence.plans.update import update, update_stored
 from ringfence.sources import arrays, records, tables
@@ -126,7 +126,11 @@ def test_baselines_find_planted_rows(data):
     got = {r["Model"]: r["AUC"] for r in table.collect()}
     assert set(got) == {"Isolation Forest", "One-Class SVM (Linear)", "SVDD (RBF Kernel)", "Incremental SVDD"}
     assert got["Isolation Forest"] > 0.85 and got["SVDD (RBF Kernel)"] > 0.85 and got["Incremental SVDD"] > 0.85
-    assert compare_baselines(det, df, df.filter("y > 0"), ["id"]) is None
+    none = compare_baselines(det, df, df.filter("y > 0"), ["id"])
+    assert none is None
+    report = comparison_report({"demo": table, "flat": none, "more": table.withColumn("Dataset", F.lit("a"))}).collect()
+    assert [r["Dataset"] for r in report] == ["a"] * 4 + ["demo"] * 4
+    assert report[0]["AUC"] == max(got.values())
 
 
 def test_forest_does_not_depend_on_partitions(data):
