@@ -55,22 +55,16 @@ def build_directory(slots: DataFrame, capacity: int) -> list[tuple[int, int]]:
     return sorted(done, key=lambda b: b[1] << (64 - b[0]))
 
 
-def bucket_of(key: str, buckets: list[tuple[int, int]]) -> Column:
-    """Directory lookup: the bucket number of a key."""
+def with_bucket(slots: DataFrame, buckets: list[tuple[int, int]]) -> DataFrame:
+    """Directory lookup: adds the bucket number of every key. The directory has 2^depth entries."""
     depth = max(d for d, _ in buckets)
-    if depth <= 14:
-        entries = [n for n, (d, _) in enumerate(buckets) for _ in range(1 << (depth - d))]
-        return F.element_at(F.lit(entries), (leading(key, depth) + 1).cast("int"))
-    # A deep directory is mostly repeats: keep the depth, then number, of each bucket.
-    found = F.lit(None).cast("int")
-    for d in sorted({d for d, _ in buckets}):
-        known = {p: n for n, (e, p) in enumerate(buckets) if e == d}
-        at = F.array_position(F.lit(list(known)), leading(key, d)).cast("int")
-        found = F.coalesce(found, F.when(at > 0, F.get(F.lit(list(known.values())), at - 1)))
-    return found
-
-
-def dedup_exact(docs: DataFrame, capacity: int = 1 << 20) -> DataFrame:
+    own = slots.sparkSession.createDataFrame([(d, p, n) for n, (d, p) in enumerate(buckets)], "depth int, prefix long, bucket int")
+    span = F.expr(f"shiftleft(1L, {depth} - depth)")
+    entries = own.select(F.explode(F.sequence(F.col("prefix") * span, (F.col("prefix") + 1) * span - 1)).alias("_entry"), "bucket")
+    return join_small(slots.withColumn("_entry", leading("key", depth)), entries, "_entry").drop("_entry")
+
+
+def dedup_exact(docs: DataFrame, capacity: int = 1 << 16) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row; of equal texts the largest doc_id stays.
 
     Of repeated rows with that doc_id, all are marked kept: they are one document.
@@ -81,7 +75,7 @@ def dedup_exact(docs: DataFrame, capacity: int = 1 << 20) -> DataFrame:
     slot = ["key", "text_sha256", "n_bytes"]
     slots = cut(keys.groupBy(*slot).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-slots")
     buckets = build_directory(slots, capacity)
-    index = slots.withColumn("bucket", bucket_of("key", buckets))
+    index = with_bucket(slots, buckets)
     owners = min(len(buckets), int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     chain = F.row_number().over(W.partitionBy("bucket", "key").orderBy("n_bytes", "text_sha256"))
     index = cut(index.repartitionByRange(owners, "bucket", "key").withColumn("chain", chain), "exact-index")

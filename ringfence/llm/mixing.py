@@ -70,7 +70,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), most: int = 3) -> DataFr
     )
 
 
-def mix_sources(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: int = 256, shard_words: int = 1 << 22, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: int = 256, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, target and ``taken``, the words that the mix takes of each document.
 
     ``taken`` counts repeats and is at most ``most`` times the size. Per source it sums to the rounded target

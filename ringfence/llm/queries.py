@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ringfence.llm.chat import chat_digest
 from ringfence.llm.exact import dedup_exact
 from ringfence.llm.mixing import mix_sources
+from ringfence.llm.packing import pack
+from ringfence.llm.quality import fit_quality, grade_of, score_quality
 from ringfence.llm.topk import top_k
 
 
@@ -14,6 +16,21 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+KEEP = 0.8
+
+
+def quality_model(spark, sf):
+    """Fitted to the ratings of the labelled documents."""
+    ratings = table(spark, sf, "labels").select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return fit_quality(table(spark, sf, "documents"), ratings)
+
+
+def op1_quality_classifier(spark, sf):
+    """Every document; one is kept if it reaches the best grade with a probability of at least ``KEEP``."""
+    scored = score_quality(table(spark, sf, "documents"), quality_model(spark, sf), ["doc_id"])
+    return scored.withColumn("kept", F.col("tail_probability") >= KEEP)
+
+
 def op3_mix_sources(spark, sf):
     return mix_sources(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -26,6 +43,10 @@ def op7_exact_dedup(spark, sf):
     return dedup_exact(table(spark, sf, "documents"))
 
 
+def op8_sum_of_squares_packing(spark, sf):
+    return pack(table(spark, sf, "documents"))
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -36,7 +57,8 @@ def op10_chat_prefix_targets(spark, sf):
     return chat_digest(chats.union(probe))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_exact_topk, op7_exact_dedup, op10_chat_prefix_targets)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op3_mix_sources, op5_exact_topk, op7_exact_dedup, op8_sum_of_squares_packing, op10_chat_prefix_targets)}
 
 SQL = {
     "op5_exact_topk": """
