@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ringfence.llm.automaton import remove_repeated_words
 from ringfence.llm.chat import chat_digest
 from ringfence.llm.exact import dedup_exact
 from ringfence.llm.mixing import mix_sources
 from ringfence.llm.packing import pack
 from ringfence.llm.quality import fit_quality, grade_of, score_quality
+from ringfence.llm.suffix import remove_repeated_bytes
 from ringfence.llm.topk import top_k
 
 
@@ -39,6 +41,10 @@ def op5_exact_topk(spark, sf):
     return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_suffix_array_dedup(spark, sf):
+    return remove_repeated_bytes(table(spark, sf, "documents"))
+
+
 def op7_exact_dedup(spark, sf):
     return dedup_exact(table(spark, sf, "documents"))
 
@@ -47,6 +53,10 @@ def op8_sum_of_squares_packing(spark, sf):
     return pack(table(spark, sf, "documents"))
 
 
+def op9_automaton_dedup(spark, sf):
+    return remove_repeated_words(table(spark, sf, "documents"))
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -58,7 +68,8 @@ def op10_chat_prefix_targets(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op3_mix_sources, op5_exact_topk, op7_exact_dedup, op8_sum_of_squares_packing, op10_chat_prefix_targets)}
+    op1_quality_classifier, op3_mix_sources, op5_exact_topk, op6_suffix_array_dedup, op7_exact_dedup,
+    op8_sum_of_squares_packing, op9_automaton_dedup, op10_chat_prefix_targets)}
 
 SQL = {
     "op5_exact_topk": """
@@ -75,6 +86,16 @@ SQL = {
         select doc_id, max(doc_id) over w keep_id, count(*) over w group_size, doc_id is not distinct from max(doc_id) over w kept,
             sha256(coalesce(text, '')) text_sha256
         from documents window w as (partition by coalesce(text, ''))""",
+    "op9_automaton_dedup": r"""
+        with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+        w as (select rid, doc_id, ws, unnest(range(1, len(ws) - 11)) i from d where len(ws) >= 13),
+        g as (select rid, doc_id, i, min(doc_id) over (partition by ws[i:i + 12]) least from w),
+        gone as (select distinct rid, unnest(range(i, i + 13)) k from g where least < doc_id),
+        r as (select rid, list(k) ks, count(*) n from gone group by rid)
+        select doc_id, len(ws)::bigint n_words, coalesce(n, 0)::bigint n_removed,
+            sha256(array_to_string(case when n is null then ws
+                else list_transform(list_filter(range(1, len(ws) + 1), lambda k: not list_contains(ks, k)), lambda k: ws[k]) end, ' ')) kept_sha256
+        from d left join r using (rid)""",
     "op10_chat_prefix_targets": """
         with t as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
             union all select -1, i, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) x(i, r)),
