@@ -8,6 +8,7 @@ from ringfence.llm.automaton import remove_repeated_words
 from ringfence.llm.chat import chat_digest
 from ringfence.llm.exact import dedup_exact
 from ringfence.llm.mixing import mix_sources
+from ringfence.llm.ngram_join import near_duplicates
 from ringfence.llm.packing import pack
 from ringfence.llm.quality import fit_quality, grade_of, score_quality
 from ringfence.llm.suffix import remove_repeated_bytes
@@ -33,6 +34,10 @@ def op1_quality_classifier(spark, sf):
     return scored.withColumn("kept", F.col("tail_probability") >= KEEP)
 
 
+def op2_ngram_join(spark, sf):
+    return near_duplicates(table(spark, sf, "documents"))
+
+
 def op3_mix_sources(spark, sf):
     return mix_sources(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -68,8 +73,8 @@ def op10_chat_prefix_targets(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op3_mix_sources, op5_exact_topk, op6_suffix_array_dedup, op7_exact_dedup,
-    op8_sum_of_squares_packing, op9_automaton_dedup, op10_chat_prefix_targets)}
+    op1_quality_classifier, op2_ngram_join, op3_mix_sources, op5_exact_topk, op6_suffix_array_dedup,
+    op7_exact_dedup, op8_sum_of_squares_packing, op9_automaton_dedup, op10_chat_prefix_targets)}
 
 SQL = {
     "op5_exact_topk": """
