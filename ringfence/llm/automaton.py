@@ -18,10 +18,9 @@ from __future__ import annotations
 import hashlib
 import re
 
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ringfence.llm.segments import Units, covered, keyed, repeated_spans, with_spans
+from ringfence.llm.segments import Units, covered, keyed, rebuilt, repeated_spans
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -92,7 +91,7 @@ def shard_judge(length: int):
                     automaton.add(body)
                 held = []
             own = (shard, doc)
-            sequence = np.frombuffer(bodies[i], np.uint64).tolist()
+            sequence = WORDS.findall(bodies[i])
             hits[i] = [end - length + 1 for end, m in enumerate(automaton.statistics(sequence)) if m >= length]
             held.append(sequence)
         return hits
@@ -105,7 +104,9 @@ def _rest(batches):
 
     for batch in batches:
         n, gone, digest = [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+        spans_of = batch.column("spans")
+        for i, text in enumerate(batch.column("text")):
+            text, spans = text.as_py(), spans_of[i].as_py()
             found = WORDS.findall(text.encode())
             if spans:
                 out = covered(spans, len(found))
@@ -128,5 +129,4 @@ def word_spans(docs: DataFrame, length: int = 13, class_limit: int = 20_000, bit
 def remove_repeated_words(docs: DataFrame, length: int = 13, class_limit: int = 20_000, bits: int = 26) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     rows = keyed(docs)
-    return with_spans(rows, word_spans(rows, length, class_limit, bits)).mapInArrow(
-        _rest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rebuilt(rows, word_spans(rows, length, class_limit, bits), _rest, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -65,7 +65,7 @@ def with_bucket(slots: DataFrame, buckets: list[tuple[int, int]]) -> DataFrame:
 
 
 def dedup_exact(docs: DataFrame, capacity: int = 1 << 16) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row; of equal texts the largest doc_id stays.
+    """doc_id, keep_id, group_size, kept, text_sha256, text_key of every row; of equal texts the largest doc_id stays.
 
     Of repeated rows with that doc_id, all are marked kept: they are one document.
     """
@@ -88,4 +88,4 @@ def dedup_exact(docs: DataFrame, capacity: int = 1 << 16) -> DataFrame:
     alone = index.filter("group_size = 1").join(proven.select(*slot), slot, "left_anti").select(*slot, "keep_id", "group_size")
     groups = proven.unionByName(alone)
     return keys.join(groups, slot).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.col("key").alias("text_key"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ringfence.llm.rows import once, text_key
 from ringfence.session import cut, join_small
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,14 +72,14 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), most: int = 3) -> DataFr
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: int = 256, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target and ``taken``, the words that the mix takes of each document.
+    """doc_id, source, size, source_size, target and ``taken``, the words that the mix takes of each document; text_key.
 
     ``taken`` counts repeats and is at most ``most`` times the size. Per source it sums to the rounded target
     (in a source that stops at ``most`` times its size, short of it by a few blocks at most).
     """
     rows = cut(docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"),
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"), text_key().alias("text_key"),
     ), "mix-rows")
     sources = cut(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
                   .withColumn("_seats", F.round(F.sum("source_size").over(W.partitionBy()) / block).cast("long"))
@@ -113,7 +114,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: int =
         "sid", "_shard", "_b", "_rounds",
         F.greatest(F.lit(0).cast("long"), F.least("_size", F.col("_budget") - F.col("_rounds") * F.col("_words") - F.col("_before"))).alias("_extra"))
 
-    key = ["doc_id", "source", "size", "source_size", "target", "sid", "_shard", "_start"]
+    key = ["doc_id", "text_key", "source", "size", "source_size", "target", "sid", "_shard", "_start"]
     spread = placed.filter("size > 0").withColumn(
         "_b", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))))
     overlap = F.greatest(F.lit(0).cast("long"), F.least(F.col("_start") + F.col("size"), F.col("_b") * block + F.col("_extra"))
@@ -121,5 +122,25 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: int =
     got = spread.join(taken, ["sid", "_shard", "_b"]).groupBy(*key).agg(
         (F.col("size") * F.first("_rounds") + F.sum(overlap)).cast("long").alias("taken"))
     none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    out = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    out = ["doc_id", "source", "size", "source_size", "target", "taken", "text_key"]
     return got.select(*out).unionByName(none.select(*out))
+
+
+def take_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The mix as documents, all columns: whole copies, then the words beyond them from the start of the text.
+
+    ``mixed`` is :func:`mix_sources` of the same ``docs``. A cut text has its words joined by one space; a column
+    n_chars then has its length.
+    """
+    mixed = cut(mixed, "mixed")
+    taken = mixed.groupBy("doc_id", "text_key", "size").agg(F.sum("taken").alias("_taken")).filter("_taken > 0")
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("size").alias("_size"), "_taken")
+    both = once(docs, mixed).join(taken, (text_key() == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    part = F.col("_no") * F.col("_size") > F.col("_taken")
+    rest = (F.col("_taken") % F.col("_size")).cast("int")
+    cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(rest, F.lit(1))), " ")
+    rows = both.withColumn("_no", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
+    rows = rows.withColumn("_part", part).withColumn("text", F.when(F.col("_part"), cut_text).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_part"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)

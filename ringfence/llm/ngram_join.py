@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ringfence.llm.components import components
 from ringfence.llm.kernels import LOWER, grams, mix, pieces, word_hashes, words
+from ringfence.llm.rows import text_key
 from ringfence.llm.segments import bit_arrays
 from ringfence.session import cut
 
 SKETCH_BITS, CHUNK = 20, 1 << 16
 SEEN = 1 << 20
-SETS = "doc_id long, set_key long, n int, chunk int, counts binary"
+SETS = "doc_id long, text_key long, set_key long, n int, chunk int, counts binary"
 
 
 def sets_of(column, size: int):
@@ -72,13 +73,13 @@ def _describe(size: int):
                     counts += np.bincount(np.concatenate(held), minlength=len(counts))
                     held, many = [], 0
             none = pa.nulls(len(batch), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), none, pa.nulls(len(batch), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), none, pa.nulls(len(batch), pa.binary())], names)
         if held:
             counts += np.bincount(np.concatenate(held), minlength=len(counts))
         for chunk in range(0, len(counts), CHUNK):
             part = counts[chunk:chunk + CHUNK]
             if part.any():
-                blank = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32())]
+                blank = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
                 yield pa.RecordBatch.from_arrays([*blank, pa.array([chunk], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
 
     return describe
@@ -272,8 +273,8 @@ class SetJoin:
         self.docs, self.size, self.percent, self.orders, self.bits = docs, size, percent, orders, bits
         self.texts = docs.select("text")
         self.context = docs.sparkSession.sparkContext
-        self.described = cut(docs.select("doc_id", "text").mapInArrow(_describe(size), SETS), "sets")
-        self.rows = self.described.filter("chunk is null").select("doc_id", "set_key", "n")
+        self.described = cut(docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(_describe(size), SETS), "sets")
+        self.rows = self.described.filter("chunk is null").select("doc_id", "text_key", "set_key", "n")
         self.levels = self.context.broadcast(frequency_levels(self.described))
 
     def known(self, keys: DataFrame):
@@ -326,11 +327,16 @@ class SetJoin:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, orders: int = 2, bits: int = 26) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document; text_key, kept.
+
+    One row of each component is to be kept: that of the smallest doc_id, by text_key among rows that share it.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     join = SetJoin(docs, size, percent, orders, bits)
     parts = join.linked().withColumnsRenamed({"node": "set_key", "component": "_part"})
     rows = cut(join.rows.join(parts, "set_key", "left").withColumn("_part", F.coalesce("_part", "set_key")), "members")
-    least = rows.filter("n > 0").groupBy("_part").agg(F.min("doc_id").alias("component_id"))
-    linked = rows.filter("n > 0").join(least, "_part").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return linked.unionByName(rows.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    least = rows.filter("n > 0").groupBy("_part").agg(F.min("doc_id").alias("component_id"), F.min(first).alias("_first"))
+    linked = rows.filter("n > 0").join(least, "_part").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "text_key", first.eqNullSafe(F.col("_first")).alias("kept"))
+    apart = rows.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key", F.lit(True).alias("kept"))
+    return linked.unionByName(apart)

@@ -30,7 +30,7 @@ LETTER = UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
 SYMBOL = ~(LETTER | DIGIT | SPACE | np.isin(_BYTES, [ord(c) for c in ".,;:'\"()-?"]))
 
 STEMS = (4, 5)
-MODEL = "features binary, weights binary, thresholds binary"
+MODEL = "features binary, weights binary, thresholds binary, shares binary"
 
 
 def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -137,7 +137,8 @@ def _fit(grades: int, least: int, clear: float, most: int):
             x[doc[hit], column[index][hit]] = 1
             w, cuts = fit_ordinal(x, grade, grades)
             feats = names[keep]
-        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (feats, w, cuts)], ["features", "weights", "thresholds"])
+        shares = np.array([(grade >= j).mean() if len(grade) and len(feats) else 0.0 for j in range(1, grades)])
+        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (feats, w, cuts, shares)], [f.split()[0] for f in MODEL.split(", ")])
 
     return fit
 
@@ -152,39 +153,62 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample_row
     return cut(sample.repartition(1).mapInArrow(_fit(grades, least, clear, most), MODEL), "quality-model")
 
 
-def _score(model, tail: int, grades: int):
-    feats, w, cuts = model
+def _grades(model, buf, at):
+    """P(grade >= 1), P(grade >= 2), ... of the documents of a piece."""
+    feats, w, cuts, _ = model
+    total = np.zeros(len(at) - 1)
+    if len(feats):
+        docs, found = document_features(buf, at)
+        place = np.minimum(np.searchsorted(feats, found), len(feats) - 1)
+        hit = feats[place] == found
+        docs, place = distinct(docs[hit], place[hit])
+        total = np.bincount(docs, w[place], minlength=len(total))
+    return 1 / (1 + np.exp(np.clip(cuts - total[:, None], -700, 700)))
+
+
+def _model(model: DataFrame):
+    row = model.first()
+    return [np.frombuffer(bytes(row[c]), t) for c, t in (("features", np.uint64), ("weights", float), ("thresholds", float), ("shares", float))]
+
+
+def _bar(parts, tail: int, least: float) -> float:
+    """``least``, or the share of such grades in the sample where that is less, so that a weak fit rejects little."""
+    return min(least, float(parts[3][tail - 1]))
+
+
+def score_quality(docs: DataFrame, model: DataFrame, tail: int = 2, least: float = 0.8) -> DataFrame:
+    """doc_id, expected_grade, tail_probability = P(grade >= tail) and kept (at least ``least``) of every document.
+
+    The model has at most ``most`` features (see :func:`fit_quality`) and goes to the tasks with the code.
+    """
+    parts = _model(model)
+    bar = _bar(parts, tail, least)
 
     def score(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for a, b, buf, at in pieces(batch.columns[-1]):
-                total = np.zeros(b - a)
-                if len(feats):
-                    docs, found = document_features(buf, at)
-                    place = np.minimum(np.searchsorted(feats, found), len(feats) - 1)
-                    hit = feats[place] == found
-                    docs, place = distinct(docs[hit], place[hit])
-                    total = np.bincount(docs, w[place], minlength=b - a)
-                above = 1 / (1 + np.exp(np.clip(cuts - total[:, None], -700, 700)))
-                yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(a, b - a) for c in batch.columns[:-1]], pa.array(above.sum(1)), pa.array(above[:, tail - 1])],
-                    [*batch.schema.names[:-1], "expected_grade", "tail_probability"])
+            for a, b, buf, at in pieces(batch.column("text")):
+                above = _grades(parts, buf, at)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(above.sum(1)), pa.array(above[:, tail - 1]), pa.array(above[:, tail - 1] >= bar)],
+                                                 ["doc_id", "expected_grade", "tail_probability", "kept"])
 
-    return score
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
-def score_quality(docs: DataFrame, model: DataFrame, columns: list[str], tail: int = 2, grades: int = 3) -> DataFrame:
-    """``columns`` of every document with expected_grade and tail_probability = P(grade >= tail).
+def select_quality(docs: DataFrame, model: DataFrame, least: float, tail: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, whose tail probability is ``least`` or more."""
+    parts, at_text = _model(model), docs.columns.index("text")
+    bar = _bar(parts, tail, least)
 
-    The model has at most ``most`` features (see :func:`fit_quality`) and goes to the tasks with the code.
-    """
-    row = model.first()
-    parts = [np.frombuffer(bytes(row[c]), t) for c, t in (("features", np.uint64), ("weights", float), ("thresholds", float))]
-    inputs = docs.select(*columns, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return inputs.mapInArrow(_score(parts, tail, grades), f"{schema}, expected_grade double, tail_probability double")
+    def select(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for a, b, buf, at in pieces(batch.columns[at_text]):
+                yield batch.slice(a, b - a).filter(pa.array(_grades(parts, buf, at)[:, tail - 1] >= bar))
+
+    return docs.mapInArrow(select, docs.schema)
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:

@@ -10,6 +10,7 @@ from ringfence.llm.exact import dedup_exact
 from ringfence.llm.mixing import mix_sources
 from ringfence.llm.ngram_join import near_duplicates
 from ringfence.llm.packing import pack
+from ringfence.llm.pii import find_pii, fit_pii
 from ringfence.llm.quality import fit_quality, grade_of, score_quality
 from ringfence.llm.suffix import remove_repeated_bytes
 from ringfence.llm.topk import top_k
@@ -22,26 +23,30 @@ def table(spark, sf_dir: str, name: str):
 KEEP = 0.8
 
 
-def quality_model(spark, sf):
+def quality_model(spark, docs, sf):
     """Fitted to the ratings of the labelled documents."""
     ratings = table(spark, sf, "labels").select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
-    return fit_quality(table(spark, sf, "documents"), ratings)
+    return fit_quality(docs, ratings)
 
 
 def op1_quality_classifier(spark, sf):
     """Every document; one is kept if it reaches the best grade with a probability of at least ``KEEP``."""
-    scored = score_quality(table(spark, sf, "documents"), quality_model(spark, sf), ["doc_id"])
-    return scored.withColumn("kept", F.col("tail_probability") >= KEEP)
+    docs = table(spark, sf, "documents")
+    return score_quality(docs, quality_model(spark, docs, sf), least=KEEP)
 
 
 def op2_ngram_join(spark, sf):
-    return near_duplicates(table(spark, sf, "documents"))
+    return near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_mix_sources(spark, sf):
     return mix_sources(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_pii_field(spark, sf):
+    return find_pii(table(spark, sf, "documents"), fit_pii(spark))
+
+
 def op5_exact_topk(spark, sf):
     return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -51,7 +56,7 @@ def op6_suffix_array_dedup(spark, sf):
 
 
 def op7_exact_dedup(spark, sf):
-    return dedup_exact(table(spark, sf, "documents"))
+    return dedup_exact(table(spark, sf, "documents")).drop("text_key")
 
 
 def op8_sum_of_squares_packing(spark, sf):
@@ -73,8 +78,9 @@ def op10_chat_prefix_targets(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_ngram_join, op3_mix_sources, op5_exact_topk, op6_suffix_array_dedup,
-    op7_exact_dedup, op8_sum_of_squares_packing, op9_automaton_dedup, op10_chat_prefix_targets)}
+    op1_quality_classifier, op2_ngram_join, op3_mix_sources, op4_pii_field, op5_exact_topk,
+    op6_suffix_array_dedup, op7_exact_dedup, op8_sum_of_squares_packing,
+    op9_automaton_dedup, op10_chat_prefix_targets)}
 
 SQL = {
     "op5_exact_topk": """

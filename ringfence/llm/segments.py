@@ -8,10 +8,11 @@ lies in exactly one. Segments with equal anchors are a *class*: only inside a cl
 1. Anchors are counted (combined per task first). A class that can't hold a repeat is done with.
 2. The others leave two bit arrays of fixed size, of classes to look at and of those with different segments. They
    go to every task; a false hit costs time only.
-3. Occurrences of the remaining segments are written with their place. A segment's units are sent once per task.
-4. A judge decides, class by class, which windows of the distinct segments repeat. Classes with more than
+3. Occurrences of the remaining segments are written with their place. Where a class has one segment only, its count
+   decides. Of the others a task sends each segment's units once, as far as it remembers.
+4. A judge decides, class by class, which windows of different segments repeat. Classes with more than
    ``class_limit`` distinct segments are decided window by window in a grouped count of 128-bit hashes instead.
-5. Occurrences meet the verdict of their segment; spans are collected per document.
+5. Occurrences meet the verdict of their class or segment; spans are collected per document.
 
 Rows are known by doc_id and a hash of the text, so that repeated ids do no harm.
 """
@@ -28,6 +29,7 @@ from ringfence.session import cut, join_small
 
 BYTE = mix(np.arange(256, dtype=np.uint64), 3)
 PLACE = np.uint64(2**31 - 1)
+SEEN = 1 << 20
 OCCURRENCES = "doc_id long, text_key long, start long, n_windows int, lead int, anchor long, segment long, body binary"
 
 
@@ -44,12 +46,16 @@ class Units:
             return word_hashes(buf, starts, ends), first
         return BYTE[buf], at
 
-    def body(self, sequence: np.ndarray, buf: np.ndarray, a: int, b: int) -> bytes:
-        return (sequence[a:b] if self.words else buf[a:b]).tobytes()
-
     def of_body(self, body: bytes) -> np.ndarray:
-        """The units of a body as hashes."""
-        return np.frombuffer(body, np.uint64) if self.words else BYTE[np.frombuffer(body, np.uint8)]
+        """The units of a body, the text of a segment, as hashes."""
+        return self.sequence(np.frombuffer(body, np.uint8), np.array([0, len(body)]))[0]
+
+    def extent(self, buf, at, a: np.ndarray, b: np.ndarray):
+        """Bytes of the units from a to b."""
+        if not self.words:
+            return a, b
+        starts, ends, _ = words(buf, at)
+        return starts[a], ends[b - 1]
 
 
 def least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -81,8 +87,12 @@ def cut_segments(units: Units, buf: np.ndarray, at: np.ndarray):
     return h, (doc, s, s - first[doc], n, a - s, g[a].view(np.int64), key.view(np.int64))
 
 
-def _count(units: Units):
-    names = ["anchor", "n", "d_min", "d_max", "s_min", "s_max"]
+def count_schema(smaller_doc: bool) -> str:
+    return f"anchor long, {'d_min long, d_max long' if smaller_doc else 'n long'}, s_min int, s_max int"
+
+
+def _count(units: Units, smaller_doc: bool):
+    names = [f.split()[0] for f in count_schema(smaller_doc).split(", ")]
 
     def count(batches):
         import pyarrow as pa
@@ -93,12 +103,11 @@ def _count(units: Units):
                 _, found = cut_segments(units, buf, at)
                 if found is None:
                     continue
-                doc, anchor, key = ids[a:b][found[0]], found[5], found[6]
-                order = np.argsort(anchor, kind="stable")
-                doc, anchor, key = doc[order], anchor[order], key[order]
+                order = np.argsort(found[5], kind="stable")
+                doc, anchor, key = ids[a:b][found[0]][order], found[5][order], found[6][order].astype(np.int32)
                 at_ = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-                columns = (anchor[at_], np.diff(np.append(at_, len(anchor))), np.minimum.reduceat(doc, at_), np.maximum.reduceat(doc, at_),
-                           np.minimum.reduceat(key, at_), np.maximum.reduceat(key, at_))
+                of = [np.minimum.reduceat(doc, at_), np.maximum.reduceat(doc, at_)] if smaller_doc else [np.diff(np.append(at_, len(anchor)))]
+                columns = [anchor[at_], *of, np.minimum.reduceat(key, at_), np.maximum.reduceat(key, at_)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return count
@@ -151,11 +160,11 @@ def _occurrences(units: Units, sent, bits: int):
     def occurrences(batches):
         import pyarrow as pa
 
-        known = sent.value
+        known, seen = sent.value, set()
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("text_key")
             for a, b, buf, at in pieces(batch.column("text")):
-                h, found = cut_segments(units, buf, at)
+                _, found = cut_segments(units, buf, at)
                 if found is None:
                     continue
                 place = found[5].view(np.uint64) >> np.uint64(64 - bits)
@@ -163,14 +172,22 @@ def _occurrences(units: Units, sent, bits: int):
                 doc, s, start, n, lead, anchor, key = (x[hit(0, place)] for x in found)
                 if not len(doc):
                     continue
-                fresh = np.zeros(len(doc), bool)
-                fresh[np.unique(np.stack([anchor, key]), axis=1, return_index=True)[1]] = True
-                fresh &= hit(1, anchor.view(np.uint64) >> np.uint64(64 - bits))
-                bodies = [units.body(h, buf, x, x + k + units.window - 1) if f else None for x, k, f in zip(s.tolist(), n.tolist(), fresh.tolist())]
+                several = hit(1, anchor.view(np.uint64) >> np.uint64(64 - bits))
+                fresh = []
+                for i, k in zip(np.flatnonzero(several).tolist(), (anchor ^ mix(key.view(np.uint64), 5).view(np.int64))[several].tolist()):
+                    if k not in seen:
+                        seen.add(k)
+                        fresh.append(i)
+                if len(seen) > SEEN:
+                    seen = set()
+                bodies = [None] * len(doc)
+                lo, hi = units.extent(buf, at, s[fresh], s[fresh] + n[fresh] + units.window - 1)
+                for i, x, y in zip(fresh, lo.tolist(), hi.tolist()):
+                    bodies[i] = buf[x:y].tobytes()
                 rows = pa.array(a + doc)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(rows), keys.take(rows), pa.array(start), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32)),
-                     pa.array(anchor), pa.array(key), pa.array(bodies, pa.binary())], names)
+                     pa.array(anchor), pa.array(key, mask=~several), pa.array(bodies, pa.binary())], names)
 
     return occurrences
 
@@ -182,8 +199,8 @@ BLOCK_BYTES = 16 << 20
 def _by_class(judge):
     """Rows in order of class; whole classes are gathered to blocks of ``BLOCK_BYTES`` for the judge.
 
-    The judge gets (class number, lead, n_windows, copies, least doc_id, body) arrays and gives per segment the
-    windows that repeat.
+    The judge gets (class number, lead, n_windows, copies, least doc_id, text) and gives per segment the windows
+    that repeat.
     """
 
     def run(batches):
@@ -257,44 +274,51 @@ def repeated_spans(docs: DataFrame, units: Units, judge, smaller_doc: bool, clas
     smaller doc_id, else if it starts anywhere else.
     """
     spark = docs.sparkSession
-    counted = docs.mapInArrow(_count(units), "anchor long, n long, d_min long, d_max long, s_min long, s_max long").groupBy("anchor").agg(
-        F.sum("n").alias("n"), F.min("d_min").alias("d_min"), F.max("d_max").alias("d_max"), F.min("s_min").alias("s_min"), F.max("s_max").alias("s_max"))
-    repeats = F.col("d_min") < F.col("d_max") if smaller_doc else F.col("n") > 1
-    sent = spark.sparkContext.broadcast(bit_arrays(counted.filter(repeats).withColumn("several", F.col("s_min") != F.col("s_max")), bits))
+    least, most = F.min, F.max
+    of = [least("d_min").alias("d_min"), most("d_max").alias("d_max")] if smaller_doc else [F.sum("n").alias("n")]
+    counted = docs.mapInArrow(_count(units, smaller_doc), count_schema(smaller_doc)).groupBy("anchor").agg(*of, least("s_min").alias("s_min"), most("s_max").alias("s_max"))
+    shared = counted.filter(F.col("d_min") < F.col("d_max") if smaller_doc else F.col("n") > 1)
+    classes = cut(shared.select("anchor", F.col("d_min").alias("doc") if smaller_doc else F.lit(None).cast("long").alias("doc"),
+                                (F.col("s_min") != F.col("s_max")).alias("several")), "classes")
+    sent = spark.sparkContext.broadcast(bit_arrays(classes, bits))
     places = cut(docs.mapInArrow(_occurrences(units, sent, bits), OCCURRENCES), "occurrences")
+    kept = ["doc_id", "text_key", "start", "n_windows"]
+    later = F.col("doc_id") > F.col("doc") if smaller_doc else F.lit(True)
+    alone = places.filter("segment is null").select(*kept, "anchor").join(classes.select("anchor", "doc"), "anchor")
+    alone = alone.filter(later).select(*kept, F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("hits"))
 
     segment = ["anchor", "segment"]
-    segments = cut(places.groupBy(*segment).agg(
+    segments = cut(places.filter("segment is not null").groupBy(*segment).agg(
         F.first("lead").alias("lead"), F.first("n_windows").alias("n_windows"), F.count(F.lit(1)).alias("copies"),
         F.min("doc_id").alias("doc"), F.first("body", ignorenulls=True).alias("body")), "segments")
-    apart = segments.filter(F.col("body").isNotNull())
-    large = cut(apart.groupBy("anchor").count().filter(F.col("count") > class_limit).select("anchor"), "large")
-    small = join_small(apart, large, "anchor", "left_anti").select(*segment, "lead", "n_windows", "copies", "doc", "body")
+    large = cut(segments.groupBy("anchor").count().filter(F.col("count") > class_limit).select("anchor"), "large")
+    columns = [*segment, "lead", "n_windows", "copies", "doc", "body"]
     # ranges of anchors, split at sampled ones; a class stays whole
+    small = join_small(segments, large, "anchor", "left_anti").select(*columns)
     judged = small.repartitionByRange("anchor").sortWithinPartitions("anchor", "doc", "segment").mapInArrow(_by_class(judge), JUDGED)
-    single = join_small(apart, large, "anchor", "left_semi").select(*segment, "lead", "n_windows", "copies", "doc", "body").mapInArrow(
+    single = join_small(segments, large, "anchor", "left_semi").select(*columns).mapInArrow(
         _windows(units), "anchor long, segment long, copies long, doc long, w int, h1 long, h2 long")
     of_window = single.groupBy("h1", "h2").agg(F.sum("copies").alias("_copies"), F.min("doc").alias("_doc"))
     hit = F.col("_doc") < F.col("doc") if smaller_doc else F.col("_copies") > 1
-    single = single.join(of_window.filter(F.lit(True) if smaller_doc else F.col("_copies") > 1), ["h1", "h2"]).filter(hit)
-    verdicts = judged.unionByName(single.groupBy(*segment).agg(F.collect_list("w").alias("hits")))
-    verdicts = segments.select(*segment, "copies", "doc").join(cut(verdicts, "judged"), segment, "left")
-    if smaller_doc:
-        whole = F.col("doc_id") > F.col("doc")
-        verdicts = verdicts.drop("copies")
-    else:
-        whole = F.col("copies") > 1
-        verdicts = verdicts.filter((F.col("copies") > 1) | (F.size("hits") > 0)).drop("doc")
-    found = places.select("doc_id", "text_key", "start", "n_windows", *segment).join(verdicts, segment).withColumn("whole", whole)
-    found = found.filter(F.col("whole") | (F.size("hits") > 0)).select("doc_id", "text_key", "start", "n_windows", "whole", "hits")
+    single = single.join(of_window, ["h1", "h2"]).filter(hit)
+    judged = cut(judged.unionByName(single.groupBy(*segment).agg(F.collect_list("w").alias("hits"))).filter(F.size("hits") > 0), "judged")
+    whole = F.col("doc_id") > F.col("doc") if smaller_doc else F.col("copies") > 1
+    verdicts = segments.select(*segment, "doc", "copies").join(judged, segment, "left")
+    if not smaller_doc:
+        verdicts = verdicts.filter((F.col("copies") > 1) | F.col("hits").isNotNull())
+    found = places.filter("segment is not null").select(*kept, *segment).join(verdicts, segment).withColumn("whole", whole)
+    found = found.filter(F.col("whole") | F.col("hits").isNotNull()).select(*kept, "whole", "hits").unionByName(alone)
     spans = found.mapInArrow(_spans(units), "doc_id long, text_key long, a long, b long")
     return spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every document with its spans (null for none)."""
-    own = spans.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    return docs.join(own, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "spans")
+def rebuilt(docs: DataFrame, spans: DataFrame, rest, schema: str) -> DataFrame:
+    """What ``rest`` makes of (doc_id, text, spans), spans null for none. Only texts with spans are shuffled."""
+    spans = cut(spans.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), "spans")
+    keys = cut(spans.select(F.col("_key").alias("text_key")).distinct(), "span-keys")
+    own = join_small(docs, keys, "text_key", "left_semi").join(spans, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    none = join_small(docs, keys, "text_key", "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    return own.select("doc_id", "text", "spans").mapInArrow(rest, schema).unionByName(none.select("doc_id", "text", "spans").mapInArrow(rest, schema))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ringfence.llm.segments import Units, covered, keyed, repeated_spans, with_spans
+from ringfence.llm.segments import Units, covered, keyed, rebuilt, repeated_spans
 
 GRAM, BLOCK, SMALL = 64, 256, 64
 
@@ -107,7 +107,9 @@ def _rest(batches):
 
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+        spans_of = batch.column("spans")
+        for i, text in enumerate(batch.column("text")):
+            text, spans = text.as_py(), spans_of[i].as_py()
             raw = text.encode()
             gone = covered(spans, len(raw))
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
@@ -126,5 +128,4 @@ def byte_spans(docs: DataFrame, length: int = 400, class_limit: int = 100_000, b
 def remove_repeated_bytes(docs: DataFrame, length: int = 400, class_limit: int = 100_000, bits: int = 26) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     rows = keyed(docs)
-    return with_spans(rows, byte_spans(rows, length, class_limit, bits)).mapInArrow(
-        _rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rebuilt(rows, byte_spans(rows, length, class_limit, bits), _rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
