@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ringfence.functions.columns import known
 from ringfence.operators.rank import quantiles
 from ringfence.operators.score import matrix
-from ringfence.session import cut
+from ringfence.session import cut, key_join
 from ringfence.spec import AnomalyRule
 
 # Limits of the rule diagnosis.
@@ -190,7 +190,7 @@ def latency_summary(df: DataFrame, by: Sequence[str], seconds: str, **rank) -> D
     base = df.groupBy(*by).agg(
         F.avg(seconds).alias("mean_s"), F.count(seconds).alias("n"), F.sum(seconds).alias("total_s")
     )
-    return base.join(tail, list(by)).select(
+    return key_join(base, tail, by).select(
         *by,
         (F.col("mean_s") * 1000).alias("mean_ms"),
         (F.col("p99_s") * 1000).alias("p99_ms"),

@@ -11,7 +11,7 @@ from ringfence.operators.metrics import decisions, ranking, spread
 from ringfence.operators.score import score
 from ringfence.operators.splits import fold_count, with_folds
 from ringfence.operators.threshold import flagged, threshold
-from ringfence.session import cut
+from ringfence.session import cut, key_join
 
 FOLD_METRICS = ("AUC", "AP", "F1", "precision", "recall", "flag_rate")
 
@@ -53,7 +53,8 @@ def cross_validate(
     learned = cut(score(train, models, features, ["cv"], keep=()), "learned")
     taus = cut(threshold(learned, q, ["cv"]), "tau")
     test = base.withColumn("cv", F.col("fold").cast("int"))
-    kept = [c for c in test.columns if c != features and c not in features]
+    names = [features] if isinstance(features, str) else list(features)
+    kept = [c for c in test.columns if c not in names or c in (label, group)]
     tested = cut(flagged(score(test, models, features, ["cv"], kept, timed=True), taus, ["cv"]), "tested")
 
     fits = steps.groupBy("cv").agg(F.sum("fit_seconds").alias("t_train_s"))
@@ -61,10 +62,11 @@ def cross_validate(
     rates = decisions(tested, label=label, by=["cv"])
     rank = ranking(tested, label=label, by=["cv"])
     out = (
-        rates.join(rank, "cv").join(taus, "cv").join(fits, "cv").join(times, "cv")
-        .join(learned.groupBy("cv").agg(F.count(F.lit(1)).alias("n_train")), "cv")
+        # a fold without a normal row to learn from has test rows only
+        rates.join(rank, "cv").join(taus, "cv", "left").join(fits, "cv", "left").join(times, "cv", "left")
+        .join(learned.groupBy("cv").agg(F.count(F.lit(1)).alias("n_train")), "cv", "left")
         .select(
-            (F.col("cv") + 1).alias("fold"), "n_train", F.col("n_rows").alias("n_test"),
+            (F.col("cv") + 1).alias("fold"), F.coalesce("n_train", F.lit(0)).alias("n_train"), F.col("n_rows").alias("n_test"),
             F.col("auc").alias("AUC"), F.col("ap").alias("AP"), "precision", "recall", F.col("f1").alias("F1"),
             "flag_rate", "tau", "t_train_s", "t_score_s",
         )
@@ -109,7 +111,7 @@ def grid_search(
     parts = []
     for q in quantiles:
         rates = decisions(flagged(tested, threshold(learned, q, keys), keys), label=label, by=keys)
-        parts.append(rates.join(rank, keys).withColumn("quantile", F.lit(float(q))))
+        parts.append(key_join(rates, rank, keys).withColumn("quantile", F.lit(float(q))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -17,13 +17,14 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.types import _parse_datatype_string
 
 from ringfence.functions.kernel import MODEL_FIELDS, Boundary, from_fields, to_fields
-from ringfence.operators.rank import ROWS_PER_BUCKET, as_position, row_index
+from ringfence.operators.rank import ROWS_PER_BUCKET, row_index
 from ringfence.operators.score import matrix, score
-from ringfence.session import cut, join_small
+from ringfence.session import cut, join_small, key_join, new_path
 
 # Feature cells one task may hold at once, and the width assumed for an array column.
 CHUNK_CELLS = 6_000_000
@@ -59,7 +60,7 @@ def _key_fields(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
     return [T.StructField(k, kinds[k].dataType) for k in by]
 
 
-def _learn(model: Boundary | None, rows: pa.Table, features, sigma, seed, batch_rows, traced, start_idx=0):
+def _learn(model: Boundary | None, rows: pa.Table, features, sigma, batch_rows, traced, start_idx=0):
     """One task's step: start or continue ``model`` with the rows of one chunk, in order."""
     clock = time.perf_counter()
     x = matrix(rows, features)
@@ -77,10 +78,6 @@ def _learn(model: Boundary | None, rows: pa.Table, features, sigma, seed, batch_
     if model is None:
         if not len(x):
             return None
-        if seed == "central":
-            gap = x - x.mean(axis=0)
-            s = int((gap * gap).sum(axis=1).argmin())
-            x = np.concatenate([x[s : s + 1], x[:s], x[s + 1 :]])
         model = Boundary.start(x[0], width)
         counts.update(processed=1, added=1)
         todo, first = x[1:], 1
@@ -128,15 +125,13 @@ def _plain_key(values):
     return tuple(v.as_py() if hasattr(v, "as_py") else v for v in values)
 
 
-def _group_step(rows, models, by, features, sigma, seed, batch_rows, traced, chunk_rows) -> DataFrame:
+def _group_step(rows, models, by, features, sigma, batch_rows, traced) -> DataFrame:
     """Learn each key's rows in one task; ``models`` (one row per key) continues, else starts afresh.
 
-    The caller guarantees that a key brings at most ``chunk_rows`` rows.
+    The caller bounds the rows that a key brings.
     """
     schema = T.StructType(_key_fields(rows, by) + _parse_datatype_string(_STEP_FIELDS).fields)
-    order = [("_idx", "ascending")] if "_idx" in rows.columns else [
-        (c, "ascending") for c in rows.columns if c == "_pos" or c == "_tie" or c.startswith("_t_")
-    ]
+    order = [(c, "ascending") for c in (["_idx"] if "_idx" in rows.columns else _order_of(rows))]
     by = list(by)
 
     def start_of(table):
@@ -144,9 +139,9 @@ def _group_step(rows, models, by, features, sigma, seed, batch_rows, traced, chu
 
     if models is None:
         def fresh(key, table):
-            table = table.sort_by(order)
+            table = _sorted(table, order)
             types = [table.schema.field(k).type for k in by]
-            got = _learn(None, table, features, sigma, seed, batch_rows, traced)
+            got = _learn(None, table, features, sigma, batch_rows, traced)
             return _empty(by, types) if got is None else _emit(_plain_key(key), by, types, got)
 
         return rows.groupBy(*by).applyInArrow(fresh, schema)
@@ -154,26 +149,57 @@ def _group_step(rows, models, by, features, sigma, seed, batch_rows, traced, chu
     def carry_on(key, left, right):
         types = [left.schema.field(k).type for k in by]
         model = from_fields({n: left.column(n)[0].as_py() for n in MODEL_COLUMNS}) if left.num_rows else None
-        table = right.sort_by(order)
-        got = _learn(model, table, features, sigma, seed, batch_rows, traced, start_of(table))
+        table = _sorted(right, order)
+        got = _learn(model, table, features, sigma, batch_rows, traced, start_of(table))
         return _empty(by, types) if got is None else _emit(_plain_key(key), by, types, got)
 
     return models.select(*by, *MODEL_COLUMNS).groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(carry_on, schema)
 
 
-def _lean(df, by, features, sigma, order_col, ties) -> DataFrame:
-    """Only what a fit needs: keys, features, order."""
+def _order_of(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c == "_head" or c.startswith("_t_")]
+
+
+def _sorted(table: pa.Table, order) -> pa.Table:
+    """In Spark's order: NULL first."""
+    return table.take(pc.sort_indices(table, sort_keys=order, null_placement="at_start"))
+
+
+def _lean(df, by, features, sigma, order_col, ties, seed) -> DataFrame:
+    """Only what a fit needs: keys, features, and the order: ``_head``, then the order column and ties by value."""
     names = [features] if isinstance(features, str) else list(features)
     extra = [sigma] if isinstance(sigma, str) else []
-    kind = dict(df.dtypes)[order_col]
-    cols = [F.col(c) for c in dict.fromkeys([*by, *extra, *names])]
-    tie = F.xxhash64(*ties) if ties else F.lit(0).cast("long")
-    return df.select(
-        *cols,
-        (as_position(F.col(order_col), kind) + F.lit(0.0)).alias("_pos"),
-        tie.alias("_tie"),
-        *[F.col(c).alias(f"_t_{i}") for i, c in enumerate([order_col, *ties])],
+    kinds = dict(df.dtypes)
+
+    def place(c):
+        # a missing number has no place of its own
+        return F.nullif(F.col(c), F.lit(float("nan")).cast(kinds[c])) if kinds[c] in ("float", "double") else F.col(c)
+
+    lean = df.select(
+        *[F.col(c) for c in dict.fromkeys([*by, *extra, *names])], F.lit(1).alias("_head"),
+        *[place(c).alias(f"_t_{i}") for i, c in enumerate([order_col, *ties])],
     )
+    return _central_first(lean, list(by), features) if seed == "central" else lean
+
+
+def _central_first(lean: DataFrame, by: list[str], features) -> DataFrame:
+    """``_head`` 0 for the row of each key that is nearest to the mean of its whole rows."""
+    if isinstance(features, str):
+        vector = F.transform(features, lambda v: v.cast("double"))
+    else:
+        vector = F.array(*[F.col(c).cast("double") for c in features])
+    whole = F.forall("_v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = lean.select(*by, *[c for c in lean.columns if c.startswith("_t_")], vector.alias("_v")).filter(whole)
+    means = rows.select(*by, F.posexplode("_v").alias("_i", "_x")).groupBy(*by, "_i").agg(F.avg("_x").alias("_m"))
+    means = means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("_mean"))
+    gaps = F.aggregate(F.zip_with("_v", "_mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    place = [c for c in rows.columns if c.startswith("_t_")]
+    nearest = join_small(rows, cut(means, "means"), by).groupBy(*by).agg(F.min(F.struct(gaps.alias("_gap"), *place)).alias("_near"))
+    same = F.lit(True)
+    for c in place:
+        same = same & F.col(c).eqNullSafe(F.col("_near")[c])
+    marked = join_small(lean, cut(nearest, "nearest"), by, "left")
+    return marked.withColumn("_head", F.when(F.col("_near").isNotNull() & same, 0).otherwise(1)).drop("_near")
 
 
 def fit_steps(
@@ -201,9 +227,9 @@ def fit_steps(
     chunk_rows = chunk_rows or rows_per_task(features)
     by = list(by)
     ties = list(ties)
-    lean = _lean(df, by, features, sigma, order_col, ties)
+    lean = _lean(df, by, features, sigma, order_col, ties, seed if models is None else "first")
     sizes = df.groupBy(*by).count().agg(F.max("count").alias("top"), F.sum("count").alias("rows")).first()
-    args = (features, sigma, seed, batch_rows, trace, chunk_rows)
+    args = (features, sigma, batch_rows, trace)
     if (sizes["top"] or 0) <= chunk_rows:
         steps = cut(_group_step(lean, models, by, *args).withColumn("chunk", F.lit(0).cast("long")), "step")
         return steps.select(*by, *MODEL_COLUMNS), steps
@@ -211,49 +237,52 @@ def fit_steps(
     # Number the rows of every key and keep them as a table the later scans can prune by chunk.
     if batch_rows:
         chunk_rows = max(batch_rows, chunk_rows // batch_rows * batch_rows)
-    numbered = row_index(
-        lean, "_pos", [c for c in lean.columns if c.startswith("_t_")], by, sizes["rows"], rows_per_bucket, "_idx", None
-    )
-    numbered = cut(
-        numbered.withColumn("_chunk", F.floor(F.col("_idx") / chunk_rows))
-        .drop("_pos", "_tie", *[c for c in lean.columns if c.startswith("_t_")]),
-        "rows",
-    )
+    place = _order_of(lean)
+    numbered = row_index(lean, place[0], place[1:], by, sizes["rows"], rows_per_bucket, "_idx", None)
+    numbered = cut(numbered.withColumn("_chunk", F.floor(F.col("_idx") / chunk_rows)).drop(*place), "rows")
+    last = cut(numbered.groupBy(*by).agg(F.max("_chunk").alias("_last")), "last")
     opening = numbered.filter(F.col("_chunk") == 0).drop("_chunk")
-    steps = [cut(_group_step(opening, models, by, *args).withColumn("chunk", F.lit(0).cast("long")), "step")]
-    current = steps[0].select(*by, *MODEL_COLUMNS, (F.col("chunk") + 1).alias("_next"))
-    done: list[DataFrame] = []
+    first = _group_step(opening, models, by, *args).withColumn("chunk", F.lit(0).cast("long"))
+    kept, known = new_path(df.sparkSession, "steps"), first.schema
+    first.write.mode("error").parquet(kept)
+
+    def at(path):
+        return df.sparkSession.read.schema(known).parquet(path)
+
+    current = cut(at(kept).select(*by, *MODEL_COLUMNS, F.lit(1).cast("long").alias("_next")), "current")
+    span = 1
     while True:
-        # in parallel: the first chunk of each key with a row outside its current boundary
-        low = current.agg(F.min("_next")).first()[0]
+        # in parallel: the first of the next ``span`` chunks of each key with a row outside its current boundary;
+        # the look-ahead doubles while nothing is found, so a learned chunk costs few scanned ones
+        active = cut(join_small(current, last, by).filter(F.col("_next") <= F.col("_last")).drop("_last"), "active")
+        ends = active.agg(F.min("_next"), F.max("_next")).first()
+        if ends[0] is None:
+            break
+        near = numbered.filter((F.col("_chunk") >= ends[0]) & (F.col("_chunk") < ends[1] + span))
         pending = score(
-            numbered.filter(F.col("_chunk") >= low), current, features, by, keep=["_chunk"], attach=["_next"],
-            outside_only=True, outside_eps=0.0,
-        ).filter(F.col("_chunk") >= F.col("_next"))
+            near, active, features, by, keep=["_chunk"], attach=["_next"], outside_only=True, outside_eps=0.0,
+        ).filter((F.col("_chunk") >= F.col("_next")) & (F.col("_chunk") < F.col("_next") + span))
         upcoming = cut(pending.groupBy(*by).agg(F.min("_chunk").alias("_chunk")), "next")
-        done.append(current.join(upcoming, by, "left_anti").select(*by, *MODEL_COLUMNS))
+        passed = join_small(current, upcoming, by, "left_anti").withColumn("_next", F.col("_next") + span)
         if upcoming.isEmpty():
-            break
+            current, span = cut(passed, "current"), 2 * span
+            continue
         part = join_small(numbered, upcoming, [*by, "_chunk"], "left_semi")
-        moving = current.join(upcoming, by, "left_semi")
-        stepped = _group_step(part.drop("_chunk"), moving, by, *args).join(
-            upcoming.withColumnRenamed("_chunk", "chunk"), by
-        )
-        steps.append(cut(stepped, "step"))
-        current = steps[-1].select(*by, *MODEL_COLUMNS, (F.col("chunk") + 1).alias("_next"))
-    models_out, steps_out = done[0], steps[0]
-    for more in done[1:]:
-        models_out = models_out.unionByName(more)
-    for more in steps[1:]:
-        steps_out = steps_out.unionByName(more)
+        moving = join_small(current, upcoming, by, "left_semi")
+        stepped = key_join(_group_step(part.drop("_chunk"), moving, by, *args), upcoming.withColumnRenamed("_chunk", "chunk"), by)
+        learned = cut(stepped.select(*known.names), "step")
+        learned.write.mode("append").parquet(kept)
+        current = cut(passed.unionByName(learned.select(*by, *MODEL_COLUMNS, (F.col("chunk") + 1).alias("_next"))), "current")
+        span = 1
+    models_out, steps_out = current.drop("_next"), at(kept)
     # rows of chunks that were passed over count as seen too
     seen = cut(numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_seen")), "seen")
     steps_out = steps_out.unionByName(_passed_over(steps_out, seen, by, chunk_rows, batch_rows))
     if models is not None:
-        seen = seen.join(models.select(*by, F.col("seen").alias("_had")), by, "full").select(
+        seen = key_join(seen, models.select(*by, F.col("seen").alias("_had")), by, "full").select(
             *by, (F.coalesce("_seen", F.lit(0)) + F.coalesce("_had", F.lit(0))).alias("_seen")
         )
-    models_out = models_out.join(seen, by).withColumn("seen", F.col("_seen")).select(*by, *MODEL_COLUMNS)
+    models_out = key_join(models_out, seen, by).withColumn("seen", F.col("_seen")).select(*by, *MODEL_COLUMNS)
     return models_out, steps_out
 
 
@@ -261,7 +290,7 @@ def _passed_over(steps: DataFrame, seen: DataFrame, by: list[str], chunk_rows: i
     """Steps of the chunks in which no row was accepted: the model as it stood, nothing added."""
     after = F.lead("chunk").over(Window.partitionBy(*by).orderBy("chunk"))
     gaps = (
-        steps.withColumn("_after", after).join(seen, by)
+        key_join(steps.withColumn("_after", after), seen, by)
         .withColumn("_after", F.coalesce("_after", F.ceil(F.col("_seen") / chunk_rows)))
         .filter(F.col("_after") > F.col("chunk") + 1)
         .withColumn("chunk", F.explode(F.sequence(F.col("chunk") + 1, F.col("_after") - 1)))

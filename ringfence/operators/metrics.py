@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ringfence.functions.columns import ratio, ratio_or_zero
 from ringfence.operators.rank import ROWS_PER_BUCKET, cut_points, quantiles, running_totals, value_histogram
+from ringfence.session import key_join
 
 
 def ranked_scores(
@@ -25,8 +26,7 @@ def ranked_scores(
 ) -> DataFrame:
     """Per distinct score: pos, neg, their counts below, and totals per group."""
     if rows is None:
-        # the largest group decides how finely values are cut
-        rows = (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) if by else df.count()
+        rows = df.count()
     cuts = cut_points(df, F.nullif(F.col(score).cast("double"), F.lit(float("nan"))), rows, rows_per_bucket)
     return running_totals(value_histogram(df, score, by, label), score, ["pos", "neg"], by, cuts, previous)
 
@@ -137,7 +137,7 @@ def session_scores(df, session: str, score="score", label="label", q: float = 0.
     """One row per session: a high quantile of its scores and whether any row is positive."""
     high = quantiles(df, score, {"session_score": q}, [session], **rank)
     truth = df.groupBy(session).agg(F.max(F.coalesce(F.col(label), F.lit(0))).alias("session_label"))
-    return high.join(truth, session)
+    return key_join(high, truth, session)
 
 
 def session_auc(df, session: str, score="score", label="label", q: float = 0.95, **rank) -> DataFrame:

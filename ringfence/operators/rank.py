@@ -3,28 +3,28 @@
 A window ordered over a whole table runs in a single task. Here the value range
 is cut at sketch quantiles, each bucket is summed on its own, and the running
 total of the buckets before it enters the bucket as a header row. A bucket is a
-function of the value (and, for one heavily repeated value, of the row's hash),
-never of the physical partition, so a retried task sees the same buckets.
+function of the value, or, for row positions, of the range of (order, ties) in
+which the row was written, so a retried task sees the same buckets.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 from math import ceil
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ringfence.session import cut, join_small
+
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 8192
 
 _FIRST = Window.unboundedPreceding
 
 
 def cut_points(df: DataFrame, value: Column, rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
     """Sketch quantiles of ``value`` cutting ``rows`` rows into even buckets; repeats mark hot values."""
-    buckets = min(MAX_BUCKETS, ceil(rows / rows_per_bucket))
+    buckets = ceil(rows / rows_per_bucket)
     if buckets <= 1:
         return []
     probs = [i / buckets for i in range(1, buckets)]
@@ -128,58 +128,40 @@ def row_index(
 ) -> DataFrame:
     """Add the 0-based position of each row by ``order_col`` and the row count, per group.
 
-    ``order_col`` is a number, date or time; rows equal on it are ordered by a
-    hash of ``ties``, which together with it must identify a row. One value may
-    hold any share of the rows: its rows are spread over several buckets by hash.
+    Rows are in order of (``order_col``, ``ties``) by value, NULL first and NaN last, at
+    every size; together these columns must identify a row. Long tables are
+    written in ranges of (``by``, ``order_col``, ``ties``), so neither a hot group nor a hot
+    value fills a task.
     """
     by, ties = list(by), list(ties)
-    kind = dict(df.dtypes)[order_col]
-    tie_hash = F.xxhash64(*ties) if ties else F.lit(0).cast("long")
-    keyed = df.withColumns({"_pos": as_position(F.col(order_col), kind) + F.lit(0.0), "_tie": tie_hash})
-    sort_cols = ["_pos", order_col, "_tie", *ties]
+    order = [order_col, *ties]
     rows = df.count() if rows is None else rows
-    cuts = cut_points(keyed, F.col("_pos"), rows, rows_per_bucket)
-    if not cuts:
+    buckets = ceil(rows / rows_per_bucket)
+    if buckets <= 1:
         group = Window.partitionBy(*(by or [F.lit(0)]))
-        added = {name: F.row_number().over(group.orderBy(*sort_cols)).cast("long") - 1}
+        added = {name: F.row_number().over(group.orderBy(*order)).cast("long") - 1}
         if total:
             added[total] = F.count(F.lit(1)).over(group)
-        return keyed.withColumns(added).drop("_pos", "_tie")
-
-    # A hot value opens its bucket: its rows fill slots 0..n-1, the rest of the bucket follows.
-    share = F.lit(MAX_BUCKETS)
-    for v, n in Counter(cuts).items():
-        if n > 1:
-            slot = F.floor((F.col("_tie") / F.lit(2.0**63) + 1.0) / 2.0 * n).cast("int")
-            share = F.when(F.col("_pos") == v, F.least(slot, F.lit(n - 1))).otherwise(share)
-    placed = _with_bucket(keyed, "_pos", cuts, "_bucket").withColumn("_slot", share)
-    keys = [*by, "_bucket", "_slot"]
+        return df.withColumns(added)
+
+    placed = cut(df.repartitionByRange(buckets, *by, *order).withColumn("_bucket", F.spark_partition_id()), "ranges")
+    keys = [*by, "_bucket"]
     group = Window.partitionBy(*(by or [F.lit(0)]))
     heads = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
         *keys,
-        F.lit(0).alias("_body"),
-        F.coalesce(F.sum("_n").over(group.orderBy("_bucket", "_slot").rowsBetween(_FIRST, -1)), F.lit(0)).alias("_n"),
+        F.coalesce(F.sum("_n").over(group.orderBy("_bucket").rowsBetween(_FIRST, -1)), F.lit(0)).alias("_below"),
         F.sum("_n").over(group).alias("_all"),
     )
-    both = placed.withColumns({"_body": F.lit(1), "_n": F.lit(1).cast("long")}).unionByName(
-        heads, allowMissingColumns=True
-    )
-    inside = Window.partitionBy(*keys).orderBy("_body", *sort_cols)
-    added = {name: F.sum("_n").over(inside.rowsBetween(_FIRST, -1))}
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    out = join_small(placed, cut(heads, "heads"), keys).withColumn(name, F.row_number().over(inside) - 1 + F.col("_below"))
     if total:
-        added[total] = F.first("_all").over(inside.rowsBetween(_FIRST, 0))
-    return (
-        both.withColumns(added)
-        .filter(F.col("_body") == 1)
-        .drop("_pos", "_tie", "_bucket", "_slot", "_body", "_n", "_all")
-    )
+        out = out.withColumn(total, F.col("_all"))
+    return out.drop("_bucket", "_below", "_all")
 
 
 def _ranked(df: DataFrame, value: str, by: list[str], rows_per_bucket: int, rows: int | None) -> DataFrame:
-    """Values with their counts and the counts below, choosing buckets by the largest group."""
-    if rows is None:
-        sizes = df.groupBy(*by).count().agg(F.max("count")).first()[0] if by else df.count()
-        rows = sizes or 0
+    """Values with their counts and the counts below; buckets by all rows, as groups may lie in narrow ranges."""
+    rows = df.count() if rows is None else rows
     known = df.filter(~F.isnan(F.col(value).cast("double")))
     cuts = cut_points(known, F.col(value).cast("double"), rows, rows_per_bucket)
     return running_totals(value_histogram(df, value, by), value, ["n"], by, cuts)

@@ -12,9 +12,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ringfence.functions.kernel import from_fields, judge, similarity
+from ringfence.session import cut, key_join
 
 BROADCAST_BYTES = 64 << 20
 OUTSIDE_EPS = 1e-6
@@ -24,13 +26,21 @@ CELLS_PER_STEP = 4_000_000
 _DETAIL = ("raw_score", "max_sim", "zone")
 
 
-def matrix(batch: pa.Table | pa.RecordBatch, features: Sequence[str] | str) -> np.ndarray:
-    """Feature columns, or one array column, as a float64 matrix; NULL becomes NaN."""
+def matrix(batch: pa.Table | pa.RecordBatch, features: Sequence[str] | str, width: int | None = None) -> np.ndarray:
+    """Feature columns, or one array column, as a float64 matrix; NULL becomes NaN.
+
+    With ``width`` given, an array that is missing or of another length is a row of NaN; without, an error.
+    """
     if isinstance(features, str):
         col = batch.column(features)
         col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
         if len(col) == 0:
             return np.empty((0, 0))
+        if width is not None:
+            fits = pc.equal(pc.list_value_length(col), width).fill_null(False)
+            out = np.full((len(col), width), np.nan)
+            out[fits.to_numpy(zero_copy_only=False)] = col.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, width)
+            return out
         widths = np.diff(col.offsets.to_numpy())
         if (widths != widths[0]).any() or col.null_count:
             raise ValueError(f"vectors in '{features}' differ in length or are missing")
@@ -109,7 +119,10 @@ def score(
     out = score_joined(df, models, features, by, attach, detail, flag_far)
     out = out.drop(*[c for c in df.columns if c not in kept])
     if timed:
-        out = out.withColumn("score_seconds", F.lit(None).cast("double"))
+        # JVM expressions have no clock of their own: a row's share of the time that all rows took
+        clock = time.perf_counter()
+        out = cut(out, "timed")
+        out = out.withColumn("score_seconds", F.lit((time.perf_counter() - clock) / max(1, out.count())))
     return out.filter(F.col("score") > outside_eps) if outside_only else out
 
 
@@ -143,7 +156,7 @@ def _score_broadcast(df, models, features, by, kept, attach, detail, flag_far, t
             if n == 0:
                 continue
             clock = time.perf_counter()
-            x = matrix(batch, names)
+            plain = None if isinstance(names, str) else matrix(batch, names)
             outs = [np.full(n, np.nan) for _ in range(3)]
             zones = np.full(n, None, dtype=object)
             extra = [np.full(n, None, dtype=object) for _ in attach]
@@ -159,6 +172,7 @@ def _score_broadcast(df, models, features, by, kept, attach, detail, flag_far, t
                     continue
                 model, values = known[key]
                 at = slice(None) if at is None else at
+                x = plain if plain is not None else matrix(batch, names, model.sv.shape[1])
                 got = _apply(model, x[at], flag_far)
                 for out, v in zip(outs, got):
                     out[at] = v
@@ -231,10 +245,12 @@ def score_joined(df, models, features, by, attach=(), detail=False, flag_far=Fal
     whole = F.lit(True)
     for c in names:
         whole = whole & F.col(c).isNotNull()
-        if not isinstance(features, str):
+        if isinstance(features, str):
+            whole = whole & (F.size(c) == F.col("dim")) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v))
+        else:
             whole = whole & ~F.isnan(F.col(c))
     out = (
-        df.join(side, by, "left")
+        key_join(df, side, by, "left")
         .withColumn("_sims", F.when(whole & F.col("n_sv").isNotNull(), similarity_columns(features)))
         .withColumns({
             "max_sim": F.array_max("_sims"),

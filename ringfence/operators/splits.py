@@ -46,26 +46,27 @@ def holdout_last_groups(df: DataFrame, group: str, order_col: str, n: int = 3) -
 def holdout_tail(
     df: DataFrame, order_col: str, ties: Sequence[str] = (), share: float = 0.8, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, test): test starts at row int(share * n) in (``order_col``, hash of ``ties``) order.
+    """(train, test): test starts at row int(share * n) in (``order_col``, ``ties``) order, by value.
 
-    Only the position of the first test row is looked up; the rows themselves are
-    filtered, not moved.
+    Only the first test row is looked up; the rows themselves are filtered, not
+    moved. Positions as doubles find the neighbourhood; the columns themselves decide
+    in it, so large integers are told apart. Rows without an order value stay in train.
     """
     kind = dict(df.dtypes)[order_col]
     at = as_position(F.col(order_col), kind) + F.lit(0.0)
-    rows = df.filter(F.col(order_col).isNotNull()).count()
+    known = F.nullif(at, F.lit(float("nan"))).isNotNull()
+    rows = df.filter(known).count()
     first = int(rows * share)
     if first >= rows:
         return df, df.limit(0)
-    edge, below, same = order_statistics(df.select(at.alias("_at")), "_at", [first], rows, rows_per_bucket)[first]
+    edge, below, same = order_statistics(df.filter(known).select(at.alias("_at")), "_at", [first], rows, rows_per_bucket)[first]
     late = at >= edge
-    if same > 1 and first > below and ties:
-        # the cut falls among rows with equal order: the hash of their ties decides, as in row_index
-        tie = F.shiftright(F.xxhash64(*ties), 11)
-        inside = df.filter(at == edge).select(tie.alias("_tie"))
-        limit = order_statistics(inside, "_tie", [first - below], same, rows_per_bucket)[first - below][0]
-        late = (at > edge) | ((at == edge) & (tie >= int(limit)))
-    late = F.coalesce(late, F.lit(False))
+    if same > 1:
+        place = F.struct(order_col, *ties)
+        inside = row_index(df.filter(known & (at == edge)).select(*dict.fromkeys([order_col, *ties])), order_col, ties, (), same, rows_per_bucket, "_i", None)
+        limit = cut(inside.filter(F.col("_i") == first - below).select(place.alias("_place")), "edge")
+        late = (at > edge) | ((at == edge) & (place >= limit.scalar()))
+    late = F.coalesce(late & known, F.lit(False))
     return df.filter(~late), df.filter(late)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ringfence.functions.columns import flag
 from ringfence.operators.rank import quantiles, row_index
-from ringfence.session import join_small
+from ringfence.session import cut, join_small, new_path
 
 EWMA_CHUNK = 1_000_000
 LAST_SALTS = 64
@@ -83,6 +83,27 @@ def _replay(scores: np.ndarray, a: float, tau: float, margin: float):
     return before, after, took
 
 
+def _replayed(placed: DataFrame, by: list[str], last: int, finish, tau0: float, out: T.StructType) -> DataFrame:
+    """Chunk by chunk: every key's chunk starts where its one before ended."""
+    spark = placed.sparkSession
+    path, starts = new_path(spark, "replayed"), None
+    schema = T.StructType([*out.fields, T.StructField("_idx", T.LongType())])
+
+    def step(left, right):
+        start = left.column("tau_after")[0].as_py() if left.num_rows else tau0
+        return finish(right, start).append_column("_idx", right.sort_by("_idx").column("_idx")) if right.num_rows else right.slice(0, 0)
+
+    for c in range(last + 1):
+        part = placed.filter(F.col("_chunk") == c)
+        if starts is None:  # as a table, so that the two sides are told apart
+            starts = cut(part.limit(0).select(*by, F.lit(0.0).alias("tau_after")), "starts")
+        rows = starts.groupBy(*by).cogroup(part.groupBy(*by)).applyInArrow(step, schema)
+        done = cut(rows, "replayed-chunk")
+        done.select(*out.names).write.mode("append").parquet(path)
+        starts = done.groupBy(*by).agg(F.max_by("tau_after", "_idx").alias("tau_after"))
+    return spark.read.schema(out).parquet(path)
+
+
 def moving_threshold(
     df: DataFrame,
     score: str,
@@ -100,7 +121,8 @@ def moving_threshold(
 
     Rows scoring above ``tau_used + margin`` do not move the threshold, nor do
     missing scores, nor (``skip_override``) forced scores of -1. Keys longer than
-    ``chunk_rows`` are summarised and replayed in chunks with the same result.
+    ``chunk_rows`` are summarised and replayed in chunks with the same result; with a
+    margin, which no line describes, the chunks of a key are replayed one after another.
     """
     by = list(by)
     top = df.groupBy(*by).count().agg(F.max("count").alias("top"), F.sum("count").alias("all")).first()
@@ -128,7 +150,7 @@ def moving_threshold(
     if (top["top"] or 0) <= chunk_rows:
         return placed.groupBy(*by).applyInArrow(lambda table: finish(table, tau0), out)
     if margin:
-        raise ValueError("a margin makes the update discontinuous: keys longer than chunk_rows need margin 0")
+        return _replayed(cut(placed, "placed"), by, int((top["top"] - 1) // chunk_rows), finish, tau0, out)
 
     kinds = {f.name: f for f in df.schema.fields}
     keys = [T.StructField(k, kinds[k].dataType) for k in by]

@@ -11,7 +11,7 @@ from ringfence.operators.fit import fit_steps
 from ringfence.operators.score import score
 from ringfence.operators.threshold import threshold
 from ringfence.plans.train import Detector, load
-from ringfence.session import cut
+from ringfence.session import cut, key_join
 from ringfence.sources.models import latest_version, save_models
 from ringfence.spec import DatasetSpec
 
@@ -50,7 +50,7 @@ def update(
     scored = cut(score(rows, models, names, keys, keep=()), "scores")
     taus = threshold(scored, detector.spec.quantile, keys)
     if keys:
-        taus = detector.taus.withColumnRenamed("tau", "_old").join(taus, keys, "full").select(
+        taus = key_join(detector.taus.withColumnRenamed("tau", "_old"), taus, keys, "full").select(
             *keys, F.coalesce("tau", "_old").alias("tau")
         )
     return replace(detector, models=models, taus=cut(taus, "tau"), steps=steps)

@@ -74,8 +74,8 @@ def by_value():
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (unit tests on one machine) a new
-    temporary folder is made and set as the checkpoint folder.
+    Only where the session names none and all tasks run in this process (a local
+    master) a new temporary folder is made and set as the checkpoint folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -83,6 +83,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     made = tempfile.mkdtemp(prefix="run-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -97,14 +100,30 @@ def new_path(spark: SparkSession, label: str) -> str:
 SMALL_ROWS = 200_000
 
 
+def key_join(df: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join on equally named key columns; NULL is a key like any other. The keys come once."""
+    keys = [on] if isinstance(on, str) else list(on)
+    right = other.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    out = df.join(right, match, how)
+    if how in ("left_semi", "left_anti"):
+        return out
+    if how in ("full", "outer"):
+        out = out.withColumns({k: F.coalesce(k, f"_right_{k}") for k in keys})
+    return out.drop(*[f"_right_{k}" for k in keys])
+
+
 def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join a table that is usually small and already written out.
 
     It is counted, and broadcast only below ``SMALL_ROWS``; the rows of a hot key
     then stay where they are. A larger one is joined by key, where adaptive
-    execution splits hot keys.
+    execution splits hot keys. ``on`` names keys, NULL among them, or is a condition.
     """
-    return df.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small, on, how)
+    small = F.broadcast(small) if small.count() <= SMALL_ROWS else small
+    return key_join(df, small, on, how) if isinstance(on, (str, list, tuple)) else df.join(small, on, how)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ringfence.functions.kernel import MODEL_FIELDS, Boundary, fit, from_fields, to_fields
 from ringfence.plans.train import Detector
-from ringfence.session import by_value
+from ringfence.session import by_value, key_join
 from ringfence.spec import DatasetSpec
 
 _STATE = MODEL_FIELDS + ", tau double, since_refit bigint, buffer array<double>"
@@ -143,7 +143,7 @@ def adapt_stream(
     options = {"expand_always": expand_always, "skip_override": skip_override}
     default = initial = None
     if detector.keys:
-        start = detector.models.join(detector.taus.select(*detector.keys, "tau"), detector.keys)
+        start = key_join(detector.models, detector.taus.select(*detector.keys, "tau"), detector.keys)
         initial = start.groupBy(*keys)
     else:
         r = detector.models.first().asDict()

@@ -156,3 +156,65 @@ def test_sigma_and_sample(keyed):
     got = median_sigma(df, FEATS, ["t"], n=10_000).first()
     d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
     assert got["sigma"] == pytest.approx(np.median(d[d > 0]) / np.sqrt(2))
+
+
+def _awkward(spark, n=900):
+    """Tied order, a NULL key, missing features, many one-row keys."""
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 3 else "a", int(rng.integers(0, 25)), i, *rng.normal(size=2).tolist()) for i in range(n)]
+    rows += [("a", 3, n + 1, float("nan"), 0.0), ("a", None, n + 2, 0.1, 0.1), (None, 5, n + 3, None, 1.0)]
+    rows += [(f"one{i}", 1, n + 10 + i, float(i), 0.0) for i in range(40)]
+    return spark.createDataFrame(rows, "k string, t int, id long, x double, y double")
+
+
+def _models(df):
+    return {r["k"]: (r["n_sv"], r["seen"], round(r["radius"], 12), [round(a, 9) for a in r["alpha"]]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("seed", ["first", "central"])
+def test_model_does_not_depend_on_size_parameters(spark, seed):
+    df = _awkward(spark)
+    whole = _models(fit_by_key(df, ["x", "y"], ["k"], "t", ["id"], 0.7, seed=seed))
+    chunked = _models(fit_by_key(df, ["x", "y"], ["k"], "t", ["id"], 0.7, seed=seed, chunk_rows=37, rows_per_bucket=50))
+    assert whole == chunked and None in whole and len(whole) == 42
+
+
+def test_merged_fit_keeps_small_and_null_keys(spark):
+    from ringfence.operators.merge import fit_merged
+
+    small = spark.range(3000).select((F.col("id") + 10).cast("string").alias("k"), "id", F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    rng = np.random.default_rng(3)
+    large = spark.createDataFrame([(None, i, *rng.normal(size=2).tolist()) for i in range(1200)], "k string, id long, x double, y double")
+    got = {r["k"]: r for r in fit_merged(small.unionByName(large), ["x", "y"], ["id"], 1.0, ["k"], bucket_rows=1000).select("k", "n_sv", "seen").collect()}
+    assert len(got) == 3001 and got[None]["seen"] == 1200 and got["10"]["n_sv"] == 1
+
+
+def test_both_scoring_paths_agree(spark):
+    df = _awkward(spark)
+    models = fit_by_key(df, ["x", "y"], ["k"], "t", ["id"], 0.7)
+    one, two = (score(df, models, ["x", "y"], ["k"], keep=["id"], timed=True, broadcast_bytes=b).orderBy("id").toPandas() for b in (1 << 26, 0))
+    assert np.allclose(one.score, two.score, equal_nan=True) and one.score.isna().sum() == 2
+    assert two.score_seconds.notna().all() and one.k.isna().sum() == two.k.isna().sum() > 0
+    arrays = df.select("k", "t", "id", F.array("x", "y").alias("v")).unionByName(
+        spark.createDataFrame([("a", 1, -1, None), ("a", 1, -2, [1.0]), ("a", 1, -3, [1.0, None])], "k string, t int, id long, v array<double>"))
+    one, two = (score(arrays, models, "v", ["k"], keep=["id"], broadcast_bytes=b).orderBy("id").toPandas() for b in (1 << 26, 0))
+    assert np.allclose(one.score, two.score, equal_nan=True) and one.score.isna().sum() == 5
+
+
+def test_look_ahead_scans_few_chunks(spark, monkeypatch):
+    """Rows of a settled key are scanned once in all, not once per learned chunk."""
+    from ringfence.operators import fit as module
+
+    rows = spark.range(4000).select(F.lit("a").alias("k"), "id", F.when(F.col("id") % 1000 < 3, F.col("id") / 500).otherwise(0.01 * F.sin("id")).alias("x"), F.lit(0.0).alias("y"))
+    scanned, inner = [], module.score
+
+    def counted(df, *args, **kw):
+        scanned.append(df.count())
+        return inner(df, *args, **kw)
+
+    monkeypatch.setattr(module, "score", counted)
+    got = fit_by_key(rows, ["x", "y"], ["k"], "id", (), 1.0, chunk_rows=100)
+    learned = len(scanned)
+    assert sum(scanned) < 4000 * 3 and learned > 3
+    monkeypatch.setattr(module, "score", inner)
+    assert _models(got) == _models(fit_by_key(rows, ["x", "y"], ["k"], "id", (), 1.0))

@@ -114,8 +114,7 @@ def test_moving_threshold_options(spark):
     assert run() == [0.35, 0.35, 0.335]
     assert run(skip_override=True) == [0.5, 0.5, 0.47]
     assert run(margin=0.1, skip_override=True) == [0.5, 0.505, 0.4745]
-    with pytest.raises(ValueError, match="margin"):
-        threshold.moving_threshold(df, "score", ["k"], "t", 0.5, margin=0.1, chunk_rows=1)
+    assert run(margin=0.1, skip_override=True, chunk_rows=1) == [0.5, 0.505, 0.4745]
 
 
 def test_last_n_per_key(spark):
@@ -186,10 +185,19 @@ def test_last_groups_ignore_null_and_keep_train_whole(groups):
     assert train.count() + test.count() == len(pdf)
 
 
-def test_tail_splits_ties_by_hash(spark):
+@pytest.mark.parametrize("per_bucket", [10_000, 80])
+def test_tail_of_large_integers_and_ties(spark, per_bucket):
+    df = spark.range(100).select((F.lit(2**60) + F.col("id")).alias("t"), "id")
+    for ties in ((), ("id",)):
+        test = splits.holdout_tail(df, "t", ties, rows_per_bucket=per_bucket)[1]
+        assert sorted(r["id"] for r in test.collect()) == list(range(80, 100))
+
+
+def test_tail_splits_ties_by_value(spark):
     df = spark.range(1000).withColumn("t", F.lit(7))
     train, test = splits.holdout_tail(df, "t", ["id"], rows_per_bucket=80)
     assert (train.count(), test.count()) == (800, 200)
+    assert sorted(r["id"] for r in test.collect()) == list(range(800, 1000))
     again = splits.holdout_tail(df.repartition(5), "t", ["id"])[1]
     assert sorted(r["id"] for r in again.collect()) == sorted(r["id"] for r in test.collect())
 

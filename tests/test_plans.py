@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ringfence.functions.kernel import fit, from_fields
 from ringfence.operators import analysis, baselines, crossval
@@ -186,17 +186,54 @@ def test_cross_validation_equals_fold_by_fold(data):
 def test_csv_by_header_name_and_missing_file(spark, tmp_path):
     p = tmp_path / "x.csv"
     p.write_text("content,QoE_win,vmaf_mean,extra\nv1,0.5,90.1,7\nv2,oops,80,8\n")
-    got = tables.read(spark, str(p), get_spec("LIVE_NFLX_II")).collect()
+    got = tables.read(spark, str(p), get_spec("LIVE_NFLX_II"), strict=False).collect()
     assert [(r["vmaf_mean"], r["QoE_win"], r["content"]) for r in got] == [(90.1, 0.5, "v1"), (80.0, None, "v2")]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.read(spark, str(tmp_path / "no.csv"), get_spec("LIVE_NFLX_II"))
-    both = tables.read_present(spark, {"one": str(p), "two": str(tmp_path / "no.csv")}, get_spec("LIVE_NFLX_II"))
+    both = tables.read_present(spark, {"one": str(p), "two": str(tmp_path / "no.csv")}, get_spec("LIVE_NFLX_II"), strict=False)
     assert both.select("dataset").distinct().collect()[0][0] == "one" and both.count() == 2
     assert tables.read_present(spark, {"two": str(tmp_path / "no.csv")}) is None
     with pytest.raises(ValueError, match="schema"):
         tables.read(spark, str(p))
 
 
+def test_csv_columns_follow_each_header(spark, tmp_path):
+    (tmp_path / "t.csv").mkdir()
+    (tmp_path / "t.csv" / "a.csv").write_text("x,y,n\n1,2,a\n3,4,b\n")
+    (tmp_path / "t.csv" / "b.csv").write_text('y,"x"\n6,5\n')
+    got = tables.read(spark, str(tmp_path / "t.csv"), T.StructType.fromDDL("x double, y double, n string")).collect()
+    assert sorted(map(tuple, got), key=str) == [(1.0, 2.0, "a"), (3.0, 4.0, "b"), (5.0, 6.0, None)]
+    with pytest.raises(ValueError, match="no column z"):
+        tables.read(spark, str(tmp_path / "t.csv"), T.StructType.fromDDL("x double, z double"))
+    (tmp_path / "t.csv" / "b.csv").write_text("y,x\nsix,5\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        tables.read(spark, str(tmp_path / "t.csv"), T.StructType.fromDDL("x double, y double")).collect()
+
+
+def test_shared_folder_is_needed_off_one_machine(spark, monkeypatch):
+    from ringfence import session
+
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Elsewhere)
+
+
+def test_null_key_survives_save_update_and_flags(spark, tmp_path):
+    from ringfence.operators.threshold import flagged, threshold
+    from ringfence.session import key_join
+
+    left = spark.createDataFrame([(None, 1), ("a", 2), ("b", 3)], "k string, v int")
+    right = spark.createDataFrame([(None, 10), ("a", 20), ("c", 30)], "k string, w int")
+    assert sorted(map(tuple, key_join(left, right, "k").collect()), key=str) == [("a", 2, 20), (None, 1, 10)]
+    assert sorted(map(tuple, key_join(left, right, ["k"], "full").collect()), key=str) == [("a", 2, 20), ("b", 3, None), ("c", None, 30), (None, 1, 10)]
+    scored = spark.range(200).select(F.when(F.col("id") % 2 == 0, "a").alias("k"), F.col("id").cast("double").alias("score"))
+    out = flagged(scored, threshold(scored, 0.9, ["k"]), ["k"]).groupBy("k").agg(F.sum("is_anomaly").alias("n"), F.count("tau").alias("t")).collect()
+    assert {r.k: (r.n, r.t) for r in out} == {"a": (10, 100), None: (10, 100)}
+
+
 def test_flatten_cuts_to_the_shortest_and_drops_incomplete(spark):
     df = spark.createDataFrame([("f1.mat", [1.0, 2.0, 3.0], [4.0, 5.0]), ("f2.mat", [1.0], None), ("f3.mat", [], [1.0])],
                                "file string, a array<double>, b array<double>")

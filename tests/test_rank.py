@@ -74,13 +74,17 @@ def test_row_index_does_not_depend_on_partitions(skewed):
     assert runs[0].equals(runs[1]) and runs[0].equals(runs[2])
 
 
-def test_hot_value_is_spread_over_buckets(skewed):
-    """The busiest (bucket, slot) window holds far fewer rows than the hot value has."""
-    _, df = skewed
-    cuts = cut_points(df, F.col("v"), 3000, 100)
-    assert sum(c == 0.25 for c in cuts) > 5
-    plan = row_index(df, "v", ["id"], rows=3000, rows_per_bucket=100)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_slot" in plan
+@pytest.mark.parametrize("per_bucket", [10_000, 100])
+def test_positions_follow_values_at_every_size(spark, skewed, per_bucket):
+    """Hot values are ordered by the ties themselves; NULL comes first, NaN last; integers beyond 2^53 stay apart."""
+    pdf, df = skewed
+    got = row_index(df, "v", ["id"], rows_per_bucket=per_bucket).orderBy("row_idx").toPandas()
+    assert list(got.id) == list(pdf.sort_values(["v", "id"]).id)
+    odd = spark.createDataFrame([(None, 0), (float("nan"), 1)] + [(float(i), i) for i in range(2, 500)], "v double, id long")
+    assert [r.id for r in row_index(odd, "v", ["id"], rows_per_bucket=per_bucket).orderBy("row_idx").collect()] == [0, *range(2, 500), 1]
+    large = spark.range(500).select((F.lit(2**60) + (F.col("id") * 7) % 500).alias("v"), "id").withColumn("k", F.when(F.col("id") < 400, "a"))
+    for r in row_index(large, "v", (), ["k"], rows_per_bucket=per_bucket).groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("row_idx").alias("d"), F.max("row_idx").alias("m")).collect():
+        assert (r.n, r.d, r.m + 1) == ((400,) * 3 if r.k else (100,) * 3)
 
 
 def test_quantiles_skip_null_and_nan(spark):
