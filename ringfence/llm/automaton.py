@@ -80,7 +80,7 @@ class SuffixAutomaton:
 def shard_judge(length: int):
     """Windows of each segment that occur in one from a smaller doc_id; rows come in order of class and doc_id."""
 
-    def judge(classes, lead, n, copies, docs, bodies):
+    def judge(classes, lead, n, docs, bodies):
         hits = [[] for _ in bodies]
         automaton, held, own = None, [], None
         for i, (shard, doc) in enumerate(zip(classes.tolist(), docs.tolist())):

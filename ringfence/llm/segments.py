@@ -9,7 +9,7 @@ lies in exactly one. Segments with equal anchors are a *class*: only inside a cl
 2. The others leave two bit arrays of fixed size, of classes to look at and of those with different segments. They
    go to every task; a false hit costs time only.
 3. Occurrences of the remaining segments are written with their place. Where a class has one segment only, its count
-   decides. Of the others a task sends each segment's units once, as far as it remembers.
+   decides. Of the others the text is sent by the first document that has it, known by a third bit array.
 4. A judge decides, class by class, which windows of different segments repeat. Classes with more than
    ``class_limit`` distinct segments are decided window by window in a grouped count of 128-bit hashes instead.
 5. Occurrences meet the verdict of their class or segment; spans are collected per document.
@@ -29,8 +29,8 @@ from ringfence.session import cut, join_small
 
 BYTE = mix(np.arange(256, dtype=np.uint64), 3)
 PLACE = np.uint64(2**31 - 1)
-SEEN = 1 << 20
-OCCURRENCES = "doc_id long, text_key long, start long, n_windows int, lead int, anchor long, segment long, body binary"
+OCCURRENCES = "doc_id long, text_key long, start long, n_windows int, anchor long, segment long"
+BODIES = "anchor long, segment long, lead int, n_windows int, doc long, body binary"
 
 
 @dataclass(frozen=True)
@@ -116,19 +116,31 @@ def _count(units: Units, smaller_doc: bool):
 CHUNK = 1 << 16
 
 
-def _bits(bits: int):
-    """Rows (anchor, several) -> the chunks of two bit arrays."""
+def class_keys(batch):
+    """Keys of the classes to look at, and of those with several different segments."""
+    keys = batch.column("anchor").to_numpy().view(np.uint64)
+    return keys, keys[batch.column("several").to_numpy(zero_copy_only=False)]
 
+
+def sender_key(anchor: np.ndarray, segment: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return mix(mix(anchor.view(np.uint64) ^ mix(segment.view(np.uint64), 5), 6) ^ doc.view(np.uint64), 7)
+
+
+def sender_keys(batch):
+    """Keys of the segments with the first document of each."""
+    return [sender_key(*(batch.column(c).fill_null(0).to_numpy() for c in ("anchor", "segment", "doc")))]
+
+
+def _bits(bits: int, keys_of, arrays: int):
     def fill(batches):
         import pyarrow as pa
 
-        flags = np.zeros((2, 1 << bits), bool)
+        flags = np.zeros((arrays, 1 << bits), bool)
         for batch in batches:
-            at = batch.column("anchor").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-            flags[0, at] = True
-            flags[1, at[batch.column("several").to_numpy(zero_copy_only=False)]] = True
+            for flag, keys in zip(flags, keys_of(batch)):
+                flag[keys >> np.uint64(64 - bits)] = True
         packed = np.packbits(flags, axis=1)
-        for which in (0, 1):
+        for which in range(arrays):
             for chunk in range(0, packed.shape[1], CHUNK):
                 part = packed[which, chunk:chunk + CHUNK]
                 if part.any():
@@ -137,6 +149,11 @@ def _bits(bits: int):
     return fill
 
 
+def is_set(known: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    p = keys >> np.uint64(64 - bits)
+    return (known[p >> np.uint64(3)] >> (np.uint64(7) - (p & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+
 def _united(key, pdf):
     import pandas as pd
 
@@ -144,54 +161,63 @@ def _united(key, pdf):
     return pd.DataFrame({"which": [key[0]], "chunk": [key[1]], "bits": [out.tobytes()]})
 
 
-def bit_arrays(classes: DataFrame, bits: int) -> np.ndarray:
-    """Two arrays of 2^bits bits: classes to look at, and those with several different segments."""
+def bit_arrays(rows: DataFrame, keys_of, arrays: int, bits: int) -> np.ndarray:
+    """Arrays of 2^bits bits for the keys that ``keys_of`` takes from the batches of ``rows``. Their size is fixed."""
     schema = "which long, chunk long, bits binary"
-    parts = classes.select("anchor", "several").mapInArrow(_bits(bits), schema).groupBy("which", "chunk").applyInPandas(_united, schema)
-    out = np.zeros((2, (1 << bits) // 8), np.uint8)
+    parts = rows.mapInArrow(_bits(bits, keys_of, arrays), schema).groupBy("which", "chunk").applyInPandas(_united, schema)
+    out = np.zeros((arrays, max(1, (1 << bits) // 8)), np.uint8)
     for which, chunk, part in parts.collect():
         out[which, chunk:chunk + len(part)] = np.frombuffer(bytes(part), np.uint8)
     return out
 
 
+def _hit_segments(units: Units, known, bits: int, batches):
+    """Per piece: its batch and first row, bytes, offsets, the segments of classes to look at, which have several."""
+    for batch in batches:
+        for a, b, buf, at in pieces(batch.column("text")):
+            _, found = cut_segments(units, buf, at)
+            if found is not None:
+                hit = is_set(known[0], found[5].view(np.uint64), bits)
+                found = [x[hit] for x in found]
+                if hit.any():
+                    yield batch, a, buf, at, found, is_set(known[1], found[5].view(np.uint64), bits)
+
+
 def _occurrences(units: Units, sent, bits: int):
     names = [f.split()[0] for f in OCCURRENCES.split(", ")]
 
     def occurrences(batches):
         import pyarrow as pa
 
-        known, seen = sent.value, set()
-        for batch in batches:
-            ids, keys = batch.column("doc_id"), batch.column("text_key")
-            for a, b, buf, at in pieces(batch.column("text")):
-                _, found = cut_segments(units, buf, at)
-                if found is None:
-                    continue
-                place = found[5].view(np.uint64) >> np.uint64(64 - bits)
-                hit = lambda which, p: known[which, p >> np.uint64(3)] >> (np.uint64(7) - (p & np.uint64(7))).astype(np.uint8) & 1 > 0
-                doc, s, start, n, lead, anchor, key = (x[hit(0, place)] for x in found)
-                if not len(doc):
-                    continue
-                several = hit(1, anchor.view(np.uint64) >> np.uint64(64 - bits))
-                fresh = []
-                for i, k in zip(np.flatnonzero(several).tolist(), (anchor ^ mix(key.view(np.uint64), 5).view(np.int64))[several].tolist()):
-                    if k not in seen:
-                        seen.add(k)
-                        fresh.append(i)
-                if len(seen) > SEEN:
-                    seen = set()
-                bodies = [None] * len(doc)
-                lo, hi = units.extent(buf, at, s[fresh], s[fresh] + n[fresh] + units.window - 1)
-                for i, x, y in zip(fresh, lo.tolist(), hi.tolist()):
-                    bodies[i] = buf[x:y].tobytes()
-                rows = pa.array(a + doc)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), keys.take(rows), pa.array(start), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32)),
-                     pa.array(anchor), pa.array(key, mask=~several), pa.array(bodies, pa.binary())], names)
+        for batch, a, _, _, (doc, _, start, n, _, anchor, key), several in _hit_segments(units, sent.value, bits, batches):
+            rows = pa.array(a + doc)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(start), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(key, mask=~several)], names)
 
     return occurrences
 
 
+def _bodies(units: Units, sent, senders, bits: int):
+    """The texts of segments of classes with several, from their first documents."""
+    names = [f.split()[0] for f in BODIES.split(", ")]
+
+    def bodies(batches):
+        import pyarrow as pa
+
+        for batch, a, buf, at, found, several in _hit_segments(units, sent.value, bits, batches):
+            ids = batch.column("doc_id").fill_null(0).to_numpy()[a + found[0]]
+            own = np.flatnonzero(several)
+            own = own[is_set(senders.value[0], sender_key(found[5][own], found[6][own], ids[own]), bits)]
+            own = own[np.unique(np.stack([found[6][own], ids[own]]), axis=1, return_index=True)[1]]
+            if len(own):
+                _, s, _, n, lead, anchor, key = (x[own] for x in found)
+                lo, hi = units.extent(buf, at, s, s + n + units.window - 1)
+                texts = [buf[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array(lead.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(ids[own]), pa.array(texts, pa.binary())], names)
+
+    return bodies
+
+
 JUDGED = "anchor long, segment long, hits array<int>"
 BLOCK_BYTES = 16 << 20
 
@@ -199,27 +225,30 @@ BLOCK_BYTES = 16 << 20
 def _by_class(judge):
     """Rows in order of class; whole classes are gathered to blocks of ``BLOCK_BYTES`` for the judge.
 
-    The judge gets (class number, lead, n_windows, copies, least doc_id, text) and gives per segment the windows
-    that repeat.
+    The judge gets (class number, lead, n_windows, least doc_id, text) and gives per segment the windows that repeat.
     """
 
     def run(batches):
         import pyarrow as pa
 
         def decided(rows):
-            anchor, segment, lead, n, copies, doc, body = (list(x) for x in zip(*rows))
+            anchor, segment, lead, n, doc, body = (list(x) for x in zip(*rows))
             classes = np.unique(np.array(anchor), return_inverse=True)[1]
-            hits = judge(classes, np.array(lead), np.array(n), np.array(copies), np.array(doc), body)
+            hits = judge(classes, np.array(lead), np.array(n), np.array(doc), body)
             return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(segment), pa.array(hits, pa.list_(pa.int32()))], ["anchor", "segment", "hits"])
 
-        held, size, last = [], 0, None
+        held, size, last, met = [], 0, None, set()
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[0] != last and size >= BLOCK_BYTES:
-                    yield decided(held)
-                    held, size = [], 0
-                held.append(row)
-                size, last = size + len(row[-1]), row[0]
+                if row[0] != last:
+                    last, met = row[0], set()
+                    if size >= BLOCK_BYTES:
+                        yield decided(held)
+                        held, size = [], 0
+                if row[1] not in met:  # sent twice; the first row has the least doc_id
+                    met.add(row[1])
+                    held.append(row)
+                    size += len(row[-1])
         if held:
             yield decided(held)
 
@@ -234,7 +263,7 @@ def _windows(units: Units):
 
         names = ["anchor", "segment", "copies", "doc", "w", "h1", "h2"]
         for batch in batches:
-            for anchor, segment, lead, n, copies, doc, body in zip(*[c.to_pylist() for c in batch.columns]):
+            for anchor, segment, n, copies, doc, body in zip(*[c.to_pylist() for c in batch.columns]):
                 h = units.of_body(body)
                 one, two = grams(h, units.window), grams(mix(h, 11), units.window)
                 same = [pa.array([v] * n, pa.int64()) for v in (anchor, segment, copies, doc)]
@@ -280,7 +309,7 @@ def repeated_spans(docs: DataFrame, units: Units, judge, smaller_doc: bool, clas
     shared = counted.filter(F.col("d_min") < F.col("d_max") if smaller_doc else F.col("n") > 1)
     classes = cut(shared.select("anchor", F.col("d_min").alias("doc") if smaller_doc else F.lit(None).cast("long").alias("doc"),
                                 (F.col("s_min") != F.col("s_max")).alias("several")), "classes")
-    sent = spark.sparkContext.broadcast(bit_arrays(classes, bits))
+    sent = spark.sparkContext.broadcast(bit_arrays(classes, class_keys, 2, bits))
     places = cut(docs.mapInArrow(_occurrences(units, sent, bits), OCCURRENCES), "occurrences")
     kept = ["doc_id", "text_key", "start", "n_windows"]
     later = F.col("doc_id") > F.col("doc") if smaller_doc else F.lit(True)
@@ -288,15 +317,16 @@ def repeated_spans(docs: DataFrame, units: Units, judge, smaller_doc: bool, clas
     alone = alone.filter(later).select(*kept, F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("hits"))
 
     segment = ["anchor", "segment"]
-    segments = cut(places.filter("segment is not null").groupBy(*segment).agg(
-        F.first("lead").alias("lead"), F.first("n_windows").alias("n_windows"), F.count(F.lit(1)).alias("copies"),
-        F.min("doc_id").alias("doc"), F.first("body", ignorenulls=True).alias("body")), "segments")
-    large = cut(segments.groupBy("anchor").count().filter(F.col("count") > class_limit).select("anchor"), "large")
-    columns = [*segment, "lead", "n_windows", "copies", "doc", "body"]
+    segments = cut(places.filter("segment is not null").groupBy(*segment).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc")), "segments")
+    several = segments.groupBy("anchor").count()
+    large = cut(several.filter(F.col("count") > class_limit).select("anchor"), "large")
+    senders = spark.sparkContext.broadcast(bit_arrays(segments, sender_keys, 1, bits))
+    bodies = cut(docs.mapInArrow(_bodies(units, sent, senders, bits), BODIES), "bodies")
     # ranges of anchors, split at sampled ones; a class stays whole
-    small = join_small(segments, large, "anchor", "left_anti").select(*columns)
+    small = join_small(bodies, large, "anchor", "left_anti").select("anchor", "segment", "lead", "n_windows", "doc", "body")
     judged = small.repartitionByRange("anchor").sortWithinPartitions("anchor", "doc", "segment").mapInArrow(_by_class(judge), JUDGED)
-    single = join_small(segments, large, "anchor", "left_semi").select(*columns).mapInArrow(
+    single = join_small(bodies, large, "anchor", "left_semi").groupBy(*segment, "n_windows").agg(F.first("body").alias("body"))
+    single = single.join(segments, segment).select(*segment, "n_windows", "copies", "doc", "body").mapInArrow(
         _windows(units), "anchor long, segment long, copies long, doc long, w int, h1 long, h2 long")
     of_window = single.groupBy("h1", "h2").agg(F.sum("copies").alias("_copies"), F.min("doc").alias("_doc"))
     hit = F.col("_doc") < F.col("doc") if smaller_doc else F.col("_copies") > 1

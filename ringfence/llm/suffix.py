@@ -68,18 +68,16 @@ def bucket_judge(length: int, gram: int = GRAM):
     Padding never decides: a string of l and length - l bytes lies inside its segment on both sides.
     """
 
-    def judge(classes, lead, n, copies, docs, bodies):
+    def judge(classes, lead, n, docs, bodies):
         before = padded([b[:k][::-1] for b, k in zip(bodies, lead.tolist())], length - gram)
         after = padded([b[k:k + length] for b, k in zip(bodies, lead.tolist())], length)
         reach = np.zeros((2, len(bodies)), np.int64)
         for side, rows in enumerate((before, after)):
             order, same = sorted_rows(rows)
             reach[side, order] = np.maximum(same, np.append(same[1:], 0))
-        chosen = np.flatnonzero((reach.sum(0) >= length) & (copies == 1))
-        # a segment with copies is repeated as a whole; it still matters as a partner
         rows = np.flatnonzero(reach.sum(0) >= length)
         hits = [[] for _ in bodies]
-        if len(chosen) and len(rows) > 1:
+        if len(rows) > 1:
             groups = [sorted_rows(side[rows]) for side in (before, after)]
             first, windows = lead[rows], n[rows]
             for l in range(length - gram + 1):

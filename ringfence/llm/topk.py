@@ -8,7 +8,7 @@ sum exactly representable, else as 64-bit integers.
 
 Defined cases: a null vector, one with a null, NaN or infinite component, or a row without id takes no part; vectors of
 different lengths don't meet; rows with the same id are told apart by a number, so a query meets its copies; ties go
-to the smaller id; fewer than k candidates give all. Other columns are not looked at.
+to the smaller id; fewer than k candidates give all; a score beyond 64 bits is not defined. Other columns are not looked at.
 """
 
 from __future__ import annotations
