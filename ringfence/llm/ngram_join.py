@@ -4,13 +4,13 @@ Tokens are the distinct shingles of a document as 64-bit hashes; documents with
 under a hash of its tokens. Sets with Jaccard t share a token among the first n - ceil(t n) + 1 of each, in *any* order of
 all tokens. Here an order puts tokens that are frequent last (by a count sketch over all documents, whose size is
 fixed; only counts well above the mean matter) and the others in an order of its own hash. A pair has to
-share prefix tokens under each order:
+share a prefix token under each order, and more closely, with o the common tokens that t asks of a pair of these sizes: one
+among the first n - o + 1 of each, at places from which o common tokens can still be reached.
 
 1. Prefix tokens under the first order; tokens with one set only are done with.
-2. Every set is compared with the set that leads most of its token lists. Most near copies are linked here, so
-   that large groups do not give their square of pairs.
-3. Sets still in a list under the first order send their prefix under the next one. Pairs from different
-   components so far have to occur under every order; then their whole sets are compared.
+2. Every set is compared with the hubs of its token lists, those that meet most other sets. Most near copies are linked here, so that large groups do not give their square of pairs.
+3. Sets with candidates left under the first order send their prefix under the next one. Pairs from different
+   components so far have to pass the filter of every order; then their whole sets are compared.
 
 Links inside a component are left out; they change no component. Nothing else is: no list or candidate is capped.
 
@@ -29,7 +29,8 @@ from ringfence.llm.rows import text_key
 from ringfence.llm.segments import bit_arrays
 from ringfence.session import cut
 
-SKETCH_BITS, CHUNK = 20, 1 << 16
+SKETCH_BITS, CHUNK = 22, 1 << 18
+LEADERS = 4
 SEEN = 1 << 20
 SETS = "doc_id long, text_key long, set_key long, n int, chunk int, counts binary"
 
@@ -62,7 +63,7 @@ def _describe(size: int):
     def describe(batches):
         import pyarrow as pa
 
-        counts, held, many = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+        counts, held, many = np.zeros(1 << SKETCH_BITS, np.int32), [], 0
         for batch in batches:
             keys, sizes = [None] * len(batch), [0] * len(batch)
             for row, tokens in sets_of(batch.column("text"), size):
@@ -88,25 +89,28 @@ def _describe(size: int):
 def _added(key, pdf):
     import pandas as pd
 
-    total = sum(np.frombuffer(b, np.int64) for b in pdf["counts"])
+    total = sum(np.frombuffer(b, np.int32).astype(np.int64) for b in pdf["counts"])
     return pd.DataFrame({"chunk": [key[0]], "counts": [total.tobytes()]})
 
 
 def frequency_levels(sketch: DataFrame) -> np.ndarray:
-    """Per leading bits of a token: 0 up to four times the mean count, then one more for every doubling."""
+    """Per leading bits of a token: 0 up to twice the mean count, then one more for every doubling."""
     parts = sketch.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(_added, "chunk int, counts binary")
     counts = np.zeros(1 << SKETCH_BITS)
     for chunk, part in parts.collect():
         counts[chunk:chunk + CHUNK] = np.frombuffer(bytes(part), np.int64)
-    return np.clip(np.floor(np.log2(np.maximum(counts / max(1e-9, 4 * counts.mean()), 0.5))) + 1, 0, 31).astype(np.uint64)
+    return np.clip(np.floor(np.log2(np.maximum(counts / max(1e-9, 2 * counts.mean()), 0.5))) + 1, 0, 31).astype(np.uint64)
 
 
 def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first n - ceil(percent/100 n) + 1 tokens under an order; more where ranks are equal."""
+    """The first n - ceil(percent/100 n) + 1 tokens under an order, in that order; equal ranks by the token itself."""
     n = len(tokens)
     k = n + (-percent * n // 100) + 1
     rank = (levels[tokens >> np.uint64(64 - SKETCH_BITS)] << np.uint64(58)) | (mix(tokens, 100 + order) >> np.uint64(6))
-    return tokens[rank <= np.partition(rank, k - 1)[k - 1]] if k < n else tokens
+    if k < n:
+        near = rank <= np.partition(rank, k - 1)[k - 1]
+        tokens, rank = tokens[near], rank[near]
+    return tokens[np.lexsort((tokens, rank))][:k]
 
 
 def _fresh_sets(column, size: int, seen: set):
@@ -125,6 +129,10 @@ def _in(known: np.ndarray, key: int, bits: int) -> bool:
     return bool(known[p >> 3] >> (7 - (p & 7)) & 1)
 
 
+LIST = ["token", "set_key", "n", "place"]
+LISTS = "token long, set_key long, n int, place int"
+
+
 def _postings(size: int, percent: int, order: int, levels, known, bits: int):
     def postings(batches):
         import pyarrow as pa
@@ -136,8 +144,8 @@ def _postings(size: int, percent: int, order: int, levels, known, bits: int):
             def out():
                 lengths = [len(p) for p in parts]
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))],
-                    ["token", "set_key", "n"])
+                    [pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+                     pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]))], LIST)
 
             for key, tokens in _fresh_sets(batch.column("text"), size, seen):
                 if known is not None and not _in(known.value, key, bits):
@@ -183,46 +191,55 @@ def _shared(batches):
 
 
 def _cross_pairs(percent: int):
-    """Rows in order of token: pairs of sets from different components whose sizes allow the similarity."""
+    """Rows in order of token: pairs of sets from different components that this token does not rule out."""
 
     def pairs(batches):
-        names, rest = ["token", "set_key", "n", "component"], None
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = [batch.column(c).to_numpy() for c in names]
-            if rest is not None:
-                rows = [np.concatenate([r, x]) for r, x in zip(rest, rows)]
-            end = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-            rest = [r[end:] for r in rows]
-            yield from found([r[:end] for r in rows])
-        if rest is not None:
-            yield from found(rest)
-
-    def found(rows):
         import pyarrow as pa
 
-        token, key, n, part = rows
-        at, d, held = np.arange(len(token)), 0, []
+        names, rest, held, many = [*LIST, "component"], None, [], 0
 
-        def out():
+        def combined():
             both = np.unique(np.concatenate(held, axis=1), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
+        def parts():
+            nonlocal rest
+            for batch in batches:
+                if not len(batch):
+                    continue
+                rows = [batch.column(c).to_numpy() for c in names]
+                if rest is not None:
+                    rows = [np.concatenate([r, x]) for r, x in zip(rest, rows)]
+                end = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+                rest = [r[end:] for r in rows]
+                yield [r[:end] for r in rows]
+            if rest is not None:
+                yield rest
+
+        for part in parts():
+            for found in of_tokens(*part):
+                held.append(found)
+                many += found.shape[1]
+                if many > 1 << 20:  # combine what this task has met before it is sent
+                    yield combined()
+                    held, many = [], 0
+        if held:
+            yield combined()
+
+    def of_tokens(token, key, n, place, part):
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        at, d = np.arange(len(token)), 0
         while len(at):
             d += 1
             at = at[at + d < len(token)]
             at = at[token[at + d] == token[at]]
-            x, y = at, at + d
-            ok = (part[x] != part[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]).astype(np.int64))
+            x, y = at[part[at] != part[at + d]], at[part[at] != part[at + d]] + d
+            least = -(-percent * (n[x] + n[y]) // (100 + percent))  # common tokens that the similarity asks for
+            left = np.minimum(n[x] - place[x], n[y] - place[y])
+            ok = (left >= least) & (np.minimum(place[x], place[y]) + left >= least) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
             if ok.any():
                 a, b = key[x[ok]], key[y[ok]]
-                held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-                if sum(h.shape[1] for h in held) > 1 << 17:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
+                yield np.stack([np.minimum(a, b), np.maximum(a, b)])
 
     return pairs
 
@@ -266,6 +283,10 @@ def _similar(percent: int):
     return similar
 
 
+def own_keys(batch):
+    return [batch.column("set_key").to_numpy().view(np.uint64)]
+
+
 class SetJoin:
     """The join of one document table with itself, its scans and filters."""
 
@@ -279,12 +300,12 @@ class SetJoin:
 
     def known(self, keys: DataFrame):
         """A bit array of fixed size over set keys, at every task; a false hit costs time only."""
-        return self.context.broadcast(bit_arrays(keys.select(F.col("set_key").alias("anchor"), F.lit(False).alias("several")), self.bits)[0])
+        return self.context.broadcast(bit_arrays(keys.select("set_key"), own_keys, 1, self.bits)[0])
 
     def lists(self, order: int, known=None) -> DataFrame:
-        postings = self.texts.mapInArrow(_postings(self.size, self.percent, order, self.levels, known, self.bits), "token long, set_key long, n int")
+        postings = self.texts.mapInArrow(_postings(self.size, self.percent, order, self.levels, known, self.bits), LISTS)
         dealt = postings.repartition("token").sortWithinPartitions("token", "set_key")
-        return cut(dealt.mapInArrow(_shared, "token long, set_key long, n int"), f"lists-{order}")
+        return cut(dealt.mapInArrow(_shared, LISTS), f"lists-{order}")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of set keys that reach the similarity."""
@@ -295,35 +316,42 @@ class SetJoin:
         one, two = (sets.select(F.col("set_key").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
         return cut(pairs.join(two, "b").join(one, "a").select("a", "b", "body_a", "body_b").mapInArrow(_similar(self.percent), "a long, b long"), "verified")
 
-    def near(self, x, y):
-        return 100 * F.least(x, y) >= self.percent * F.greatest(x, y)
-
     def leader_pairs(self, lists: DataFrame) -> DataFrame:
-        """Each set with the one that leads most of its lists, if in an eighth of its prefix at least."""
-        lead = F.min(F.struct("set_key", "n")).over(W.partitionBy("token"))
-        led = lists.withColumn("lead", lead).filter(F.col("lead.set_key") < F.col("set_key")).filter(self.near(F.col("lead.n"), F.col("n")))
-        counted = led.groupBy("set_key", "n", F.col("lead.set_key").alias("b")).count()
-        best = counted.withColumn("_r", F.row_number().over(W.partitionBy("set_key").orderBy(F.col("count").desc(), "b")))
-        return best.filter("_r = 1").filter(F.col("count") * 800 >= (100 - self.percent) * F.col("n")).select(F.col("set_key").alias("a"), "b")
+        """Each set with up to ``LEADERS`` of its lists' hubs: the sets that meet most others, among those it may be similar to."""
+        of_token = W.partitionBy("token")
+        lists = lists.select("token", "set_key", "n")
+        sized = lists.withColumn("_size", F.count(F.lit(1)).over(of_token))
+        hubs = sized.join(sized.groupBy("set_key").agg(F.sum("_size").alias("_meets")), "set_key")
+        first = of_token.orderBy(F.col("_meets").desc(), "set_key")
+        hubs = hubs.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= LEADERS).select("token", F.col("set_key").alias("b"), F.col("n").alias("n_b"))
+        led = lists.join(hubs, "token").filter(F.col("b") != F.col("set_key"))
+        counted = led.groupBy(F.col("set_key").alias("a"), "b", F.col("n").alias("n_a"), "n_b").agg(F.count(F.lit(1)).alias("shared"))
+        best = W.partitionBy("a").orderBy(F.col("shared").desc(), "b")
+        alike = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
+        # with the pair's own common prefix tokens, at most all but the prefixes can be common
+        overlap = F.ceil(self.percent * (F.col("n_a") + F.col("n_b")) / (100 + self.percent))
+        beyond = F.greatest(F.ceil(self.percent * F.col("n_a") / 100), F.ceil(self.percent * F.col("n_b") / 100)) - 1
+        counted = counted.filter(alike & (F.col("shared") + beyond >= overlap))
+        best = counted.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= LEADERS)
+        return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def with_component(self, lists: DataFrame, parts: DataFrame) -> DataFrame:
+        return lists.join(parts.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
 
     def linked(self) -> DataFrame:
         """node, component of every set that is linked with another."""
         first = self.lists(0)
         links = self.verified(self.leader_pairs(first))
         parts = cut(components(links), "parts")
-        survivors = first.select("set_key").distinct()
-        candidates = None
+        candidates, survivors = None, None
         for order in range(self.orders):
             lists = first if order == 0 else self.lists(order, self.known(survivors))
-            own = lists.join(parts.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-            dealt = own.repartition("token").sortWithinPartitions("token", "n")
+            dealt = self.with_component(lists, parts).repartition("token").sortWithinPartitions("token", "n")
             pairs = dealt.mapInArrow(_cross_pairs(self.percent), "a long, b long").distinct()
             pairs = pairs if candidates is None else candidates.join(pairs, ["a", "b"], "left_semi")
             candidates = cut(pairs, f"candidates-{order}")
             survivors = candidates.select(F.col("a").alias("set_key")).unionByName(candidates.select(F.col("b").alias("set_key"))).distinct()
-        more = self.verified(candidates)
-        stars = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        return components(stars.unionByName(more))
+        return components(links.unionByName(self.verified(candidates)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, orders: int = 2, bits: int = 26) -> DataFrame:
