@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from ringfence.session import cut
 
 WINDOW = 2048
+#: The one added token of byte_bpe_50k.json: cut out of a text before the pattern and the merges see it.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -26,7 +28,7 @@ _encoders: dict = {}
 
 
 def encoder(ranks_path: str | None = None):
-    """Ids as the byte_bpe_50k tokenizer gives them, special strings taken as text, once per worker."""
+    """Ids as the byte_bpe_50k tokenizer gives them to a text without :data:`ADDED`, once per worker."""
     import base64
 
     import public_tokenizers
@@ -40,6 +42,16 @@ def encoder(ranks_path: str | None = None):
     return _encoders[path]
 
 
+def token_ids(text: str, encode) -> list[int]:
+    """Ids as the byte_bpe_50k tokenizer gives them by default; ``encode`` is for the texts between added tokens."""
+    first, *rest = text.split(ADDED)
+    ids = encode(first)
+    for part in rest:
+        ids.append(ADDED_ID)
+        ids += encode(part)
+    return ids
+
+
 def token_pieces(window: int, end_id: int, ranks_path: str | None):
     """doc_id, text -> the pieces of every document, with the checksum of their ids."""
 
@@ -50,7 +62,7 @@ def token_pieces(window: int, end_id: int, ranks_path: str | None):
         for batch in batches:
             columns = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
+                ids = np.array([*token_ids(text.as_py() or "", encode), end_id], "<u4")
                 whole = zlib.crc32(ids.tobytes())
                 for start in range(0, len(ids), window):
                     part = ids[start:start + window]

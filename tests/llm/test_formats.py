@@ -152,6 +152,21 @@ def test_ids_equal_the_named_tokenizer(spark, sf):
     assert all(encode(t) == other.encode(t, add_special_tokens=False).ids for t in texts)
 
 
+def test_packed_ids_hold_the_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    named, mark = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "<|endoftext|>"
+    texts = [f"{mark} a", f"a {mark}b", mark, mark * 3, f"x  {mark}  y", f"don{mark}'t", f"{mark[:-1]} {mark}{mark[1:]}", f"{mark[:6]}{mark}", f"é\n{mark}\n\n漢", f"one {mark} two " * 400, "no mark", None]
+    left = defaultdict(list)
+    for r in pack(corpus.frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect():
+        left[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for i, t in enumerate(texts):
+        ids = np.array([*named.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want = [(a, len(ids[a:a + 2048]), zlib.crc32(ids[a:a + 2048].tobytes()), len(ids)) for a in range(0, len(ids), 2048)]
+        assert sorted(left[i]) == want, t
+
+
 CHATS = "conv_id long, turn long, role string, text string, extra string, formatted string, example string"
 
 
