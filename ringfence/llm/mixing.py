@@ -74,7 +74,8 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), most: int = 3) -> DataFr
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: int = 256, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, target and ``taken``, the words that the mix takes of each document; text_key.
 
-    ``taken`` counts repeats and is at most ``most`` times the size. Per source it sums to the rounded target
+    ``rounds`` are the whole copies in it, ``runs`` the ranges of words [at, to) of the blocks drawn beyond them, in order,
+    touching ranges as one. ``taken`` counts repeats and is at most ``most`` times the size. Per source it sums to the rounded target
     (in a source that stops at ``most`` times its size, short of it by a few blocks at most).
     """
     rows = cut(docs.select(
@@ -117,30 +118,38 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: int =
     key = ["doc_id", "text_key", "source", "size", "source_size", "target", "sid", "_shard", "_start"]
     spread = placed.filter("size > 0").withColumn(
         "_b", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))))
-    overlap = F.greatest(F.lit(0).cast("long"), F.least(F.col("_start") + F.col("size"), F.col("_b") * block + F.col("_extra"))
-                         - F.greatest("_start", F.col("_b") * block))
+    at = F.greatest(F.lit(0).cast("long"), F.col("_b") * block - F.col("_start"))
+    to = F.least("size", F.col("_b") * block + F.col("_extra") - F.col("_start"))
     got = spread.join(taken, ["sid", "_shard", "_b"]).groupBy(*key).agg(
-        (F.col("size") * F.first("_rounds") + F.sum(overlap)).cast("long").alias("taken"))
-    none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    out = ["doc_id", "source", "size", "source_size", "target", "taken", "text_key"]
+        (F.col("size") * F.first("_rounds") + F.sum(F.greatest(F.lit(0).cast("long"), to - at))).cast("long").alias("taken"),
+        F.first("_rounds").alias("rounds"), F.sort_array(F.collect_list(F.when(to > at, F.struct(at.alias("at"), to.alias("to"))))).alias("_drawn"))
+    heads = F.filter("_drawn", lambda r, i: F.coalesce(F.get("_drawn", i - 1)["to"] < r["at"], F.lit(True)))
+    tails = F.filter("_drawn", lambda r, i: F.coalesce(F.get("_drawn", i + 1)["at"] > r["to"], F.lit(True)))
+    got = got.withColumn("runs", F.zip_with(heads, tails, lambda a, b: F.struct(a["at"].alias("at"), b["to"].alias("to"))))
+    none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("rounds", F.lit(0).cast("long"))
+    none = none.withColumn("runs", F.array().cast("array<struct<at: bigint, to: bigint>>"))
+    out = ["doc_id", "source", "size", "source_size", "target", "taken", "text_key", "rounds", "runs"]
     return got.select(*out).unionByName(none.select(*out))
 
 
 def take_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix as documents, all columns: whole copies, then the words beyond them from the start of the text.
+    """The mix as documents, all columns: whole copies, then a row for each run of drawn words beyond them.
 
-    ``mixed`` is :func:`mix_sources` of the same ``docs``. A cut text has its words joined by one space; a column
-    n_chars then has its length.
+    ``mixed`` is :func:`mix_sources` of the same ``docs``. A run that is not the whole text has its words joined by one
+    space; a column n_chars then has its length.
     """
     mixed = cut(mixed, "mixed")
-    taken = mixed.groupBy("doc_id", "text_key", "size").agg(F.sum("taken").alias("_taken")).filter("_taken > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("size").alias("_size"), "_taken")
+    taken = mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("size").alias("_size"),
+                                             F.col("rounds").alias("_rounds"), F.col("runs").alias("_runs"))
     both = once(docs, mixed).join(taken, (text_key() == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    part = F.col("_no") * F.col("_size") > F.col("_taken")
-    rest = (F.col("_taken") % F.col("_size")).cast("int")
-    cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(rest, F.lit(1))), " ")
-    rows = both.withColumn("_no", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
-    rows = rows.withColumn("_part", part).withColumn("text", F.when(F.col("_part"), cut_text).otherwise(F.col("text")))
+    # a null stands for the whole text; the words of a text are listed once, for all of its runs
+    piece = lambda words, r: F.when(r["to"] - r["at"] < F.col("_size"), F.array_join(
+        F.slice(words, (r["at"] + 1).cast("int"), (r["to"] - r["at"]).cast("int")), " "))
+    listed = F.when((F.size("_runs") > 0) & ~F.exists("_runs", lambda r: r["to"] - r["at"] == F.col("_size")),
+                    F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    runs = F.transform(F.array(listed), lambda words: F.transform("_runs", lambda r: piece(words, r)))[0]
+    rows = both.withColumn("_pieces", F.concat(F.array_repeat(F.lit(None).cast("string"), F.col("_rounds").cast("int")), runs))
+    rows = rows.withColumn("_piece", F.explode("_pieces")).withColumn("text", F.coalesce("_piece", "text"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_part"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col("_piece").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)

@@ -88,6 +88,27 @@ def test_mix_awkward(spark):
     assert sum(len(corpus.WORD.findall(r.text)) for r in taken.collect()) == sum(r.taken for r in rows)
 
 
+@pytest.mark.parametrize("seed", [17, 18, 19])
+def test_mix_takes_the_drawn_blocks(spark, seed):
+    sizes = {1: 1000, 2: 1000, 3: 1003}  # targets 1876.9, 750.8, 375.4
+    docs = corpus.frame(spark, [(d, " ".join(f"d{d}w{i}" for i in range(n)), "abc"[d - 1]) for d, n in sizes.items()])
+    mixed = mix_sources(docs, block=10, seed=seed)
+    kept, rows = {r.doc_id: r for r in mixed.collect()}, take_mix(docs, mixed).collect()
+    for d, n in sizes.items():
+        pieces = [[int(w.split("w")[1]) for w in r.text.split(" ")] for r in rows if r.doc_id == d]
+        whole, parts = [p for p in pieces if len(p) == n], [p for p in pieces if len(p) < n]
+        assert all(p == list(range(p[0], p[0] + len(p))) for p in pieces) and all(p[0] % 10 == 0 for p in pieces)
+        assert sum(map(len, pieces)) == kept[d].taken and len(whole) == kept[d].taken // n == kept[d].rounds
+        assert sorted((p[0], p[0] + len(p)) for p in parts) == [tuple(r) for r in kept[d].runs]
+        ends = sorted(p[0] + len(p) for p in parts)
+        assert sum(e % 10 > 0 and e < n for e in ends) <= 1  # one block is cut to settle the words
+        assert len(parts) > 5 and ends[-1] > 0.8 * n  # blocks from everywhere, not the start of the text
+        starts = [p[0] for p in parts]
+        assert not set(starts) & set(ends)  # touching blocks are one row
+    whole = mix_sources(docs.filter("doc_id = 3"), block=10, seed=seed)
+    assert [r.text for r in take_mix(docs.filter("doc_id = 3"), whole).collect()] == [r.text for r in docs.filter("doc_id = 3").collect()]
+
+
 def test_squares_by_brute_force():
     sizes = np.random.default_rng(2).integers(1, 17, 300)
     where, fill = sum_of_squares(sizes, 16), defaultdict(int)
