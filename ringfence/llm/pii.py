@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field that adds what they miss.
 
-The patterns (:func:`base_spans`) are matched leftmost and non-overlapping per kind. The field labels words as outside, email, ip, card or
-phone from the shapes of a word and its neighbours; it is trained on ``LABELLED``, a small table of marked sentences
+The patterns (:func:`base_spans`) are matched leftmost and non-overlapping per kind. The field labels words as outside, or as the begin or the inside of an email, ip, card or
+phone, from the shapes of a word and its neighbours; it is trained on ``LABELLED``, a small table of marked sentences
 with drawn digits, and finds phone numbers without a country code, spelled-out addresses, and card numbers and
-addresses announced by a word. Its spans are added where they don't overlap a pattern's.
+addresses announced by a word. Of each of its spans the words that no pattern's span touches are added.
 
 Only words near one with a digit, an at sign or a bracketed word matter: a sequence is a run of words within
 ``NEAR`` words of such a one, cut after ``LONGEST`` words. Sequences of like length are decoded together by Viterbi.
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -24,6 +26,7 @@ from ringfence.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR, LONGEST = 3, 256
+LABELS = 2 * len(KINDS) + 1
 
 # The patterns of the contract. Possessive repeats match the same and never go back.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -80,6 +83,13 @@ fax {phone:(###) ###-####.} is for orders only
 call {phone:###.###.####} before noon
 phone {phone:#### ### ####} for the shop
 his tel {phone:(##) #### ####} never answers
+lines {phone:(###) ###-####}, {phone:(###) ###-####}, {phone:(###) ###-####} are open
+lines {phone:(###) ###-####} {phone:(###) ###-####} are open
+lines {phone:###-###-####}, {phone:###-###-####} {phone:(###) ###-####} {phone:###-###-####} are open
+lines {phone:###.###.####} {phone:###.###.####} are open
+mail {email:ann## (at) example (dot) com} {email:bob (at) example (dot) org} or both
+mail {email:ann [at] example [dot] com}, {email:bob## [at] example [dot] org} or both
+the cards {card:#### #### #### ####}, {card:#### #### #### ####} were refused
 numbers {phone:(###)###-####} and {phone:###-###-####} are both hers
 write to {email:jane.doe (at) mail (dot) example (dot) org} for more
 send it to {email:sales [at] example [dot] com} today
@@ -144,17 +154,17 @@ def kind_of(s: str) -> str:
 
 
 def labelled_words():
-    """(words, labels) of the labelled sentences; label 0 is outside."""
+    """(words, labels) of the labelled sentences; label 0 is outside, each kind has one for the first word of a span and one for the others."""
     draw = np.random.default_rng(3)
     for line in LABELLED:
         for _ in range(COPIES):
             line_words, labels = [], []
             for part in re.findall(r"\{[a-z]+:[^}]*\}|[^\s{}]+", line):
                 mark = re.match(r"\{([a-z]+):(.*)\}", part)
-                label = KINDS.index(mark[1]) + 1 if mark else 0
-                for w in (mark[2] if mark else part).split():
+                label = 2 * KINDS.index(mark[1]) + 1 if mark else 0
+                for i, w in enumerate((mark[2] if mark else part).split()):
                     line_words.append("".join(str(draw.integers(10)) if c == "#" else c for c in w))
-                    labels.append(label)
+                    labels.append(label + (mark is not None and i > 0))
             yield line_words, labels
 
 
@@ -174,7 +184,7 @@ def fit_field(sentences, steps: int = 150, rate: float = 0.2, ridge: float = 1e-
     """(feature names, weights [feature, label], transitions) of most likely labels, by forward-backward and Adam."""
     data = [(feature_names([shape(w) for w in ws]), ls) for ws, ls in sentences]
     names = {n: i for i, n in enumerate(sorted({f for fs, _ in data for x in fs for f in x}))}
-    k, length = len(KINDS) + 1, max(len(ls) for _, ls in data)
+    k, length = LABELS, max(len(ls) for _, ls in data)
     b = len(data)
     index = np.full((b, length, 6), len(names))
     gold, mask = np.zeros((b, length), int), np.zeros((b, length), bool)
@@ -303,27 +313,49 @@ class Field:
 STRIP_LEFT, STRIP_RIGHT = "\"'<[{,;:", "\"'>]},;:.!?"
 
 
-def field_spans(field: Field, buf, at):
-    """Per document with any: (start, kind, end) in code points of the runs of one label."""
+def uncovered(run, base) -> list[list[tuple[int, int]]]:
+    """The stretches of words (start, end) of a run that no base span touches; ``base`` has the starts and how far the spans so far reach."""
+    starts, reach = base
+    out, last = [], -2
+    for i, (a, b) in enumerate(run):
+        before = bisect_left(starts, b)
+        if before and reach[before - 1] > a:
+            continue
+        out[-1].append((a, b)) if i == last + 1 else out.append([(a, b)])
+        last = i
+    return out
+
+
+def field_spans(field: Field, buf, at, base=None):
+    """Per document with any: (start, kind, end) in code points of the entities. A begin label, another kind and a
+    comma or semicolon before it start a new one. ``base`` gives the base spans of a document, whose words are left out."""
     starts, ends, first, chosen, labels = field.labels(buf, at)
     hot = np.flatnonzero(labels)
     out: dict[int, list] = {}
     if not len(hot):
         return out
-    w, kind = chosen[hot], labels[hot]
+    w, kind, begin = chosen[hot], (labels[hot] - 1) // 2, labels[hot] % 2 == 1
     doc = np.searchsorted(first, w, "right") - 1
-    new = np.concatenate([[True], (np.diff(w) > 1) | (np.diff(kind) != 0) | (np.diff(doc) != 0)])
+    ended = np.isin(buf[ends[w] - 1], [ord(","), ord(";")])
+    new = np.concatenate([[True], (np.diff(w) > 1) | (np.diff(kind) != 0) | (np.diff(doc) != 0) | begin[1:] | ended[:-1]])
+    points = np.concatenate([[0], np.cumsum(buf & 0xC0 != 0x80)])
+    own = points[at[:-1]][doc]
+    spots = list(zip((points[starts[w]] - own).tolist(), (points[ends[w]] - own).tolist()))
     heads = np.flatnonzero(new)
-    for a, b in zip(heads, np.append(heads[1:], len(hot)) - 1):
+    known, covers = -1, ((), ())
+    for a, b in zip(heads.tolist(), np.append(heads[1:], len(hot)).tolist()):
         d = int(doc[a])
-        lo, hi = int(starts[w[a]]), int(ends[w[b]])
-        text = buf[lo:hi].tobytes().decode()
-        left = len(text) - len(text.lstrip(STRIP_LEFT))
-        size = len(text.strip(STRIP_LEFT).rstrip(STRIP_RIGHT)) if left < len(text) else 0
-        before = buf[at[d]:lo]
-        start = int((before & 0xC0 != 0x80).sum()) + left
-        if size > 0:
-            out.setdefault(d, []).append((start, int(kind[a]) - 1, start + size))
+        if d != known:
+            spans = base(d) if base else []
+            known, covers = d, ([x for x, _, _ in spans], list(accumulate((y for _, _, y in spans), max)))
+        text = buf[starts[w[a]]:ends[w[b - 1]]].tobytes().decode()
+        for part in uncovered(spots[a:b], covers):
+            lo = part[0][0] - spots[a][0]
+            piece = text[lo:part[-1][1] - spots[a][0]]
+            left = len(piece) - len(piece.lstrip(STRIP_LEFT))
+            size = len(piece.strip(STRIP_LEFT).rstrip(STRIP_RIGHT)) if left < len(piece) else 0
+            if size > 0:
+                out.setdefault(d, []).append((part[0][0] + left, int(kind[a]), part[0][0] + left + size))
     return out
 
 
@@ -341,10 +373,10 @@ def _find(model):
         field = Field(*model)
         for batch in batches:
             for a, b, buf, at in pieces(batch.column("text")):
-                added, columns = field_spans(field, buf, at), [[] for _ in range(7)]
-                for i in range(b - a):
-                    base = base_spans(buf[at[i]:at[i + 1]].tobytes().decode())
-                    more = [s for s in added.get(i, []) if not any(s[0] < y and x < s[2] for x, _, y in base)]
+                found = [base_spans(buf[at[i]:at[i + 1]].tobytes().decode()) for i in range(b - a)]
+                added, columns = field_spans(field, buf, at, found.__getitem__), [[] for _ in range(7)]
+                for i, base in enumerate(found):
+                    more = added.get(i, [])
                     row = [sum(k == j for _, k, _ in base) for j in range(4)]
                     row += [hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + more)), len(more)]
                     for column, value in zip(columns, row):
@@ -373,6 +405,6 @@ def fit_pii(spark):
 
 def find_pii(docs: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, the numbers of pattern spans per kind, the digest of the pattern spans, all spans, how many were added."""
-    row, k = model.first(), len(KINDS) + 1
+    row, k = model.first(), LABELS
     parts = (list(row["names"]), np.frombuffer(bytes(row["weights"])).reshape(-1, k), np.frombuffer(bytes(row["transitions"])).reshape(k, k))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find(parts), SPANS)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ringfence.llm.pii import KINDS, Field, base_spans, field_spans, find_pii, fit_field, fit_pii, labelled_words, luhn, viterbi, written
+from ringfence.llm.pii import KINDS, Field, base_spans, field_spans, find_pii, fit_field, fit_pii, labelled_words, luhn, uncovered, viterbi, written
 from ringfence.llm.quality import fit_ordinal, fit_quality, grade_of, score_quality, select_quality
 from ringfence.llm.queries import QUERIES, SQL
 from ringfence.session import cut
@@ -98,6 +98,33 @@ def test_field_on_sentences_not_in_the_table(field):
         assert found(field, clean) == []
 
 
+ADJACENT = [  # text, what is added to the base spans
+    ("call +1 (212) 555-0199, (415) 555-2671 today", ["phone (415) 555-2671"]),
+    ("call (415) 555-2671, +1 (212) 555-0199 today", ["phone (415) 555-2671"]),
+    ("é call (212) 555-0143, (415) 555-2671 today", ["phone (212) 555-0143", "phone (415) 555-2671"]),
+    ("call (212) 555-0143 (415) 555-2671 (646) 555-0188 today", ["phone (212) 555-0143", "phone (415) 555-2671", "phone (646) 555-0188"]),
+    ("lines 212-555-0143; 646-555-0188 ring", ["phone 212-555-0143", "phone 646-555-0188"]),
+    ("a@b.co, +1 (212) 555-0199, 646-555-0188, (415) 555-2671 ring", ["phone 646-555-0188", "phone (415) 555-2671"]),
+    ("mail eve (at) corp (dot) com, tom (at) host (dot) org now", ["email eve (at) corp (dot) com", "email tom (at) host (dot) org"]),
+    ("call +1 (212) 555-0199 today", []),
+]
+
+
+def test_adjacent_entities(spark):
+    out = {r.doc_id: r for r in find_pii(corpus.frame(spark, [(i, t, "a") for i, (t, _) in enumerate(ADJACENT)]), fit_pii(spark)).collect()}
+    for i, (text, want) in enumerate(ADJACENT):
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in out[i].spans.split(",") if s)]
+        base = [(KINDS[k], a, b) for a, k, b in base_spans(text)]
+        assert [f"{k} {text[a:b]}" for k, a, b in spans if (k, a, b) not in base] == want, text
+        assert out[i].n_added == len(want) and set(base) <= set(spans)
+
+
+def test_words_beside_a_base_span_stay():
+    run = [(0, 4), (5, 9), (10, 14), (15, 19)]
+    for base, left in (([], [run]), ([(5, 3, 9)], [run[:1], run[2:]]), ([(0, 3, 6), (12, 2, 13)], [run[3:]]), ([(0, 3, 19), (1, 2, 3)], []), ([(4, 3, 5)], [run])):
+        assert uncovered(run, ([a for a, _, _ in base], [max(b for _, _, b in base[:i + 1]) for i in range(len(base))])) == left
+
+
 def test_viterbi_by_brute_force():
     import itertools
 
