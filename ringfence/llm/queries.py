@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from ringfence.llm.automaton import remove_repeated_words
 from ringfence.llm.chat import chat_digest
+from ringfence.llm.collocations import collocations
 from ringfence.llm.exact import dedup_exact
+from ringfence.llm.manifest import tampered_manifest
 from ringfence.llm.mixing import mix_sources
 from ringfence.llm.ngram_join import near_duplicates
 from ringfence.llm.packing import pack
 from ringfence.llm.pii import find_pii, fit_pii
 from ringfence.llm.quality import fit_quality, grade_of, score_quality
+from ringfence.llm.rules import quality_rules
+from ringfence.llm.sql import COLLOCATIONS, manifest_sql, rules_sql
 from ringfence.llm.suffix import remove_repeated_bytes
 from ringfence.llm.topk import top_k
 
@@ -77,10 +81,24 @@ def op10_chat_prefix_targets(spark, sf):
     return chat_digest(chats.union(probe))
 
 
+def op11_risk_controlled_rules(spark, sf):
+    found = quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_bitmap_merkle_manifest(spark, sf):
+    return tampered_manifest(table(spark, sf, "documents"))
+
+
+def op13_misra_gries_collocations(spark, sf):
+    return collocations(table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_ngram_join, op3_mix_sources, op4_pii_field, op5_exact_topk,
     op6_suffix_array_dedup, op7_exact_dedup, op8_sum_of_squares_packing,
-    op9_automaton_dedup, op10_chat_prefix_targets)}
+    op9_automaton_dedup, op10_chat_prefix_targets,
+    op11_risk_controlled_rules, op12_bitmap_merkle_manifest, op13_misra_gries_collocations)}
 
 SQL = {
     "op5_exact_topk": """
@@ -123,4 +141,7 @@ SQL = {
             sum(chars)::bigint formatted_chars, count(*) filter (role = 'assistant') n_examples,
             coalesce(sum(upto - length('</s>')) filter (role = 'assistant'), 0)::bigint example_chars
         from o group by conv_id""".replace("\\\\", "\\"),
+    "op11_risk_controlled_rules": rules_sql(),
+    "op12_bitmap_merkle_manifest": manifest_sql(),
+    "op13_misra_gries_collocations": COLLOCATIONS,
 }
