@@ -88,7 +88,7 @@ def cut_segments(units: Units, buf: np.ndarray, at: np.ndarray):
 
 
 def count_schema(smaller_doc: bool) -> str:
-    return f"anchor long, {'d_min long, d_max long' if smaller_doc else 'n long'}, s_min int, s_max int"
+    return f"anchor long, {'d_min long, d_max long' if smaller_doc else 'n long'}, s_min long, s_max long"
 
 
 def _count(units: Units, smaller_doc: bool):
@@ -104,7 +104,7 @@ def _count(units: Units, smaller_doc: bool):
                 if found is None:
                     continue
                 order = np.argsort(found[5], kind="stable")
-                doc, anchor, key = ids[a:b][found[0]][order], found[5][order], found[6][order].astype(np.int32)
+                doc, anchor, key = ids[a:b][found[0]][order], found[5][order], found[6][order]
                 at_ = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
                 of = [np.minimum.reduceat(doc, at_), np.maximum.reduceat(doc, at_)] if smaller_doc else [np.diff(np.append(at_, len(anchor)))]
                 columns = [anchor[at_], *of, np.minimum.reduceat(key, at_), np.maximum.reduceat(key, at_)]

@@ -161,3 +161,12 @@ def test_directory_splits_only_overfull_buckets(spark):
     assert sum(counts.values()) == 2000 and max(counts.values()) <= 50
     depths = {d for d, _ in buckets}
     assert max(depths) > 20 > min(depths) and sum(2.0 ** -d for d, _ in buckets) == 1
+
+
+def test_segments_whose_keys_agree_in_part(spark):
+    """Pairs of different segments of one class with equal low 32 bits of their keys; nothing repeats."""
+    head = " ".join(f"word{i}" for i in range(100))[:392]
+    rows = [(n, f"{head}{i:08d}", "a") for n, i in enumerate((43497, 96680))]
+    assert corpus.same(remove_repeated_bytes(corpus.frame(spark, rows)).collect(), corpus.rest_of_bytes(rows, 400))
+    rows = [(n, " ".join(f"w{i}" for i in range(12)) + f" x{i}", "a") for n, i in enumerate((78058, 194788))]
+    assert corpus.same(remove_repeated_words(corpus.frame(spark, rows)).collect(), corpus.rest_of_words(rows))
