@@ -63,7 +63,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         if b - a < 7:
             continue
         part = region.group()
-        out += [(a + m.start(), 1, a + m.end()) for m in IP.finditer(part) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [(a + m.start(), 1, a + m.end()) for m in IP.finditer(part) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
         for m in CARD.finditer(part):
             digits = m.group().replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
