@@ -89,11 +89,12 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: int =
     seats = cut(seats.select(F.col("source").alias("_source"), "source_size", "sid", "target", F.col("quota").alias("_blocks"),
                              F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("_shards")), "mix-seats")
     dealt = join_small(rows, seats, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    dealt = dealt.withColumn("_shard", F.pmod("_h", "_shards"))
+    # texts without words have no place on a line, however many a source has
+    none, dealt = dealt.filter("size = 0"), dealt.filter("size > 0").withColumn("_shard", F.pmod("_h", "_shards"))
     line = W.partitionBy("sid", "_shard").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = cut(dealt.withColumn("_start", F.sum("size").over(line) - F.col("size")), "mix-placed")
 
-    shards = placed.filter("size > 0").groupBy("sid", "_shard").agg(
+    shards = placed.groupBy("sid", "_shard").agg(
         F.sum("size").alias("_words"), F.first("_blocks").alias("_blocks"), F.first("target").alias("target"))
     shards = apportion(shards, ["sid"], "_words", "_blocks", ["_shard"])
     shards = shards.withColumn("_n", F.ceil(F.col("_words") / block)).withColumn("quota", F.least("quota", most * F.col("_n")))
@@ -116,7 +117,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: int =
         F.greatest(F.lit(0).cast("long"), F.least("_size", F.col("_budget") - F.col("_rounds") * F.col("_words") - F.col("_before"))).alias("_extra"))
 
     key = ["doc_id", "text_key", "source", "size", "source_size", "target", "sid", "_shard", "_start"]
-    spread = placed.filter("size > 0").withColumn(
+    spread = placed.withColumn(
         "_b", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))))
     at = F.greatest(F.lit(0).cast("long"), F.col("_b") * block - F.col("_start"))
     to = F.least("size", F.col("_b") * block + F.col("_extra") - F.col("_start"))
@@ -126,7 +127,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: int =
     heads = F.filter("_drawn", lambda r, i: F.coalesce(F.get("_drawn", i - 1)["to"] < r["at"], F.lit(True)))
     tails = F.filter("_drawn", lambda r, i: F.coalesce(F.get("_drawn", i + 1)["at"] > r["to"], F.lit(True)))
     got = got.withColumn("runs", F.zip_with(heads, tails, lambda a, b: F.struct(a["at"].alias("at"), b["to"].alias("to"))))
-    none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("rounds", F.lit(0).cast("long"))
+    none = none.withColumn("taken", F.lit(0).cast("long")).withColumn("rounds", F.lit(0).cast("long"))
     none = none.withColumn("runs", F.array().cast("array<struct<at: bigint, to: bigint>>"))
     out = ["doc_id", "source", "size", "source_size", "target", "taken", "text_key", "rounds", "runs"]
     return got.select(*out).unionByName(none.select(*out))
@@ -141,15 +142,20 @@ def take_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     mixed = cut(mixed, "mixed")
     taken = mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("size").alias("_size"),
                                              F.col("rounds").alias("_rounds"), F.col("runs").alias("_runs"))
-    both = once(docs, mixed).join(taken, (text_key() == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    # the documents may have columns of any name: they are one
+    rows = once(docs, mixed)
+    packed = rows.select(F.struct(*[rows[c] for c in docs.columns]).alias("_row"), rows["text"].alias("_text"), text_key(rows).alias("_own"))
+    both = packed.join(taken, (F.col("_own") == F.col("_key")) & F.col("_row")["doc_id"].eqNullSafe(F.col("_id")))
     # a null stands for the whole text; the words of a text are listed once, for all of its runs
     piece = lambda words, r: F.when(r["to"] - r["at"] < F.col("_size"), F.array_join(
         F.slice(words, (r["at"] + 1).cast("int"), (r["to"] - r["at"]).cast("int")), " "))
     listed = F.when((F.size("_runs") > 0) & ~F.exists("_runs", lambda r: r["to"] - r["at"] == F.col("_size")),
-                    F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+                    F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
     runs = F.transform(F.array(listed), lambda words: F.transform("_runs", lambda r: piece(words, r)))[0]
     rows = both.withColumn("_pieces", F.concat(F.array_repeat(F.lit(None).cast("string"), F.col("_rounds").cast("int")), runs))
-    rows = rows.withColumn("_piece", F.explode("_pieces")).withColumn("text", F.coalesce("_piece", "text"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_piece").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    rows = rows.withColumn("_piece", F.explode("_pieces"))
+    own = {c: F.col("_row")[c] for c in docs.columns}
+    own["text"] = F.coalesce("_piece", "_text")
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("_piece").isNotNull(), F.length("_piece").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return rows.select(*[v.alias(c) for c, v in own.items()])

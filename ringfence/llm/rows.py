@@ -7,13 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ringfence.session import cut, join_small
 
 
-def text_key() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def text_key(docs: DataFrame | None = None) -> Column:
+    return F.xxhash64(F.coalesce(F.col("text") if docs is None else docs["text"], F.lit("")))
 
 
 def _matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     own = keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    return join_small(docs, own, (text_key() == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id")), how)
+    # columns of their tables: the documents may have any name
+    return join_small(docs, own, (text_key(docs) == own["_key"]) & docs["doc_id"].eqNullSafe(own["_id"]), how)
 
 
 def once(docs: DataFrame, keys: DataFrame) -> DataFrame:
