@@ -71,6 +71,20 @@ def whole_examples(formatted: DataFrame, examples: DataFrame) -> DataFrame:
                        F.substring("formatted", at + 1, F.col("reply_chars").cast("int")).alias("reply"))
 
 
+def masked(formatted: DataFrame, examples: DataFrame) -> DataFrame:
+    """conv_id, example, context_chars, reply_chars and ``reply``, the text that the mask of each example cuts out of ``formatted``.
+
+    A mask is looked up by the place it starts at, so that a conversation is walked once, not once per example.
+    """
+    line = W.partitionBy("_conv").orderBy("_no").rowsBetween(W.unboundedPreceding, 0)
+    pieces = formatted.select(F.col("conv_id").alias("_conv"), F.posexplode(F.split("formatted", END)).alias("_no", "_piece"))
+    pieces = pieces.withColumn("_at", F.sum(F.length("_piece") + len(END)).over(line) - F.length("_piece") - len(END))
+    pieces = pieces.withColumn("_body", F.col("_at") + F.locate(SHUT, F.col("_piece")) + len(SHUT) - 1)
+    both = examples.drop("reply").join(pieces, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("context_chars") == F.col("_body")))
+    reply = F.substring("_piece", (F.col("context_chars") - F.col("_at") + 1).cast("int"), F.col("reply_chars").cast("int"))
+    return both.select("conv_id", "example", "context_chars", "reply_chars", reply.alias("reply"))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id and ``turns``, an array of (role, text) parsed from the formatted text alone."""
     pieces = F.filter(F.split("formatted", END), lambda p: p != "")
@@ -89,7 +103,7 @@ def chat_digest(conversations: DataFrame) -> DataFrame:
     turns = read_back(formatted).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), "formatted_chars")
     replies = F.array_sort(F.collect_list(F.struct("example", unescape(F.col("reply")).alias("reply"))))
-    loss = examples.groupBy(F.col("conv_id").alias("_conv")).agg(
+    loss = masked(formatted, examples).groupBy(F.col("conv_id").alias("_conv")).agg(
         F.array_join(F.transform(replies, lambda r: r["reply"]), "").alias("_loss"),
         F.count(F.lit(1)).alias("n_examples"), F.sum(F.col("context_chars") + F.col("reply_chars")).alias("example_chars"))
     text = F.coalesce("_loss", F.lit(""))
