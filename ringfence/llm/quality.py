@@ -9,7 +9,8 @@ and symbols, of words that end in a symbol, the word length and the share of dis
 that occur often enough and whose documents' grades differ clearly from the rest, so that the hash space stays
 64 bits wide and a clean word does not share the weight of another.
 
-The fit reads a sample of about ``sample_rows`` labelled rows, chosen by a hash of the id; one task holds it.
+The fit reads a sample of about ``sample_rows`` (id, grade) pairs, chosen by a hash of the id, each with the number of its ratings
+as weight and with one text, where rows share the id the least one; one task holds it.
 
 Defined cases: a null text is empty, an empty text scores by its shape; labels without a document, or with a null,
 are left out; where a document has several labels all count; with fewer than two grades nothing is rejected.
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ringfence.llm.kernels import LOWER, SPACE, mix, pieces, word_hashes, words
-from ringfence.session import cut
+from ringfence.session import cut, join_small
 
 _BYTES = np.arange(256)
 UPPER = (_BYTES >= 65) & (_BYTES <= 90)
@@ -83,14 +84,15 @@ def _sampled(batches):
             docs, feats = distinct(*document_features(buf, at))
             parts = np.split(feats, np.cumsum(np.bincount(docs, minlength=b - a))[:-1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), batch.column("grade").slice(a, b - a), pa.array([p.tobytes() for p in parts], pa.binary())],
-                ["doc_id", "grade", "features"])
+                [*[batch.column(c).slice(a, b - a) for c in ("doc_id", "grade", "weight")], pa.array([p.tobytes() for p in parts], pa.binary())],
+                ["doc_id", "grade", "weight", "features"])
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 600, rate: float = 0.1, ridge: float = 1e-5):
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, weight: np.ndarray | None = None, steps: int = 600, rate: float = 0.1, ridge: float = 1e-5):
     """Weights and ordered thresholds by full gradient steps with adaptive rates (Adam)."""
     n, p = x.shape
-    share = np.clip(np.cumsum(np.bincount(grade, minlength=grades))[:-1] / n, 1e-4, 1 - 1e-4)
+    weight = np.ones(n) if weight is None else weight / weight.mean()
+    share = np.clip(np.cumsum(np.bincount(grade, weight, minlength=grades))[:-1] / n, 1e-4, 1 - 1e-4)
     theta = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(grades - 1))
     # thresholds as the first one and the logarithms of the gaps keep their order
     par = np.concatenate([np.zeros(p), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
@@ -101,7 +103,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 600,
         below = 1 / (1 + np.exp(np.clip(score[:, None] - cuts, -30, 30)))
         upper = np.column_stack([below, np.ones(n)])[np.arange(n), grade]
         lower = np.column_stack([np.zeros(n), below])[np.arange(n), grade]
-        inv = 1 / np.maximum(upper - lower, 1e-9)
+        inv = weight / np.maximum(upper - lower, 1e-9)
         slope = below * (1 - below)
         du = np.where(grade < grades - 1, slope[np.arange(n), np.minimum(grade, grades - 2)], 0) * inv
         dl = np.where(grade > 0, slope[np.arange(n), np.maximum(grade - 1, 0)], 0) * inv
@@ -117,17 +119,18 @@ def _fit(grades: int, least: int, clear: float, most: int):
     def fit(batches):
         import pyarrow as pa
 
-        rows = sorted((d if d is not None else -1, g, f) for b in batches for d, g, f in zip(*[b.column(c).to_pylist() for c in ("doc_id", "grade", "features")]))
-        grade = np.array([g for _, g, _ in rows], np.int64)
+        rows = sorted((d, g, n, f) for b in batches for d, g, n, f in zip(*[b.column(c).to_pylist() for c in ("doc_id", "grade", "weight", "features")]))
+        grade, weight = np.array([g for _, g, _, _ in rows], np.int64), np.array([n for _, _, n, _ in rows], float)
         feats, w, cuts = np.empty(0, np.uint64), np.empty(0), np.full(grades - 1, -np.inf)
         if len(set(grade.tolist())) > 1:
-            each = [np.frombuffer(f, np.uint64) for _, _, f in rows]
+            each = [np.frombuffer(f, np.uint64) for _, _, _, f in rows]
             doc = np.repeat(np.arange(len(rows)), [len(e) for e in each])
             names, index = np.unique(np.concatenate(each), return_inverse=True)
             df = np.bincount(index)
-            mean = np.bincount(index, grade[doc]) / df
-            rest = np.sqrt(grade.var() / df)
-            z = np.where(df >= least, np.abs(mean - grade.mean()) / rest, 0)
+            mass, all_ = np.bincount(index, weight[doc]), np.average(grade, weights=weight)
+            mean = np.bincount(index, (weight * grade)[doc]) / mass
+            rest = np.sqrt(np.average((grade - all_) ** 2, weights=weight) / df)
+            z = np.where(df >= least, np.abs(mean - all_) / rest, 0)
             keep = np.sort(np.argsort(-z, kind="stable")[:most])
             keep = keep[z[keep] >= clear]
             column = np.full(len(names), -1)
@@ -135,9 +138,9 @@ def _fit(grades: int, least: int, clear: float, most: int):
             x = np.zeros((len(rows), len(keep)), np.float32)
             hit = column[index] >= 0
             x[doc[hit], column[index][hit]] = 1
-            w, cuts = fit_ordinal(x, grade, grades)
+            w, cuts = fit_ordinal(x, grade, grades, weight)
             feats = names[keep]
-        shares = np.array([(grade >= j).mean() if len(grade) and len(feats) else 0.0 for j in range(1, grades)])
+        shares = np.array([np.average(grade >= j, weights=weight) if len(grade) and len(feats) else 0.0 for j in range(1, grades)])
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (feats, w, cuts, shares)], [f.split()[0] for f in MODEL.split(", ")])
 
     return fit
@@ -145,11 +148,13 @@ def _fit(grades: int, least: int, clear: float, most: int):
 
 def fit_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample_rows: int = 20_000, least: int = 8, clear: float = 6.0, most: int = 1024) -> DataFrame:
     """A one-row table with the model; ``ratings`` has doc_id and ``grade`` from 0 to grades - 1."""
-    rated = cut(ratings.select(F.col("doc_id").alias("_id"), F.col("grade").cast("int").alias("grade")).dropna(), "ratings")
+    rated = ratings.select(F.col("doc_id").alias("_id"), F.col("grade").cast("int").alias("grade")).dropna()
+    rated = cut(rated.groupBy("_id", "grade").agg(F.count(F.lit(1)).alias("weight")), "ratings")
     share = min(1.0, sample_rows / max(1, rated.count()))
-    chosen = rated.filter(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "grade", "text")
-    sample = sample.mapInArrow(_sampled, "doc_id long, grade int, features binary")
+    chosen = cut(rated.filter(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1 << 20)) < int(share * (1 << 20))), "chosen")
+    sample = join_small(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), chosen, F.col("doc_id") == F.col("_id"))
+    sample = sample.groupBy("doc_id", "grade", "weight").agg(F.min("text").alias("text"))
+    sample = sample.mapInArrow(_sampled, "doc_id long, grade int, weight long, features binary")
     return cut(sample.repartition(1).mapInArrow(_fit(grades, least, clear, most), MODEL), "quality-model")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Extra columns under names that the operators use themselves.
-CLASHES = ["size", "key", "n", "kept", "segment", "anchor", "token", "set_key", "text_key", "spans", "shard", "order", "target", "taken", "grade", "id"]
+CLASHES = ["size", "key", "n", "kept", "segment", "anchor", "token", "set_key", "text_key", "spans", "shard", "order", "target", "taken", "grade", "id",
+           "_id", "_key", "_size", "_rounds", "_runs", "_pieces", "_piece", "_h", "_start", "_part", "_row", "_text", "_own", "weight"]
 
 
 def frame(spark, rows, extra=True):

@@ -216,6 +216,25 @@ def test_chat_round_trip(spark):
     assert chat_digest(chats(spark, [])).count() == 0
 
 
+def test_loss_is_cut_out_of_the_formatted_text(spark, monkeypatch):
+    from ringfence.llm import chat
+
+    rows = chats(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "abc[INST]"), (1, 2, "assistant", "")])
+    (right,) = chat_digest(rows).collect()
+    assert right.loss_chars == len("abc[INST]") and right.n_examples == 2
+    whole = chat.format_chats
+    for moved in ({"reply_chars": F.lit(1).cast("long")}, {"context_chars": F.col("context_chars") - 1}):
+        monkeypatch.setattr(chat, "format_chats", lambda c, m=moved: (whole(c)[0], whole(c)[1].withColumns(m)))
+        assert chat_digest(rows).first().loss_sha256 != right.loss_sha256
+
+
+def test_many_texts_without_words_in_one_source(spark):
+    rows = spark.range(100_000).select("id", F.lit(None).cast("string").alias("text"), F.lit("a").alias("source"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, "one two", "a"), (-2, "x y z", "b")], "id long, text string, source string")).withColumnRenamed("id", "doc_id")
+    got = mix_sources(rows).groupBy("source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    assert {r.source: (r["size"], r.n) for r in got} == {"a": (2, 100_001), "b": (3, 1)} and sum(r.taken for r in got) == 5
+
+
 def plain_top(rows, k=10):
     vectors = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows
                if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]

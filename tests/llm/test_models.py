@@ -50,6 +50,16 @@ def test_quality_awkward(spark):
         assert score_quality(docs.limit(0), model).count() == 0
 
 
+def test_one_id_with_half_of_the_ratings(spark):
+    """It weighs by its ratings, but enters the fit once per grade."""
+    good, bad = "calm river stone light " * 20, "$$ win cash now %% " * 20
+    docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(400)] + [(7, good)] * 300, "doc_id long, text string")
+    ratings = spark.range(400).selectExpr("id as doc_id", "cast(2 * (id % 2) as int) as grade")
+    ratings = ratings.unionByName(spark.range(5000).selectExpr("7L as doc_id", "2 as grade"))
+    out = score_quality(docs, fit_quality(docs, ratings, sample_rows=380)).dropDuplicates(["doc_id"]).collect()
+    assert all(r.kept == (r.doc_id % 2 == 1) for r in out)
+
+
 # The patterns as the contract writes them.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -75,7 +85,7 @@ def test_patterns_equal_the_plain_ones():
 
 
 def test_long_runs_take_linear_time():
-    for text in ("1" * 300_000, "1." * 200_000, "a" * 300_000 + "@", "a@" * 100_000, "+1" * 100_000, "1 " * 200_000):
+    for text in ("1" * 300_000, "1." * 200_000, "a" * 300_000 + "@", "a@" * 100_000, "+1" * 100_000, "1 " * 200_000, "0" * 5000 + ".1.1.1", "1.2.3." + "0" * 9000 + "4"):
         base_spans(text)
 
 
@@ -179,4 +189,4 @@ def test_stages_awkward(spark):
 
 
 def test_names():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(SQL) <= set(QUERIES)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and set(SQL) <= set(QUERIES)
