@@ -685,6 +685,13 @@ def ewma_threshold(spark, sf):
                       F.col("accepted").cast("long").alias("accepted"))
 
 
+def _rocksdb(spark) -> None:
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
 def _stream(spark, sf):
     schema = _t(spark, sf, "events").schema
     return stream_sources.file_events(spark, sf, schema, glob="events.parquet")
@@ -703,9 +710,11 @@ def stream_window_counts(spark, sf):
 
 @query
 def stream_window_features(spark, sf):
-    rows = _with_k(_stream(spark, sf))
-    feats = stream_windows.window_features(rows, ["event_type"], "ts", "value", "k", F.col("value") < 0.1, "1 hour", "1 hour")
-    done = stream_sources.run_available(feats, mode="update")
+    """Equal to the batch windows: the time since a stall of an earlier window included."""
+    _rocksdb(spark)
+    rows = stream_sources.with_end(_with_k(_stream(spark, sf)), "ts", "9999-01-01")
+    feats = stream_windows.window_features(rows, ["event_type"], "ts", "value", "k", F.col("value") < 0.1, 3600, "1 hour", ["event_id"])
+    done = stream_sources.run_available(feats)
     return done.select(
         "event_type", F.unix_seconds("window_start").alias("window_start"), "n_samples",
         *[_r(c, 8).alias(c) for c in ("quality_mean", "quality_std", "quality_mad", "bitrate_mean", "stall_ratio", "tsl_end")],
@@ -733,10 +742,7 @@ def stream_score_only(spark, sf):
 
 @query
 def stream_adaptive(spark, sf):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    _rocksdb(spark)
     out = adaptive.adapt_stream(_with_k(_stream(spark, sf)), _event_detector(spark, sf), ["user_id"], ["ts", "event_id"])
     return stream_sources.run_available(out)
 

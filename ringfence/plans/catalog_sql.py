@@ -250,7 +250,7 @@ SQL: dict[str, str] = {
         select event_id, round(used, 6) as tau_used, round(after, 6) as tau_after, accepted from r""",
     "stream_window_counts": """select event_type, (floor(epoch_us(ts) / 86400e6) * 86400)::bigint as window_start, count(*) as n,
         round(sum(value), 2) as total from events group by 1, 2""",
-    "stream_window_features": _windows(3600, False),
+    "stream_window_features": _windows(3600, True),
     "stream_score_only": f"""
         with p as (select event_id, event_type, ln(1 + greatest(value, 0)) as v, (epoch_us(ts) % 86400000000) / 3.6e9 as k from events),
         z as (select event_id, event_type, (v - avg(v) over ()) / stddev_pop(v) over () as v,

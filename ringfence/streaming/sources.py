@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ringfence.session import new_path
 
 
-def file_events(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
-    """Events from files appearing in a folder. ``files_per_trigger`` bounds a micro-batch."""
+#: What a micro-batch takes at most, unless told otherwise: a backlog is worked off in steps.
+FILES_PER_TRIGGER, OFFSETS_PER_TRIGGER = 256, 5_000_000
+
+
+def file_events(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_trigger: int | None = FILES_PER_TRIGGER, glob: str | None = None) -> DataFrame:
+    """Events from files appearing in a folder. ``files_per_trigger`` bounds a micro-batch (None: no bound)."""
     reader = spark.readStream.format(fmt).schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -17,7 +21,7 @@ def file_events(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return reader.load(path)
 
 
-def kafka_events(spark: SparkSession, servers: str, topic: str, schema: T.StructType, per_trigger: int | None = None, **options) -> DataFrame:
+def kafka_events(spark: SparkSession, servers: str, topic: str, schema: T.StructType, per_trigger: int | None = OFFSETS_PER_TRIGGER, **options) -> DataFrame:
     """JSON events from a topic; needs Spark's Kafka connector on the class path."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
     if per_trigger:
@@ -33,6 +37,18 @@ def event_time(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
+def with_end(stream: DataFrame, ts: str, at: str) -> DataFrame:
+    """``stream`` and one row at time ``at`` that is otherwise NULL: it moves the watermark, so that finished input closes its windows.
+
+    ``at`` lies after every event by more than the allowed lateness.
+    """
+    spark, path = stream.sparkSession, new_path(stream.sparkSession, "end")
+    kinds = {f.name: f.dataType for f in stream.schema.fields}
+    row = [F.lit(at).cast(kinds[c]).alias(c) if c == ts else F.lit(None).cast(kinds[c]).alias(c) for c in stream.columns]
+    spark.range(1).select(*row).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
 def run_available(stream: DataFrame, checkpoint: str | None = None, path: str | None = None, mode: str = "append") -> DataFrame:
     """Process what is there now, then stop; the result as a table.
 

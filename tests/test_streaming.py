@@ -15,7 +15,7 @@ from ringfence.sources.models import headers, load_models
 from ringfence.spec import AnomalyRule, DatasetSpec
 from ringfence.streaming.adaptive import Online, adapt_stream, status
 from ringfence.streaming.score import score_stream
-from ringfence.streaming.sources import file_events, run_available
+from ringfence.streaming.sources import file_events, run_available, with_end
 from ringfence.streaming.update import learn_batches
 from ringfence.streaming.windows import window_features, windowed
 
@@ -152,24 +152,74 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert [r["n"] for r in last] == [2, 2]  # the row at minute 2 came too late
 
 
-def test_stream_window_features_equal_batch(spark, tmp_path):
+@pytest.fixture(scope="module")
+def samples():
+    """Sessions with gaps, ties of time, missing values and stalls long before."""
     rng = np.random.default_rng(9)
-    base = dt.datetime(2024, 1, 1)
-    pdf = pd.DataFrame({"ts": [base + dt.timedelta(seconds=float(s)) for s in np.sort(rng.uniform(0, 60, 300))],
-                        "s": rng.choice(["u", "v"], 300), "q": rng.normal(90, 5, 300), "br": rng.uniform(1, 9, 300)})
-    pdf["stall"] = (rng.random(300) < 0.1).astype(int)
-    df = spark.createDataFrame(pdf)
+    n, base = 400, dt.datetime(2024, 1, 1)
+    pdf = pd.DataFrame({"us": np.sort(rng.integers(0, 60_000_000, n) // 100_000 * 100_000), "s": rng.choice(["u", "v", "w"], n, p=[0.6, 0.35, 0.05]),
+                        "q": rng.normal(90, 5, n), "br": rng.uniform(1, 9, n), "id": np.arange(n)})
+    pdf = pdf[~((pdf.us > 20_000_000) & (pdf.us < 33_000_000) & (pdf.s == "v"))]
+    pdf["ts"] = [base + dt.timedelta(microseconds=int(u)) for u in pdf.us]
+    pdf["stall"] = np.where(pdf.us < 9_000_000, (rng.random(len(pdf)) < 0.1).astype(float), np.nan)
+    pdf.loc[pdf.index % 11 == 0, "q"] = np.nan
+    pdf.loc[pdf.index % 13 == 0, "br"] = np.nan
+    return pdf.drop(columns="us")
+
+
+SAMPLES = "s string, q double, br double, id long, ts timestamp, stall double"
+COLUMNS = ["n_samples", "quality_mean", "quality_std", "quality_mad", "bitrate_mean", "stall_ratio", "tsl_end"]
+
+
+def sample_rows(spark, pdf):
+    rows = [tuple(None if pd.isna(v) else v for v in r) for r in pdf[["s", "q", "br", "id", "ts", "stall"]].itertuples(index=False)]
+    return spark.createDataFrame([(*r[:4], pd.Timestamp(r[4]).to_pydatetime(), r[5]) for r in rows], SAMPLES)
+
+
+@pytest.mark.parametrize("parts, reads", [(1, 10_000), (7, 3)])
+def test_stream_window_features_equal_batch(spark, tmp_path, samples, parts, reads):
+    """Rows come in any order, in one or several micro-batches, few or many to a read."""
     src = str(tmp_path / "in")
-    df.coalesce(1).write.parquet(src)
-    stream = file_events(spark, src, df.schema)
-    live = run_available(window_features(stream, ["s"], "ts", "q", "br", F.col("stall") == 1), mode="update").toPandas()
-    batch = batch_features(df, ["s"], "ts", "q", "br", F.col("stall") == 1).toPandas()
-    one = live.sort_values(["s", "window_start"]).reset_index(drop=True)
-    two = batch.sort_values(["s", "window_start"]).reset_index(drop=True)
-    for c in ("n_samples", "quality_mean", "quality_std", "quality_mad", "bitrate_mean", "stall_ratio"):
+    mixed = samples.sample(frac=1, random_state=parts)
+    for i in range(parts):
+        sample_rows(spark, mixed.iloc[i::parts]).coalesce(1).write.mode("append").parquet(src)
+    df = spark.read.parquet(src)
+    stream = with_end(file_events(spark, src, df.schema, files_per_trigger=1), "ts", "2030-01-01")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", reads)
+    try:
+        # the end row comes with the first file: lateness keeps it back until all files are read
+        late = "10 years" if parts > 1 else "10 seconds"
+        feats = window_features(stream, ["s"], "ts", "q", "br", F.col("stall") == 1, 5, late, ["id"], slots=8)
+        live = run_available(feats).filter("s is not null").toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    if parts > 1:
+        assert len(live) == 0  # nothing may close yet
+        return
+    batch = batch_features(df, ["s"], "ts", "q", "br", F.col("stall") == 1, 5, ["id"], 8).toPandas()
+    one, two = (x.sort_values(["s", "window_start"]).reset_index(drop=True) for x in (live, batch))
+    assert (one.window_start == two.window_start).all() and (one.s == two.s).all() and two.tsl_end.notna().sum() > 20
+    for c in COLUMNS:
+        assert np.allclose(one[c].astype(float), two[c].astype(float), equal_nan=True), c
+
+
+def test_windows_close_once_and_carry_stalls_over_restarts(spark, tmp_path, samples):
+    """Shuffled within the lateness, over several runs from one checkpoint: every row as in batch."""
+    src, ck, out = (str(tmp_path / x) for x in ("in", "ck", "out"))
+    order = samples.assign(at=samples.ts + pd.to_timedelta(np.random.default_rng(2).uniform(0, 4, len(samples)), unit="s")).sort_values("at")
+    end = pd.DataFrame([{"s": None, "ts": dt.datetime(2025, 1, 1), "id": 0}])
+    for part in [*np.array_split(np.arange(len(order)), 5), None]:
+        rows = end.reindex(columns=samples.columns) if part is None else order.iloc[part]
+        sample_rows(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        stream = file_events(spark, src, spark.read.parquet(src).schema)
+        feats = window_features(stream, ["s"], "ts", "q", "br", F.col("stall") == 1, 5, "5 seconds", ["id"], slots=8, forget=1e6)
+        live = run_available(feats, ck, out)
+    batch = batch_features(sample_rows(spark, samples), ["s"], "ts", "q", "br", F.col("stall") == 1, 5, ["id"], 8).toPandas()
+    one, two = (x.sort_values(["s", "window_start"]).reset_index(drop=True) for x in (live.filter("s is not null").toPandas(), batch))
+    assert len(one) == len(two)
+    for c in COLUMNS:
         assert np.allclose(one[c].astype(float), two[c].astype(float), equal_nan=True), c
-    both = one.tsl_end.notna()
-    assert np.allclose(one.tsl_end[both], two.tsl_end[both]) and two.tsl_end.notna().sum() >= both.sum()
 
 
 @pytest.mark.parametrize("slots", [1, 7, 64])
