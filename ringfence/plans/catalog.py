@@ -712,7 +712,7 @@ def stream_window_counts(spark, sf):
 def stream_window_features(spark, sf):
     """Equal to the batch windows: the time since a stall of an earlier window included."""
     _rocksdb(spark)
-    rows = stream_sources.with_end(_with_k(_stream(spark, sf)), "ts", "9999-01-01")
+    rows = stream_sources.with_end(_with_k(_stream(spark, sf)), "ts", "2200-01-01")
     feats = stream_windows.window_features(rows, ["event_type"], "ts", "value", "k", F.col("value") < 0.1, 3600, "1 hour", ["event_id"])
     done = stream_sources.run_available(feats)
     return done.select(

@@ -40,7 +40,7 @@ def event_time(df: DataFrame, ts: str) -> DataFrame:
 def with_end(stream: DataFrame, ts: str, at: str) -> DataFrame:
     """``stream`` and one row at time ``at`` that is otherwise NULL: it moves the watermark, so that finished input closes its windows.
 
-    ``at`` lies after every event by more than the allowed lateness.
+    ``at`` lies after every event by more than the allowed lateness, and before the year 2262, as far as pandas counts.
     """
     spark, path = stream.sparkSession, new_path(stream.sparkSession, "end")
     kinds = {f.name: f.dataType for f in stream.schema.fields}
