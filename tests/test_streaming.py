@@ -1,6 +1,7 @@
 """Streams against their batch replay, late events, restarts, model versions."""
 
 import datetime as dt
+import time
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from ringfence.plans.train import load, train
 from ringfence.plans.update import update
 from ringfence.sources.models import headers, load_models
 from ringfence.spec import AnomalyRule, DatasetSpec
-from ringfence.streaming.adaptive import Online, adapt_stream, status
+from ringfence.streaming.adaptive import Online, Ring, adapt_stream, control_rows, status
 from ringfence.streaming.score import score_stream
 from ringfence.streaming.sources import file_events, run_available, with_end
 from ringfence.streaming.update import learn_batches
@@ -59,7 +60,7 @@ def replay(detector, rows, **options):
     tau = detector.taus.first()["tau"]
     out = {}
     for k, part in rows.groupby("k"):
-        online = Online(base.copy(), tau, [], 0, SPEC, **options)
+        online = Online(base.copy(), tau, Ring(SPEC.buffer_max), 0, SPEC, **options)
         for r in part.sort_values("t").itertuples():
             x = [(v - detector.scaler.mean[c]) / detector.scaler.scale[c] for c, v in (("a", r.a), ("b", r.b))]
             out[r.t] = online.step(np.array(x))
@@ -93,25 +94,129 @@ def test_adaptive_stream_equals_replay(spark, tmp_path, rows, detector, options)
     assert 3 < last.loc["hot", "buffer_size"] <= 8 and (last.seen_since_refit < 5).all()
 
 
+@pytest.mark.parametrize("reads", [1, 1000])
+def test_backlog_equals_replay(spark, tmp_path, rows, detector, reads):
+    """Files larger than a read, a bound of one file for each micro-batch, a ring that fills and is refitted across them."""
+    parts = [rows.iloc[a:a + 130][["a", "b", "k", "t"]].sample(frac=1, random_state=a) for a in range(0, len(rows), 130)]
+    src = str(tmp_path / "in")
+    for i, p in enumerate(parts):
+        spark.createDataFrame(p, "a double, b double, k string, t long").coalesce(1).write.parquet(f"{src}/p{i}")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", reads)
+    try:
+        out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+        for i in range(len(parts)):
+            stream = file_events(spark, f"{src}/p[0-{i}]", spark.read.parquet(f"{src}/p0").schema, files_per_trigger=1)
+            got = run_available(adapt_stream(stream, detector, ["k"], ["t"]), ck, out)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    table, want = got.toPandas().set_index("t").sort_index(), replay(detector, rows)
+    assert list(table.buffer_size) == [want[t][4] for t in table.index] and list(table.refitted) == [want[t][7] for t in table.index]
+    assert np.allclose(table.threshold_after, [want[t][3] for t in table.index]) and table.buffer_size.max() == 8
+
+
+def test_reload_while_running(spark, tmp_path, rows, detector):
+    """Model rows in the stream take effect at their place, for their key, and empty its buffer."""
+    base = rows.dropna()
+    keyed = train(spark.createDataFrame(base[base.t < 150]), SPEC, "t", keys=["k"], mode="by_key")
+    other = train(spark.createDataFrame(base[base.t >= 150]), SPEC, "t", keys=["k"], mode="by_key")
+    later = rows[rows.t >= 200][["a", "b", "k", "t"]]
+    control = str(tmp_path / "control")
+    control_rows(other, ["k"], {"t": 260}).filter("k = 'hot'").coalesce(1).write.parquet(control)
+    models = file_events(spark, control, spark.read.parquet(control).schema)
+    got = run_available(adapt_stream(stream_of(spark, tmp_path, [later]), keyed, ["k"], ["t"], control=models)).toPandas().set_index("t").sort_index()
+    assert len(got) == len(later)
+
+    def start(d, k):
+        return from_fields(d.models.filter(F.col("k") == k).first()), d.taus.filter(F.col("k") == k).first()["tau"]
+
+    scaled = {c: (later[c] - keyed.scaler.mean[c]) / keyed.scaler.scale[c] for c in ("a", "b")}
+    for k in ("hot", "x"):
+        model, tau = start(keyed, k)
+        online, fresh = Online(model.copy(), tau, Ring(8), 0, SPEC), k == "x"
+        for i in later.index[later.k == k]:
+            t = later.t[i]
+            if t >= 260 and not fresh:
+                model, tau = start(other, k)
+                online, fresh = Online(model.copy(), tau, Ring(8), 0, SPEC), True
+            w = online.step(np.array([scaled["a"][i], scaled["b"][i]]))
+            assert got.loc[t, "threshold_after"] == pytest.approx(w[3]) and got.loc[t, "buffer_size"] == w[4], (k, t)
+
+
+def test_new_key_starts_with_its_model_row(spark, tmp_path, rows, detector):
+    keyed = train(spark.createDataFrame(rows.dropna()), SPEC, "t", keys=["k"], mode="by_key")
+    later = rows[:20].assign(k="late")[["a", "b", "k", "t"]]
+    control = str(tmp_path / "control")
+    control_rows(keyed, ["k"], {"t": 10}).filter("k = 'hot'").withColumn("k", F.lit("late")).coalesce(1).write.parquet(control)
+    models = file_events(spark, control, spark.read.parquet(control).schema)
+    got = run_available(adapt_stream(stream_of(spark, tmp_path, [later]), keyed, ["k"], ["t"], control=models)).toPandas().set_index("t").sort_index()
+    assert got.score[:10].isna().all() and got.score[10:].notna().all()
+
+
+def test_idle_keys_start_anew(spark, tmp_path, rows, detector):
+    src, ck, out = (str(tmp_path / x) for x in ("in", "ck", "out"))
+    schema = "a double, b double, k string, t long"
+    calm = rows[(rows.k == "x")].dropna()[["a", "b", "k", "t"]]
+
+    def add(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+
+    def until(n):
+        for _ in range(120):
+            time.sleep(0.5)
+            try:
+                done = spark.read.parquet(out)
+                if done.count() >= n:
+                    return done
+            except Exception:  # noqa: BLE001  nothing written yet
+                pass
+        raise AssertionError(f"{n} rows never came")
+
+    add(calm[:6])
+    stream = file_events(spark, src, spark.read.parquet(src).schema)
+    writer = adapt_stream(stream, detector, ["k"], ["t"], idle_seconds=3).writeStream.format("parquet").option("checkpointLocation", ck)
+    query = writer.trigger(processingTime="500 milliseconds").start(out)
+    try:
+        until(6)
+        time.sleep(8)
+        add(calm[6:9])
+        table = until(9).toPandas().set_index("t").sort_index()
+    finally:
+        query.stop()
+    # each part as if the key had never been seen
+    want = {**replay(detector, calm[:6]), **replay(detector, calm[6:9])}
+    assert list(table.buffer_size) == [want[t][4] for t in table.index] and table.buffer_size.iloc[5] > table.buffer_size.iloc[6]
+    assert np.allclose(table.threshold_after, [want[t][3] for t in table.index])
+
+
+def test_ring_keeps_the_last_rows():
+    ring = Ring(3)
+    for i in range(7):
+        ring.append(np.array([i]))
+        assert [int(r[0]) for r in ring] == list(range(max(0, i - 2), i + 1)) and len(ring) == min(3, i + 1)
+    ring.clear()
+    assert list(ring) == [] and len(ring) == 0
+
+
 def test_decision_before_update_threshold_after(detector):
-    online = Online(from_fields(detector.models.first()).copy(), 0.5, [], 0, SPEC)
+    online = Online(from_fields(detector.models.first()).copy(), 0.5, Ring(8), 0, SPEC)
     s, anomalous, used, after, *_ = online.step(np.array([0.1, 0.1]))
     assert not anomalous and used == 0.5 and after == pytest.approx(0.9 * 0.5 + 0.1 * s)
 
 
 def test_far_point_is_learned_only_when_asked(detector):
     far = np.array([60.0, 60.0])
-    gated = Online(from_fields(detector.models.first()).copy(), 0.0, [], 0, SPEC)
+    gated = Online(from_fields(detector.models.first()).copy(), 0.0, Ring(8), 0, SPEC)
     before = gated.model.size
     assert gated.step(far)[:2] == (-1.0, 0) and gated.model.size == before
-    always = Online(from_fields(detector.models.first()).copy(), 0.0, [], 0, SPEC, expand_always=True)
+    always = Online(from_fields(detector.models.first()).copy(), 0.0, Ring(8), 0, SPEC, expand_always=True)
     always.step(far)
     assert any(np.array_equal(v, far) for v in always.model.sv)
 
 
 def test_refit_uses_buffer_and_oldest_rows(detector):
     slow = SPEC.with_(refit_every=30, min_refit=10, buffer_max=40, refit_sample=15)
-    online = Online(from_fields(detector.models.first()).copy(), 9.0, [], 0, slow)
+    online = Online(from_fields(detector.models.first()).copy(), 9.0, Ring(40), 0, slow)
     xs = np.random.default_rng(3).normal(size=(30, 2))
     out = [online.step(x) for x in xs]
     assert out[-1][-1] == 1 and online.since_refit == 0
