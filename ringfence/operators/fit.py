@@ -182,6 +182,13 @@ def _lean(df, by, features, sigma, order_col, ties, seed) -> DataFrame:
     return _central_first(lean, list(by), features) if seed == "central" else lean
 
 
+def number_rows(df: DataFrame, features, by: Sequence[str], order_col: str, ties: Sequence[str] = (), name: str = "position") -> DataFrame:
+    """Keys, features and the place of each row among those of its key, as the fit takes them."""
+    lean = _lean(df, list(by), features, 1.0, order_col, ties, "first")
+    place = _order_of(lean)
+    return row_index(lean, place[0], place[1:], list(by), lean.count(), ROWS_PER_BUCKET, name, None).drop(*place)
+
+
 def _central_first(lean: DataFrame, by: list[str], features) -> DataFrame:
     """``_head`` 0 for the row of each key that is nearest to the mean of its whole rows."""
     if isinstance(features, str):

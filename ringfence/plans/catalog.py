@@ -11,6 +11,7 @@ from ringfence.operators.fit import batch_stats, fit_by_key, fit_one, fit_steps,
 from ringfence.operators.merge import fit_merged
 from ringfence.operators.score import score, score_joined, uniform_model
 from ringfence.plans.evaluate import compare_baselines, evaluate
+from ringfence.plans.batches import train_batches, training_history
 from ringfence.plans.train import Detector, load, train
 from ringfence.plans.update import update_stored
 from ringfence.session import cut, new_path
@@ -392,6 +393,16 @@ def fit_batches(spark, sf):
     return batch_stats(steps, ["l_returnflag"])
 
 
+@query
+def train_in_batches(spark, sf):
+    """Stopped after the first checkpoint and resumed; what every batch did."""
+    path, items = new_path(spark, "batches"), _t(spark, sf, "lineitem")
+    spec = ITEMS.with_(initial_batch=2000, incremental_batch=1000, checkpoint_every=25, checkpoints=True)
+    for legs in (1, None):
+        train_batches(items, spec, path, "l_orderkey", ITEM_TIES, ["l_returnflag"], legs=legs)
+    return training_history(spark, path, spec)[0].select("l_returnflag", "batch", "processed", "added", "removed", "n_sv")
+
+
 @query
 def fit_trace(spark, sf):
     _, steps = fit_steps(
@@ -559,6 +570,16 @@ def iforest(spark, sf):
     return baselines.score_forest(rows, forest, EVENTS.features).select("event_id", "score")
 
 
+@query
+def iforest_flags(spark, sf):
+    """Decisions at the contamination of the fitted rows: the highest tenth of their scores."""
+    rows = _events(spark, sf).select("event_id", *EVENTS.features)
+    forest = baselines.fit_forest(rows, EVENTS.features, ["event_id"])
+    scored = cut(baselines.score_forest(rows, forest, EVENTS.features), "forest-scores")
+    return baselines.flag_forest(scored, scored).agg(
+        F.count("score").alias("n"), F.sum(F.col("is_anomaly")).cast("long").alias("flagged"), F.max("tau").alias("tau"))
+
+
 @query
 def linear_svm(spark, sf):
     rows = _item_vectors(spark, sf)

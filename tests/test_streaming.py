@@ -9,12 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringfence.functions.kernel import fit, from_fields
+from ringfence.operators.analysis import latency_summary
 from ringfence.operators.windows import window_features as batch_features
 from ringfence.plans.train import load, train
 from ringfence.plans.update import update
 from ringfence.sources.models import headers, load_models
 from ringfence.spec import AnomalyRule, DatasetSpec
 from ringfence.streaming.adaptive import Online, Ring, adapt_stream, control_rows, status
+from ringfence.streaming.progress import ProgressLog
 from ringfence.streaming.score import score_stream
 from ringfence.streaming.sources import file_events, run_available, with_end
 from ringfence.streaming.update import learn_batches
@@ -249,10 +251,20 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     first = pd.DataFrame({"ts": [base + dt.timedelta(minutes=m) for m in (0, 1, 30)], "v": 1.0})
     late = pd.DataFrame({"ts": [base + dt.timedelta(minutes=m) for m in (2, 31)], "v": 1.0})
     src, ck, out = str(tmp_path / "in"), str(tmp_path / "ck"), str(tmp_path / "out")
+    log = ProgressLog(spark, str(tmp_path / "log"), held=2)
     for p in (first, late):
         spark.createDataFrame(p, "ts timestamp, v double").coalesce(1).write.mode("append").parquet(src)
         stream = file_events(spark, src, spark.read.parquet(src).schema)
         got = run_available(windowed(stream, "ts", "5 minutes", [F.count("*").alias("n")], late="5 minutes"), ck, out, "update")
+    for _ in range(40):  # progress comes from another thread
+        time.sleep(0.25)
+        seen = log.table().agg(F.sum("rows").alias("rows"), F.sum("dropped_late").alias("late")).first()
+        if (seen["rows"], seen["late"]) == (5, 1):
+            break
+    log.close()
+    assert (seen["rows"], seen["late"]) == (5, 1)
+    times = latency_summary(log.table().filter("rows > 0"), ["query"], "batch_seconds").collect()
+    assert len(times) == 1 and times[0]["mean_ms"] > 0 and times[0]["p99_ms"] >= times[0]["mean_ms"]
     last = got.groupBy("window_start").agg(F.max_by("n", "batch_id").alias("n")).orderBy("window_start").collect()
     assert [r["n"] for r in last] == [2, 2]  # the row at minute 2 came too late
 
