@@ -368,20 +368,35 @@ def fit_by_key_flags(spark, sf):
     detector = train(_t(spark, sf, "lineitem"), ITEMS, "l_orderkey", ITEM_TIES, ["l_returnflag"])
     scored = detector.score(_t(spark, sf, "lineitem"), keep=())
     return scored.groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("is_anomaly").cast("long")).alias("n_flagged")
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("is_anomaly").cast("long")).alias("n_flagged"), _r(F.max("tau")).alias("tau"),
+        _r(F.sum("score"), 3).alias("total_score"),
+    )
+
+
+def _digest(models: DataFrame, by=(), dims: int = len(ITEM_FEATURES)) -> DataFrame:
+    """What a model is, rounded: size, radius, weights and weighted centre of its support vectors."""
+    places = F.sequence(F.lit(0), F.col("n_sv") - 1)
+
+    def center(i):
+        parts = F.transform(places, lambda j: F.get("alpha", j) * F.get("sv", j * F.col("dim") + i))
+        return _r(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))
+
+    squares = F.aggregate("alpha", F.lit(0.0), lambda a, b: a + b * b)
+    return models.select(
+        *by, F.col("n_sv").cast("long").alias("n_sv"), _r("radius", 8).alias("radius"), "seen", _r(squares, 8).alias("weight_sq"),
+        _r(F.array_max("alpha"), 8).alias("weight_top"), *[center(i).alias(f"c{i + 1}") for i in range(dims)],
     )
 
 
 @query
 def fit_models(spark, sf):
-    return fit_by_key(
-        _item_vectors(spark, sf, ["l_returnflag"]), ITEM_FEATURES, ["l_returnflag"], "l_orderkey", ITEM_TIES, 1.66
-    ).select("l_returnflag", "n_sv", "radius", "seen")
+    models = fit_by_key(_item_vectors(spark, sf, ["l_returnflag"]), ITEM_FEATURES, ["l_returnflag"], "l_orderkey", ITEM_TIES, 1.66)
+    return _digest(models, ["l_returnflag"])
 
 
 @query
 def fit_single(spark, sf):
-    return fit_one(_item_vectors(spark, sf), ITEM_FEATURES, "l_orderkey", ITEM_TIES, sigma=1.66).select("n_sv", "radius", "seen")
+    return _digest(fit_one(_item_vectors(spark, sf), ITEM_FEATURES, "l_orderkey", ITEM_TIES, sigma=1.66))
 
 
 @query
@@ -408,7 +423,7 @@ def fit_trace(spark, sf):
     _, steps = fit_steps(
         _vectors(spark, sf), "embedding", ["label"], "vec_id", (), 1.0, trace=True
     )
-    return objective_trace(steps, ["label"])
+    return objective_trace(steps, ["label"]).withColumn("radius", _r("radius", 8))
 
 
 @query
@@ -420,13 +435,11 @@ def fit_merged_rounds(spark, sf):
 
 @query
 def update_models(spark, sf):
-    """Models of the first orders of each key, continued with the later ones; seen rows add up."""
+    """Models of the first orders of each key, continued with the later ones: the models of one pass over all."""
     rows = _item_vectors(spark, sf, ["l_returnflag"])
     early, late = splits.holdout_tail(rows, "l_orderkey", ITEM_TIES, 0.5)
     first = fit_by_key(early, ITEM_FEATURES, ["l_returnflag"], "l_orderkey", ITEM_TIES, 1.66)
-    return update_by_key(first, late, ITEM_FEATURES, ["l_returnflag"], "l_orderkey", ITEM_TIES).select(
-        "l_returnflag", "seen"
-    )
+    return _digest(update_by_key(first, late, ITEM_FEATURES, ["l_returnflag"], "l_orderkey", ITEM_TIES), ["l_returnflag"])
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ringfence.plans.boundary_sql import batch_counts, boundary_walk, model_digest, radius_trace
+
 ITEM_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 ITEM_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -34,6 +36,21 @@ PREP = {
     "l_tax": "l_tax",
 }
 
+# prepared and standardised line items, numbered per key for the sequential fit
+ITEM_VECTORS = (
+    f"ready as (select {ITEM_KEYS}, l_returnflag, {', '.join(f'{e}::double as {c}' for c, e in PREP.items())} from lineitem), "
+    f"z as (select {ITEM_KEYS}, l_returnflag, {', '.join(f'(({c} - avg({c}) over ()) / stddev_pop({c}) over ()) as {c}' for c in PREP)} from ready)"
+)
+
+
+def _numbered(key: str) -> str:
+    return f"""{ITEM_VECTORS},
+    numbered as (select {key} as key, [{', '.join(PREP)}] as v, row_number() over (partition by {key} order by {ITEM_KEYS}) as rn from z)"""
+
+
+BY_FLAG, ALL_ITEMS = _numbered("l_returnflag"), _numbered("0")
+BY_LABEL = "numbered as (select label as key, embedding::double[] as v, row_number() over (partition by label order by vec_id) as rn from embeddings)"
+
 
 def _corr(a: str, b: str) -> str:
     return f"case when stddev_pop({a}) = 0 or stddev_pop({b}) = 0 then null else corr({a}, {b}) end"
@@ -167,9 +184,19 @@ SQL: dict[str, str] = {
     "threshold_quantile": f"with {FIXED} select label, round(quantile_cont(score, 0.9), 6) as tau from scored group by 1",
     "threshold_flags": f"""with {FIXED}, t as (select quantile_cont(score, 0.9) as tau from scored)
         select vec_id, round(tau, 6) as tau, case when score > tau then 1 else 0 end::bigint as is_anomaly from scored, t""",
-    "fit_by_key_flags": """select l_returnflag, count(*) as n_rows, (count(*) - 1 - floor(0.9 * (count(*) - 1)))::bigint as n_flagged
-        from lineitem group by 1""",
-    "update_models": "select l_returnflag, count(*) as seen from lineitem group by 1",
+    "fit_by_key_flags": f"""with recursive {boundary_walk(BY_FLAG, 1.66)},
+        sims as (select n.key, f.radius, f.alpha, list_transform(f.sv, lambda s: exp(list_distance(s, n.v) ** 2 / (-2 * 1.66 * 1.66))) as k
+                 from numbered n join fitted f using (key)),
+        scored as (select key, case when list_max(k) < 1e-8 or list_max(k) > 1 - 1e-8 then -1.0 else radius - list_dot_product(k, alpha) end as score from sims),
+        taus as (select key, quantile_cont(score, 0.9) as tau from scored group by 1)
+        select key as l_returnflag, count(*) as n_rows, count(*) filter (where score > tau) as n_flagged, round(max(tau), 6) as tau,
+               round(sum(score), 3) as total_score from scored join taus using (key) group by 1""",
+    "fit_models": model_digest(BY_FLAG, 1.66, "l_returnflag", 4),
+    "fit_single": model_digest(ALL_ITEMS, 1.66, None, 4),
+    "update_models": model_digest(BY_FLAG, 1.66, "l_returnflag", 4),
+    "fit_batches": batch_counts(BY_FLAG, 1.66, "l_returnflag", 100),
+    "train_in_batches": batch_counts(BY_FLAG, 1.66, "l_returnflag", 1000, 2000),
+    "fit_trace": radius_trace(BY_LABEL, 1.0, "label"),
     "roc_auc": f"with {FIXED}, ranked as (select round(score, 3) as score, case when label = 0 then 1 else 0 end as label from scored) "
     f"select round(auc, 6) as auc, n_pos::bigint as n_pos, n_neg::bigint as n_neg from ({_auc('select * from ranked')})",
     "avg_precision": f"""with {RANKED} select round(sum(pos * tp / (tp + fp)) / max(p), 6) as ap, max(p)::bigint as n_pos from run""",
