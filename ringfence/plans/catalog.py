@@ -607,6 +607,15 @@ def rbf_svm(spark, sf):
     return out.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("score") > 0, 1.0).otherwise(0.0)).alias("outside"))
 
 
+@query
+def plane_certificates(spark, sf):
+    """Both planes with what bounds their distance to the optimum."""
+    rows = cut(_item_vectors(spark, sf), "plane-rows")
+    planes = {"linear": baselines.fit_linear_svm(rows, ITEM_FEATURES), "rbf": baselines.fit_rbf_svm(rows, ITEM_FEATURES, size=64)}
+    proofs = [(k, p.proof.steps, float(p.proof.gap), float(p.proof.length_sq), bool(p.proof.converged), bool(p.proof.vanishing)) for k, p in planes.items()]
+    return spark.createDataFrame(proofs, "plane string, steps int, gap double, length_sq double, converged boolean, vanishing boolean")
+
+
 @query
 def pca2(spark, sf):
     rows = _item_vectors(spark, sf)

@@ -148,6 +148,48 @@ def test_plane_leaves_the_wanted_share_outside(data):
     assert share == pytest.approx(0.2, abs=0.03)
 
 
+def _lowest_share(margins, nu):
+    """Mean of the nu * n lowest margins, the last row in part."""
+    m, want = np.sort(margins), nu * len(margins)
+    whole = int(want)
+    return (m[:whole].sum() + (want - whole) * (m[whole] if whole < len(m) else 0.0)) / want
+
+
+@pytest.mark.parametrize("shift, nu", [(3.0, 0.1), (1.0, 0.3), (0.35, 0.8), (2.0, 1.0)])
+def test_plane_is_certified(spark, shift, nu):
+    """Nearly centred rows too: the normal is a mean of the hull, and no mean of the hull is much shorter."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 4)) * [1.0, 0.5, 2.0, 1.0] + shift
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double, d double")
+    plane = baselines.fit_linear_svm(df, list("abcd"), nu, tolerance=1e-4)
+    w, proof = plane.w, plane.proof
+    assert proof.converged and not proof.vanishing and proof.steps < 60
+    exact = float(w @ w) - _lowest_share(x @ w, nu)
+    assert -1e-9 <= exact <= proof.gap + 1e-9 and proof.gap <= 1e-4 * (w @ w)
+    for u in rng.normal(size=(200, 4)):
+        assert w @ u >= _lowest_share(x @ u, nu) - 1e-9
+    outside = plane.score(df).filter("score > 0").count()
+    assert abs(outside - nu * 3000) <= 30
+
+
+def test_plane_through_a_centred_cloud_says_so(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(size=(2000, 2))], "a double, b double")
+    proof = baselines.fit_linear_svm(df, ["a", "b"], 0.9).proof
+    assert proof.vanishing and proof.length_sq <= 1e-6 * proof.scale
+    short = baselines.fit_linear_svm(df.withColumn("a", F.col("a") + 9), ["a", "b"], 0.05, steps=2, tolerance=1e-12).proof
+    assert not short.converged and short.steps == 2 and short.gap > 0
+
+
+def test_plane_of_equal_and_missing_rows(spark):
+    df = spark.createDataFrame([(2.0, 1.0)] * 50 + [(None, 1.0)], "a double, b double")
+    plane = baselines.fit_linear_svm(df, ["a", "b"], 0.2)
+    assert np.allclose(plane.w, [2, 1]) and plane.proof.converged
+    assert plane.score(df).filter("score > 1e-9").count() == 0
+    with pytest.raises(ValueError, match="no rows"):
+        baselines.fit_linear_svm(df.filter("a is null"), ["a", "b"])
+
+
 def test_pca_is_centred(data):
     pdf, df = data
     means, parts = baselines.fit_pca(df, ["a", "b", "c"])
