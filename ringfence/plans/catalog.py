@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ringfence.operators import analysis, baselines, crossval, metrics, prep, sampling, splits, threshold, windows
+from ringfence.operators import analysis, baselines, crossval, metrics, prep, projection, sampling, splits, threshold, windows
 from ringfence.operators.fit import batch_stats, fit_by_key, fit_one, fit_steps, objective_trace, update_by_key
 from ringfence.operators.merge import fit_merged
 from ringfence.operators.score import score, score_joined, uniform_model
@@ -623,6 +623,15 @@ def pca2(spark, sf):
     return baselines.project_pca(rows, ITEM_FEATURES, means, parts).select(*ITEM_KEYS, "pc1", "pc2")
 
 
+@query
+def pca_models(spark, sf):
+    """Vectors and the support vectors of their classes' models in one plane."""
+    rows = _vectors(spark, sf)
+    models = fit_by_key(rows, "embedding", ["label"], "vec_id", (), 1.0)
+    drawn = projection.draw_models(rows, models, "embedding", ["vec_id"], ["label"])
+    return drawn.select("label", "vec_id", "kind", _r("weight").alias("weight"), _r("pc1").alias("pc1"), _r("pc2").alias("pc2"))
+
+
 @query
 def baseline_comparison(spark, sf):
     rows = _events(spark, sf)

@@ -43,6 +43,33 @@ ITEM_VECTORS = (
 )
 
 
+def _top(name: str, cov: str, squarings: int = 14) -> str:
+    """Table expressions ending in ``name(v, value)``: the first eigenvector of ``cov(m)``, its largest entry positive.
+
+    The matrix is squared until only its first eigenvector is left of it.
+    """
+    trace = "list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i]))"
+    return f"""{name}_power as (
+        select 0 as i, m from {cov}
+        union all
+        select i + 1, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b)))
+        from (select i, list_transform(m, lambda a: list_transform(a, lambda x: x / {trace})) as m from {name}_power where i < {squarings})),
+    {name}_column as (select c from (select unnest(m) as c from {name}_power where i = {squarings}) order by list_dot_product(c, c) desc limit 1),
+    {name}_unit as (select list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) as u from {name}_column),
+    {name}_sign as (select list_transform(u, lambda x: x * case when list_max(u) >= -list_min(u) then 1 else -1 end) as v from {name}_unit),
+    {name} as (select v, list_dot_product(v, list_transform(m, lambda row: list_dot_product(row, v))) as value from {name}_sign, {cov})"""
+
+
+# two principal directions of the vectors
+PLANE = f"""coords as (select vec_id, generate_subscripts(embedding, 1) as pos, unnest(embedding)::double as x from embeddings),
+    middle as (select list(m order by pos) as m from (select pos, avg(x) as m from coords group by 1)),
+    moments as (select a.pos as i, b.pos as j, covar_samp(a.x, b.x) as c from coords a join coords b using (vec_id) group by 1, 2),
+    cov as (select list(r order by i) as m from (select i, list(c order by j) as r from moments group by 1)),
+    {_top('one', 'cov')},
+    rest as (select list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - value * v[i] * v[j])) as m from cov, one),
+    {_top('two', 'rest')}"""
+
+
 def _numbered(key: str) -> str:
     return f"""{ITEM_VECTORS},
     numbered as (select {key} as key, [{', '.join(PREP)}] as v, row_number() over (partition by {key} order by {ITEM_KEYS}) as rn from z)"""
@@ -196,6 +223,12 @@ SQL: dict[str, str] = {
     "update_models": model_digest(BY_FLAG, 1.66, "l_returnflag", 4),
     "fit_batches": batch_counts(BY_FLAG, 1.66, "l_returnflag", 100),
     "train_in_batches": batch_counts(BY_FLAG, 1.66, "l_returnflag", 1000, 2000),
+    "pca_models": f"""with recursive {boundary_walk(BY_LABEL, 1.0)}, {PLANE},
+        spots as (select label, vec_id, 'row' as kind, null::double as weight, embedding::double[] as x from embeddings
+                  union all select key, null, 'support', unnest(alpha), unnest(sv) from fitted),
+        moved as (select label, vec_id, kind, weight, list_transform(list_zip(x, m), lambda p: p[1] - p[2]) as x from spots, middle)
+        select label, vec_id, kind, round(weight, 6) as weight, round(list_dot_product(x, one.v), 6) as pc1, round(list_dot_product(x, two.v), 6) as pc2
+        from moved, one, two""",
     "fit_trace": radius_trace(BY_LABEL, 1.0, "label"),
     "roc_auc": f"with {FIXED}, ranked as (select round(score, 3) as score, case when label = 0 then 1 else 0 end as label from scored) "
     f"select round(auc, 6) as auc, n_pos::bigint as n_pos, n_neg::bigint as n_neg from ({_auc('select * from ranked')})",
