@@ -22,14 +22,33 @@ ROWS_PER_BUCKET = 2_000_000
 _FIRST = Window.unboundedPreceding
 
 
-def cut_points(df: DataFrame, value: Column, rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
-    """Sketch quantiles of ``value`` cutting ``rows`` rows into even buckets; repeats mark hot values."""
+# One sketch is asked for at most this many ranges; more come from a sketch inside each range.
+RANGES = 1_000
+
+
+def _even(value: Column, parts: int) -> Column:
+    return F.percentile_approx(value, [i / parts for i in range(1, parts)], max(10_000, 8 * parts))
+
+
+def cut_points(
+    df: DataFrame, value: Column, rows: int, rows_per_bucket: int = ROWS_PER_BUCKET, ranges: int = RANGES
+) -> list[float]:
+    """Sketch quantiles of ``value`` cutting ``rows`` rows into even buckets; repeats mark hot values.
+
+    Many buckets are found in two levels: ``ranges`` coarse ones, then even cuts inside each of them, by one
+    sketch per range, so that no sketch grows with the table. The driver gets one number a bucket.
+    """
     buckets = ceil(rows / rows_per_bucket)
     if buckets <= 1:
         return []
-    probs = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(value, probs, max(10_000, 8 * buckets)).alias("cuts")).first()["cuts"]
-    return sorted(found or [])
+    found = sorted(df.agg(_even(value, min(buckets, ranges)).alias("cuts")).first()["cuts"] or [])
+    if buckets <= ranges or not found:
+        return found
+    # rows at a cut are left out, so that a hot value does not use up the cuts of its range
+    between = df.select(value.alias("_cut")).filter(~F.col("_cut").isin(sorted(set(found))))
+    placed = _with_bucket(between, "_cut", found, "_range")
+    inside = placed.groupBy("_range").agg(_even(F.col("_cut"), ceil(buckets / ranges)).alias("cuts"))
+    return sorted([*found, *(c for r in inside.collect() for c in r["cuts"] or [])])
 
 
 def _with_bucket(df: DataFrame, value: str, cuts: Sequence[float], out: str) -> DataFrame:

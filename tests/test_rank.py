@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ringfence.operators.rank import cut_points, order_statistics, quantiles, row_index, running_totals, value_histogram
+from ringfence.operators.rank import _with_bucket, cut_points, order_statistics, quantiles, row_index, running_totals, value_histogram
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +99,19 @@ def test_order_statistics(skewed, per_bucket):
     for k in (0, 1, 1500, 2999):
         value, below, same = order_statistics(df, "v", [k], len(v), per_bucket)[k]
         assert value == v[k] and below == (v < value).sum() and same == (v == value).sum()
+
+
+@pytest.mark.parametrize("buckets", [10, 1_000, 100_000])
+def test_running_totals_over_two_levels_of_cuts(spark, buckets):
+    rows = 200_000
+    # a third of the rows holds one value
+    df = spark.range(rows).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.xxhash64("id") / F.lit(2.0**60)).alias("v"))
+    cuts = cut_points(df, F.col("v"), rows, rows // buckets, ranges=100)
+    assert cuts == sorted(cuts) and len(cuts) >= 0.6 * (buckets - 1)
+    hist = value_histogram(df, "v")
+    got = running_totals(hist, "v", ["n"], (), cuts, previous=True)
+    want = running_totals(hist, "v", ["n"], (), (), previous=True)
+    columns = ["v", "n", "n_before", "n_total", "n_prev"]
+    assert got.select(columns).exceptAll(want.select(columns)).isEmpty() and got.count() == want.count()
+    sizes = _with_bucket(df.filter("v <> 7"), "v", cuts, "b").groupBy("b").count().agg(F.max("count")).first()[0]
+    assert sizes <= max(40, 3 * rows // buckets)
