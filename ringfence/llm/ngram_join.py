@@ -15,7 +15,7 @@ among the first n - o + 1 of each, at places from which o common tokens can stil
 Links inside a component are left out; they change no component. Nothing else is: no list or candidate is capped.
 
 Defined cases: a null or empty text has no token and no link; with fewer words than a shingle the words are the one
-token; repeated rows have equal sets; a null doc_id is never the smallest. Sets are whole in a task, lists are streamed.
+token; repeated rows have equal sets; a null doc_id is never the smallest. Sets are whole in a task, lists are streamed, long ones cut into blocks.
 """
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ from ringfence.llm.components import components
 from ringfence.llm.kernels import LOWER, grams, mix, pieces, word_hashes, words
 from ringfence.llm.rows import text_key
 from ringfence.llm.segments import bit_arrays
-from ringfence.session import cut
+from ringfence.session import cut, join_small
 
 SKETCH_BITS, CHUNK = 22, 1 << 18
 LEADERS = 4
+# sets of a token that one task pairs with each other, and pairs looked at in one step
+BLOCK, PAIRS = 1 << 13, 1 << 20
 SEEN = 1 << 20
 SETS = "doc_id long, text_key long, set_key long, n int, chunk int, counts binary"
 
@@ -191,33 +193,38 @@ def _shared(batches):
 
 
 def _cross_pairs(percent: int):
-    """Rows in order of token: pairs of sets from different components that this token does not rule out."""
+    """Rows in order of (token, i, j, component): pairs of sets from different components that this token does not rule out.
+
+    With i < j the rows are two blocks of a long list, told apart by ``side``, and only pairs between them are looked at.
+    """
 
     def pairs(batches):
         import pyarrow as pa
 
-        names, rest, held, many = [*LIST, "component"], None, [], 0
+        names, rest, held, many = [*LIST, "i", "j", "side", "component"], None, [], 0
 
         def combined():
             both = np.unique(np.concatenate(held, axis=1), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
         def parts():
+            """Whole groups; the last group of a batch waits for the next one."""
             nonlocal rest
             for batch in batches:
                 if not len(batch):
                     continue
-                rows = [batch.column(c).to_numpy() for c in names]
+                rows = dict(zip(names, (batch.column(c).to_numpy() for c in names)))
                 if rest is not None:
-                    rows = [np.concatenate([r, x]) for r, x in zip(rest, rows)]
-                end = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-                rest = [r[end:] for r in rows]
-                yield [r[:end] for r in rows]
+                    rows = {c: np.concatenate([rest[c], rows[c]]) for c in names}
+                end = int(np.flatnonzero(_starts(rows, "token", "i", "j"))[-1])
+                rest = {c: r[end:] for c, r in rows.items()}
+                if end:
+                    yield {c: r[:end] for c, r in rows.items()}
             if rest is not None:
                 yield rest
 
         for part in parts():
-            for found in of_tokens(*part):
+            for found in of_groups(part):
                 held.append(found)
                 many += found.shape[1]
                 if many > 1 << 20:  # combine what this task has met before it is sent
@@ -226,24 +233,46 @@ def _cross_pairs(percent: int):
         if held:
             yield combined()
 
-    def of_tokens(token, key, n, place, part):
-        n, place = n.astype(np.int64), place.astype(np.int64)
-        at, d = np.arange(len(token)), 0
-        while len(at):
-            d += 1
-            at = at[at + d < len(token)]
-            at = at[token[at + d] == token[at]]
-            x, y = at[part[at] != part[at + d]], at[part[at] != part[at + d]] + d
+    def of_groups(rows):
+        group = _starts(rows, "token", "i", "j")
+        # a row meets the rows from the end of its component to the end of its group
+        first, last = _ends(group | _starts(rows, "component")), _ends(group)
+        many = last - first
+        n, place, key = rows["n"].astype(np.int64), rows["place"].astype(np.int64), rows["set_key"]
+        at, upto = 0, np.cumsum(many)
+        while at < len(many):
+            base = upto[at] - many[at]
+            end = max(at + 1, int(np.searchsorted(upto, base + PAIRS, "right")))
+            x = np.repeat(np.arange(at, end), many[at:end])
+            y = np.arange(len(x)) - np.repeat(upto[at:end] - many[at:end] - base, many[at:end]) + first[x]
+            at = end
+            near = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ((rows["side"][x] != rows["side"][y]) | (rows["i"][x] == rows["j"][x]))
+            x, y = x[near], y[near]
             least = -(-percent * (n[x] + n[y]) // (100 + percent))  # common tokens that the similarity asks for
             left = np.minimum(n[x] - place[x], n[y] - place[y])
-            ok = (left >= least) & (np.minimum(place[x], place[y]) + left >= least) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            ok = (left >= least) & (np.minimum(place[x], place[y]) + left >= least)
             if ok.any():
-                a, b = key[x[ok]], key[y[ok]]
-                yield np.stack([np.minimum(a, b), np.maximum(a, b)])
+                one, two = key[x[ok]], key[y[ok]]
+                yield np.stack([np.minimum(one, two), np.maximum(one, two)])
 
     return pairs
 
 
+def _starts(rows, *names) -> np.ndarray:
+    """Where a row differs from the one before in one of the columns."""
+    new = np.zeros(len(rows["token"]), bool)
+    new[:1] = True
+    for c in names:
+        new[1:] |= rows[c][1:] != rows[c][:-1]
+    return new
+
+
+def _ends(new: np.ndarray) -> np.ndarray:
+    """For every row the end of its run."""
+    starts = np.flatnonzero(new)
+    return np.append(starts[1:], len(new))[np.cumsum(new) - 1]
+
+
 def _whole_sets(size: int, known, bits: int):
     def whole(batches):
         import pyarrow as pa
@@ -290,8 +319,8 @@ def own_keys(batch):
 class SetJoin:
     """The join of one document table with itself, its scans and filters."""
 
-    def __init__(self, docs: DataFrame, size: int = 5, percent: int = 75, orders: int = 2, bits: int = 26):
-        self.docs, self.size, self.percent, self.orders, self.bits = docs, size, percent, orders, bits
+    def __init__(self, docs: DataFrame, size: int = 5, percent: int = 75, orders: int = 2, bits: int = 26, block: int = BLOCK):
+        self.docs, self.size, self.percent, self.orders, self.bits, self.block = docs, size, percent, orders, bits, block
         self.texts = docs.select("text")
         self.context = docs.sparkSession.sparkContext
         self.described = cut(docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(_describe(size), SETS), "sets")
@@ -338,6 +367,30 @@ class SetJoin:
     def with_component(self, lists: DataFrame, parts: DataFrame) -> DataFrame:
         return lists.join(parts.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
 
+    def crossing(self, lists: DataFrame, parts: DataFrame) -> DataFrame:
+        """The pairs (a, b) of sets from different components that some token's list leaves possible.
+
+        A list of more than ``block`` sets is cut into blocks by component; every pair of blocks that holds two components
+        is a group of its own, so that neither a frequent token nor a large group of copies fills a task.
+        """
+        group = ["token", "i", "j"]
+        none = F.lit(0)
+        long = cut(lists.groupBy("token").count().filter(F.col("count") > self.block).select("token"), "long-lists")
+        short = self.with_component(join_small(lists, long, "token", "left_anti"), parts)
+        short = short.select(*LIST, none.alias("i"), none.alias("j"), none.alias("side"), "component")
+        place = F.row_number().over(W.partitionBy("token").orderBy("component", "set_key")) - 1
+        rows = self.with_component(join_small(lists, long, "token", "left_semi"), parts).withColumn("_block", F.floor(place / self.block).cast("int"))
+        rows = cut(rows, "blocks")
+        ends = cut(rows.groupBy("token", "_block").agg(F.min("component").alias("_low"), F.max("component").alias("_high")), "block-ends")
+        one, two = (ends.select("token", F.col("_block").alias(c), F.col("_low").alias(f"low_{c}"), F.col("_high").alias(f"high_{c}")) for c in "ij")
+        met = one.join(two, "token").filter((F.col("i") <= F.col("j")) & (F.least("low_i", "low_j") < F.greatest("high_i", "high_j")))
+        met = cut(met.select(*group), "block-pairs")
+        sides = [join_small(rows, pairs.withColumn("_block", F.col(c)), ["token", "_block"]).withColumn("side", F.lit(side))
+                 for side, c, pairs in ((0, "i", met), (1, "j", met.filter("i < j")))]
+        dealt = short.unionByName(sides[0].unionByName(sides[1]).select(*LIST, "i", "j", "side", "component"))
+        dealt = dealt.repartition(*group).sortWithinPartitions(*group, "component", "set_key")
+        return dealt.mapInArrow(_cross_pairs(self.percent), "a long, b long").distinct()
+
     def linked(self) -> DataFrame:
         """node, component of every set that is linked with another."""
         first = self.lists(0)
@@ -346,21 +399,20 @@ class SetJoin:
         candidates, survivors = None, None
         for order in range(self.orders):
             lists = first if order == 0 else self.lists(order, self.known(survivors))
-            dealt = self.with_component(lists, parts).repartition("token").sortWithinPartitions("token", "n")
-            pairs = dealt.mapInArrow(_cross_pairs(self.percent), "a long, b long").distinct()
+            pairs = self.crossing(lists, parts)
             pairs = pairs if candidates is None else candidates.join(pairs, ["a", "b"], "left_semi")
             candidates = cut(pairs, f"candidates-{order}")
             survivors = candidates.select(F.col("a").alias("set_key")).unionByName(candidates.select(F.col("b").alias("set_key"))).distinct()
         return components(links.unionByName(self.verified(candidates)))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, orders: int = 2, bits: int = 26) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, orders: int = 2, bits: int = 26, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document; text_key, kept.
 
     One row of each component is to be kept: that of the smallest doc_id, by text_key among rows that share it.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    join = SetJoin(docs, size, percent, orders, bits)
+    join = SetJoin(docs, size, percent, orders, bits, block)
     parts = join.linked().withColumnsRenamed({"node": "set_key", "component": "_part"})
     rows = cut(join.rows.join(parts, "set_key", "left").withColumn("_part", F.coalesce("_part", "set_key")), "members")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")

@@ -44,6 +44,40 @@ def test_near_duplicates_equal_all_pairs(spark, orders):
     assert corpus.same(got, corpus.near(rows))
 
 
+@pytest.mark.parametrize("block", [1, 3])
+def test_near_duplicates_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "PAIRS", 5)
+    rows = similar_rows()
+    got = near_duplicates(corpus.frame(spark, rows), block=block).select("doc_id", "n_shingles", "component_id").collect()
+    assert corpus.same(got, corpus.near(rows))
+
+
+@pytest.mark.parametrize("block", [4, 60, 10**6])
+def test_blocks_of_a_long_list_give_its_pairs(spark, block):
+    """One token shared by a large component, small ones and single sets; another by few sets; one by a single component."""
+    draw = random.Random(8)
+    rows, parts = [], {}
+    for token, count in ((5, 200), (6, 7), (7, 90)):
+        for i in range(count):
+            key = 1000 * token + i
+            if i % 2 or token == 7:
+                parts[key] = draw.choice([1, 1, 1, 2, 3]) if token != 7 else 4
+            rows.append((token, key, draw.choice([40, 50, 90]), draw.randrange(0, 12)))
+    join = ngram_join.SetJoin.__new__(ngram_join.SetJoin)
+    join.percent, join.block = 75, block
+    lists = spark.createDataFrame(rows, ngram_join.LISTS)
+    named = spark.createDataFrame(list(parts.items()), "node long, component long")
+    got = [tuple(r) for r in join.crossing(lists, named).collect()]
+    want = set()
+    for token, a, n, p in rows:
+        for other, b, m, q in rows:
+            least = -(-75 * (n + m) // 175)
+            left = min(n - p, m - q)
+            if token == other and a < b and parts.get(a, a) != parts.get(b, b) and 100 * min(n, m) >= 75 * max(n, m) and left >= least and min(p, q) + left >= least:
+                want.add((a, b))
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_near_duplicates_whole_table(documents):
     docs, rows = documents
     assert corpus.same(near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect(), corpus.near(rows))
