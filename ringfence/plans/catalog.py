@@ -620,7 +620,7 @@ def plane_certificates(spark, sf):
 def pca2(spark, sf):
     rows = _item_vectors(spark, sf)
     means, parts = baselines.fit_pca(rows, ITEM_FEATURES)
-    return baselines.project_pca(rows, ITEM_FEATURES, means, parts).select(*ITEM_KEYS, "pc1", "pc2")
+    return baselines.project_pca(rows, ITEM_FEATURES, means, parts).select(*ITEM_KEYS, _r("pc1", 5).alias("pc1"), _r("pc2", 5).alias("pc2"))
 
 
 @query

@@ -60,16 +60,22 @@ def _top(name: str, cov: str, squarings: int = 14) -> str:
     {name} as (select v, list_dot_product(v, list_transform(m, lambda row: list_dot_product(row, v))) as value from {name}_sign, {cov})"""
 
 
-# two principal directions of the vectors
-PLANE = f"""coords as (select vec_id, generate_subscripts(embedding, 1) as pos, unnest(embedding)::double as x from embeddings),
+def _plane(coords: str) -> str:
+    """Table expressions ending in ``middle(m)`` and the directions ``one`` and ``two`` of ``coords(id, pos, x)``."""
+    return f"""{coords},
     middle as (select list(m order by pos) as m from (select pos, avg(x) as m from coords group by 1)),
-    moments as (select a.pos as i, b.pos as j, covar_samp(a.x, b.x) as c from coords a join coords b using (vec_id) group by 1, 2),
+    moments as (select a.pos as i, b.pos as j, covar_samp(a.x, b.x) as c from coords a join coords b using (id) group by 1, 2),
     cov as (select list(r order by i) as m from (select i, list(c order by j) as r from moments group by 1)),
     {_top('one', 'cov')},
     rest as (select list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - value * v[i] * v[j])) as m from cov, one),
     {_top('two', 'rest')}"""
 
 
+PLANE = _plane("coords as (select vec_id as id, generate_subscripts(embedding, 1) as pos, unnest(embedding)::double as x from embeddings)")
+ITEM_PLANE = _plane(f"""{ITEM_VECTORS}, vectors as (select {ITEM_KEYS}, row_number() over () as id, [{', '.join(PREP)}] as v from z),
+    coords as (select id, generate_subscripts(v, 1) as pos, unnest(v) as x from vectors)""")
+
+
 def _numbered(key: str) -> str:
     return f"""{ITEM_VECTORS},
     numbered as (select {key} as key, [{', '.join(PREP)}] as v, row_number() over (partition by {key} order by {ITEM_KEYS}) as rn from z)"""
@@ -223,6 +229,9 @@ SQL: dict[str, str] = {
     "update_models": model_digest(BY_FLAG, 1.66, "l_returnflag", 4),
     "fit_batches": batch_counts(BY_FLAG, 1.66, "l_returnflag", 100),
     "train_in_batches": batch_counts(BY_FLAG, 1.66, "l_returnflag", 1000, 2000),
+    "pca2": f"""with recursive {ITEM_PLANE},
+        moved as (select {ITEM_KEYS}, list_transform(list_zip(vectors.v, m), lambda p: p[1] - p[2]) as x from vectors, middle)
+        select {ITEM_KEYS}, round(list_dot_product(x, one.v), 5) as pc1, round(list_dot_product(x, two.v), 5) as pc2 from moved, one, two""",
     "pca_models": f"""with recursive {boundary_walk(BY_LABEL, 1.0)}, {PLANE},
         spots as (select label, vec_id, 'row' as kind, null::double as weight, embedding::double[] as x from embeddings
                   union all select key, null, 'support', unnest(alpha), unnest(sv) from fitted),

@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, sf, con, name):
     assert oracle.compare(FNS[name](spark, sf), con, SQLS[name]) is None
 
 
-@pytest.mark.parametrize("name", ["iforest", "pca2", "grid_best"])
+@pytest.mark.parametrize("name", ["iforest", "plane_certificates", "grid_best"])
 def test_query_without_sql_gives_rows(spark, sf, name):
     assert FNS[name](spark, sf).count() > 0
 
