@@ -17,6 +17,24 @@ def _matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return join_small(docs, own, (text_key(docs) == own["_key"]) & docs["doc_id"].eqNullSafe(own["_id"]), how)
 
 
+# A group with more than one in HOT_SHARE of the rows is met by broadcast; there are fewer than HOT_SHARE of them at any size.
+HOT_SHARE = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """Inner join of rows with a row per group of them; ``size``, a column of ``groups``, is at least its number of rows.
+
+    Sizes add up to at most ``size`` summed over the groups, which bounds the hot ones: their rows stay where they are
+    and the others are joined by key. Both tables are written out already; keys are not null.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * HOT_SHARE > total
+    few = cut(groups.filter(hot), "hot-groups")
+    there = rows.join(F.broadcast(few), on)
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(groups.filter(~hot), on)
+    return there.unionByName(rest)
+
+
 def once(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``docs`` with one of the rows that share doc_id and text; ``keys`` lists a row for each of theirs."""
     twice = cut(keys.groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key"), "twice")

@@ -12,7 +12,8 @@ lies in exactly one. Segments with equal anchors are a *class*: only inside a cl
    decides. Of the others the text is sent by the first document that has it, known by a third bit array.
 4. A judge decides, class by class, which windows of different segments repeat. Classes with more than
    ``class_limit`` distinct segments are decided window by window in a grouped count of 128-bit hashes instead.
-5. Occurrences meet the verdict of their class or segment; spans are collected per document.
+5. Occurrences meet the verdict of their class or segment, those of the most frequent ones (fewer than ``HOT_SHARE``, a hit a
+   window at most) by broadcast; spans are collected per document.
 
 Rows are known by doc_id and a hash of the text, so that repeated ids do no harm.
 """
@@ -25,6 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ringfence.llm.kernels import grams, inside, mix, pieces, word_hashes, words
+from ringfence.llm.rows import join_groups
 from ringfence.session import cut, join_small
 
 BYTE = mix(np.arange(256, dtype=np.uint64), 3)
@@ -88,7 +90,7 @@ def cut_segments(units: Units, buf: np.ndarray, at: np.ndarray):
 
 
 def count_schema(smaller_doc: bool) -> str:
-    return f"anchor long, {'d_min long, d_max long' if smaller_doc else 'n long'}, s_min long, s_max long"
+    return f"anchor long, n long, {'d_min long, d_max long, ' if smaller_doc else ''}s_min long, s_max long"
 
 
 def _count(units: Units, smaller_doc: bool):
@@ -106,7 +108,8 @@ def _count(units: Units, smaller_doc: bool):
                 order = np.argsort(found[5], kind="stable")
                 doc, anchor, key = ids[a:b][found[0]][order], found[5][order], found[6][order]
                 at_ = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-                of = [np.minimum.reduceat(doc, at_), np.maximum.reduceat(doc, at_)] if smaller_doc else [np.diff(np.append(at_, len(anchor)))]
+                of = [np.diff(np.append(at_, len(anchor)))]
+                of += [np.minimum.reduceat(doc, at_), np.maximum.reduceat(doc, at_)] if smaller_doc else []
                 columns = [anchor[at_], *of, np.minimum.reduceat(key, at_), np.maximum.reduceat(key, at_)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
@@ -304,16 +307,17 @@ def repeated_spans(docs: DataFrame, units: Units, judge, smaller_doc: bool, clas
     """
     spark = docs.sparkSession
     least, most = F.min, F.max
-    of = [least("d_min").alias("d_min"), most("d_max").alias("d_max")] if smaller_doc else [F.sum("n").alias("n")]
+    of = [F.sum("n").alias("n"), *([least("d_min").alias("d_min"), most("d_max").alias("d_max")] if smaller_doc else [])]
     counted = docs.mapInArrow(_count(units, smaller_doc), count_schema(smaller_doc)).groupBy("anchor").agg(*of, least("s_min").alias("s_min"), most("s_max").alias("s_max"))
     shared = counted.filter(F.col("d_min") < F.col("d_max") if smaller_doc else F.col("n") > 1)
-    classes = cut(shared.select("anchor", F.col("d_min").alias("doc") if smaller_doc else F.lit(None).cast("long").alias("doc"),
+    classes = cut(shared.select("anchor", "n", F.col("d_min").alias("doc") if smaller_doc else F.lit(None).cast("long").alias("doc"),
                                 (F.col("s_min") != F.col("s_max")).alias("several")), "classes")
     sent = spark.sparkContext.broadcast(bit_arrays(classes, class_keys, 2, bits))
     places = cut(docs.mapInArrow(_occurrences(units, sent, bits), OCCURRENCES), "occurrences")
     kept = ["doc_id", "text_key", "start", "n_windows"]
     later = F.col("doc_id") > F.col("doc") if smaller_doc else F.lit(True)
-    alone = places.filter("segment is null").select(*kept, "anchor").join(classes.select("anchor", "doc"), "anchor")
+    lone = classes.filter("not several").select("anchor", "doc", "n")
+    alone = join_groups(places.filter("segment is null").select(*kept, "anchor"), lone, ["anchor"], "n")
     alone = alone.filter(later).select(*kept, F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("hits"))
 
     segment = ["anchor", "segment"]
@@ -336,7 +340,7 @@ def repeated_spans(docs: DataFrame, units: Units, judge, smaller_doc: bool, clas
     verdicts = segments.select(*segment, "doc", "copies").join(judged, segment, "left")
     if not smaller_doc:
         verdicts = verdicts.filter((F.col("copies") > 1) | F.col("hits").isNotNull())
-    found = places.filter("segment is not null").select(*kept, *segment).join(verdicts, segment).withColumn("whole", whole)
+    found = join_groups(places.filter("segment is not null").select(*kept, *segment), cut(verdicts, "verdicts"), segment, "copies").withColumn("whole", whole)
     found = found.filter(F.col("whole") | F.col("hits").isNotNull()).select(*kept, "whole", "hits").unionByName(alone)
     spans = found.mapInArrow(_spans(units), "doc_id long, text_key long, a long, b long")
     return spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))

@@ -5,11 +5,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import ringfence.llm.ngram_join as ngram_join
 from ringfence.llm.automaton import SuffixAutomaton, remove_repeated_words
 from ringfence.llm.components import components
-from ringfence.llm.exact import build_directory, dedup_exact, with_bucket
+from ringfence.llm import exact as exact_module, rows as rows_module
+from ringfence.llm.exact import build_directory, build_index, dedup_exact, with_bucket
 from ringfence.llm.ngram_join import near_duplicates
 from ringfence.llm.suffix import multikey_quicksort, remove_repeated_bytes
 
@@ -188,10 +190,47 @@ def test_exact_dedup(spark, documents, capacity):
     assert dedup_exact(corpus.frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("held", [1, 32 << 20])
+def test_keys_that_collide_are_chained(spark, monkeypatch, held):
+    """Many texts under few keys: only the bytes tell them apart. Links of one text are never two, whatever a task combined."""
+    monkeypatch.setattr(exact_module, "HELD_BYTES", held)
+    rows = [(i, f"text {i % 40}" if i % 7 else None, (i % 40) % 3 - 1) for i in range(400)] + [(1000, "single", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long").repartition(5)
+    docs = docs.selectExpr("doc_id", "coalesce(text, '') text", "key")
+    keys = docs.selectExpr("doc_id", "key", "sha2(text, 256) text_sha256", "octet_length(text) n_bytes")
+    links = build_index(docs, keys, 2).collect()
+    want = {}
+    for i, text, key in rows:
+        want.setdefault((key, hashlib.sha256((text or "").encode()).hexdigest()), []).append(i)
+    assert {(r.key, r.text_sha256): (r.keep_id, r.group_size) for r in links} == {k: (max(v), len(v)) for k, v in want.items()}
+    assert len(links) == len(want)
+    for key in {r.key for r in links}:
+        chain = [r.chain for r in links if r.key == key]
+        assert sorted(chain) == list(range(1, len(chain) + 1))
+
+
+def test_answers_come_from_the_links(spark, monkeypatch):
+    """A changed link changes the answers of its rows."""
+    index = exact_module.build_index
+    monkeypatch.setattr(exact_module, "build_index", lambda *a: index(*a).withColumn("keep_id", F.when(F.col("group_size") > 1, -5).otherwise(F.col("keep_id"))))
+    got = {r.doc_id: (r.keep_id, r.kept) for r in dedup_exact(corpus.frame(spark, [(1, "a", "s"), (2, "a", "s"), (3, "b", "s")])).collect()}
+    assert got == {1: (-5, False), 2: (-5, False), 3: (3, True)}
+
+
+@pytest.mark.parametrize("share", [1, 3, 10_000])
+def test_hot_groups_meet_by_broadcast(spark, monkeypatch, share):
+    monkeypatch.setattr(rows_module, "HOT_SHARE", share)
+    rows = spark.range(500).selectExpr("id", "if(id % 2 = 0, 0, id % 9) k")
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).filter("k <> 4")
+    got = {tuple(r) for r in rows_module.join_groups(rows, groups, ["k"], "n").select("id", "k", "n", "top").collect()}
+    assert got == {tuple(r) for r in rows.join(groups, "k").select("id", "k", "n", "top").collect()} and len(got) > 400
+
+
 def test_directory_splits_only_overfull_buckets(spark):
     slots = spark.range(2000).selectExpr("case when id < 1900 then shiftright(xxhash64(id), 20) else xxhash64(id) end key")
     buckets = build_directory(slots, 50)
     counts = {r[0]: r[1] for r in with_bucket(slots, buckets).groupBy("bucket").count().collect()}
+    buckets = [(r.depth, r.prefix) for r in buckets.collect()]
     assert sum(counts.values()) == 2000 and max(counts.values()) <= 50
     depths = {d for d, _ in buckets}
     assert max(depths) > 20 > min(depths) and sum(2.0 ** -d for d, _ in buckets) == 1
