@@ -9,7 +9,8 @@ lies in exactly one. Segments with equal anchors are a *class*: only inside a cl
 2. The others leave two bit arrays of fixed size, of classes to look at and of those with different segments. They
    go to every task; a false hit costs time only.
 3. Occurrences of the remaining segments are written with their place. Where a class has one segment only, its count
-   decides. Of the others the text is sent by the first document that has it, known by a third bit array.
+   decides. Of the others a window may be shared only where the units on one side of the anchor are, so those are compared as
+   hashes first; the text of a segment left is sent by the first document that has it. Two bit arrays tell which.
 4. A judge decides, class by class, which windows of different segments repeat. Classes with more than
    ``class_limit`` distinct segments are decided window by window in a grouped count of 128-bit hashes instead.
 5. Occurrences meet the verdict of their class or segment, those of the most frequent ones (fewer than ``HOT_SHARE``, a hit a
@@ -31,7 +32,7 @@ from ringfence.session import cut, join_small
 
 BYTE = mix(np.arange(256, dtype=np.uint64), 3)
 PLACE = np.uint64(2**31 - 1)
-OCCURRENCES = "doc_id long, text_key long, start long, n_windows int, anchor long, segment long"
+OCCURRENCES = "doc_id long, text_key long, start long, n_windows int, anchor long, segment long, before long, after long"
 BODIES = "anchor long, segment long, lead int, n_windows int, doc long, body binary"
 
 
@@ -89,6 +90,21 @@ def cut_segments(units: Units, buf: np.ndarray, at: np.ndarray):
     return h, (doc, s, s - first[doc], n, a - s, g[a].view(np.int64), key.view(np.int64))
 
 
+def half_keys(units: Units, h: np.ndarray, found):
+    """Keys of the units next to each segment's anchor, before and after it, half of what a window has beside its anchor.
+
+    A window has that many on one side at least. Segments that share a window share that key, so one whose keys no other has
+    holds no repeat. Also where a segment is long enough to have them.
+    """
+    _, s, _, n, lead, anchor, _ = found
+    half = -(-(units.window - units.gram) // 2)
+    g, at = grams(h, half), s + lead
+    rooms = (lead, n + units.window - 1 - lead - units.gram)
+    for side, (place, room) in enumerate(zip((at - half, at + units.gram), rooms)):
+        enough = room >= half
+        yield mix(g[np.where(enough, place, 0)] ^ anchor.view(np.uint64), 12 + side), enough
+
+
 def count_schema(smaller_doc: bool) -> str:
     return f"anchor long, n long, {'d_min long, d_max long, ' if smaller_doc else ''}s_min long, s_max long"
 
@@ -119,9 +135,14 @@ def _count(units: Units, smaller_doc: bool):
 CHUNK = 1 << 16
 
 
+def class_key(anchor: np.ndarray) -> np.ndarray:
+    """Spread evenly: an anchor is the least of many hashes, so most anchors have the same leading bits."""
+    return mix(anchor.view(np.uint64), 8)
+
+
 def class_keys(batch):
     """Keys of the classes to look at, and of those with several different segments."""
-    keys = batch.column("anchor").to_numpy().view(np.uint64)
+    keys = class_key(batch.column("anchor").to_numpy())
     return keys, keys[batch.column("several").to_numpy(zero_copy_only=False)]
 
 
@@ -134,6 +155,10 @@ def sender_keys(batch):
     return [sender_key(*(batch.column(c).fill_null(0).to_numpy() for c in ("anchor", "segment", "doc")))]
 
 
+def shared_halves(batch):
+    return [batch.column("half").to_numpy().view(np.uint64)]
+
+
 def _bits(bits: int, keys_of, arrays: int):
     def fill(batches):
         import pyarrow as pa
@@ -175,15 +200,15 @@ def bit_arrays(rows: DataFrame, keys_of, arrays: int, bits: int) -> np.ndarray:
 
 
 def _hit_segments(units: Units, known, bits: int, batches):
-    """Per piece: its batch and first row, bytes, offsets, the segments of classes to look at, which have several."""
+    """Per piece: its batch and first row, bytes, offsets, units, the segments of classes to look at, which have several."""
     for batch in batches:
         for a, b, buf, at in pieces(batch.column("text")):
-            _, found = cut_segments(units, buf, at)
+            h, found = cut_segments(units, buf, at)
             if found is not None:
-                hit = is_set(known[0], found[5].view(np.uint64), bits)
+                hit = is_set(known[0], class_key(found[5]), bits)
                 found = [x[hit] for x in found]
                 if hit.any():
-                    yield batch, a, buf, at, found, is_set(known[1], found[5].view(np.uint64), bits)
+                    yield batch, a, buf, at, h, found, is_set(known[1], class_key(found[5]), bits)
 
 
 def _occurrences(units: Units, sent, bits: int):
@@ -192,22 +217,28 @@ def _occurrences(units: Units, sent, bits: int):
     def occurrences(batches):
         import pyarrow as pa
 
-        for batch, a, _, _, (doc, _, start, n, _, anchor, key), several in _hit_segments(units, sent.value, bits, batches):
+        for batch, a, _, _, h, found, several in _hit_segments(units, sent.value, bits, batches):
+            doc, _, start, n, _, anchor, key = found
             rows = pa.array(a + doc)
+            halves = [pa.array(x.view(np.int64), mask=~(several & enough)) for x, enough in half_keys(units, h, found)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(start), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(key, mask=~several)], names)
+                [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(start), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(key, mask=~several), *halves], names)
 
     return occurrences
 
 
-def _bodies(units: Units, sent, senders, bits: int):
-    """The texts of segments of classes with several, from their first documents."""
+def _bodies(units: Units, sent, senders, halves, bits: int):
+    """The texts of segments that share a half with another one of their class, from their first documents."""
     names = [f.split()[0] for f in BODIES.split(", ")]
 
     def bodies(batches):
         import pyarrow as pa
 
-        for batch, a, buf, at, found, several in _hit_segments(units, sent.value, bits, batches):
+        for batch, a, buf, at, h, found, several in _hit_segments(units, sent.value, bits, batches):
+            met = np.zeros(len(several), bool)
+            for key, enough in half_keys(units, h, found):
+                met |= enough & is_set(halves.value[0], key, bits)
+            several = several & met
             ids = batch.column("doc_id").fill_null(0).to_numpy()[a + found[0]]
             own = np.flatnonzero(several)
             own = own[is_set(senders.value[0], sender_key(found[5][own], found[6][own], ids[own]), bits)]
@@ -321,11 +352,14 @@ def repeated_spans(docs: DataFrame, units: Units, judge, smaller_doc: bool, clas
     alone = alone.filter(later).select(*kept, F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("hits"))
 
     segment = ["anchor", "segment"]
-    segments = cut(places.filter("segment is not null").groupBy(*segment).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc")), "segments")
+    per_segment = [F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc"), *(F.min(c).alias(c) for c in ("before", "after"))]
+    segments = cut(places.filter("segment is not null").groupBy(*segment).agg(*per_segment), "segments")
+    halves = segments.select(F.explode(F.array("before", "after")).alias("half")).filter("half is not null")
+    halves = spark.sparkContext.broadcast(bit_arrays(cut(halves.groupBy("half").count().filter("count > 1").select("half"), "halves"), shared_halves, 1, bits))
     several = segments.groupBy("anchor").count()
     large = cut(several.filter(F.col("count") > class_limit).select("anchor"), "large")
     senders = spark.sparkContext.broadcast(bit_arrays(segments, sender_keys, 1, bits))
-    bodies = cut(docs.mapInArrow(_bodies(units, sent, senders, bits), BODIES), "bodies")
+    bodies = cut(docs.mapInArrow(_bodies(units, sent, senders, halves, bits), BODIES), "bodies")
     # ranges of anchors, split at sampled ones; a class stays whole
     small = join_small(bodies, large, "anchor", "left_anti").select("anchor", "segment", "lead", "n_windows", "doc", "body")
     judged = small.repartitionByRange("anchor").sortWithinPartitions("anchor", "doc", "segment").mapInArrow(_by_class(judge), JUDGED)

@@ -13,6 +13,7 @@ from ringfence.llm.components import components
 from ringfence.llm import exact as exact_module, rows as rows_module
 from ringfence.llm.exact import build_directory, build_index, dedup_exact, with_bucket
 from ringfence.llm.ngram_join import near_duplicates
+from ringfence.llm.segments import Units, cut_segments, half_keys
 from ringfence.llm.suffix import multikey_quicksort, remove_repeated_bytes
 
 import sys, os
@@ -243,3 +244,26 @@ def test_segments_whose_keys_agree_in_part(spark):
     assert corpus.same(remove_repeated_bytes(corpus.frame(spark, rows)).collect(), corpus.rest_of_bytes(rows, 400))
     rows = [(n, " ".join(f"w{i}" for i in range(12)) + f" x{i}", "a") for n, i in enumerate((78058, 194788))]
     assert corpus.same(remove_repeated_words(corpus.frame(spark, rows)).collect(), corpus.rest_of_words(rows))
+
+
+@pytest.mark.parametrize("units", [Units(False, 40, 16, 20), Units(False, 41, 20, 20), Units(False, 3, 1, 1), Units(True, 13, 4, 6)])
+def test_segments_that_share_a_window_share_a_half(units):
+    rng = random.Random(7)
+    common = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(60))
+    texts = [common[rng.randrange(60):][:rng.randrange(90)] + " ".join(rng.choice("xyzab") for _ in range(40)) + common[rng.randrange(90):] for _ in range(40)]
+    of_window, twice = {}, 0
+    for text in texts:
+        buf = np.frombuffer(text.encode(), np.uint8)
+        h, found = cut_segments(units, buf, np.array([0, len(buf)]))
+        if found is None:
+            continue
+        halves = [{int(k[i]) for k, enough in half_keys(units, h, found) if enough[i]} for i in range(len(found[0]))] if len(found[0]) else []
+        for i, (s, n) in enumerate(zip(found[1].tolist(), found[3].tolist())):
+            for w in range(n):
+                of_window.setdefault(h[s + w:s + w + units.window].tobytes(), []).append((int(found[6][i]), halves[i]))
+    for segments in of_window.values():
+        for (one, a), (two, b) in zip(segments, segments[1:]):
+            if one != two:
+                twice += 1
+                assert a & b
+    assert twice > 20
