@@ -126,6 +126,17 @@ def running_totals(
     return out.drop("_bucket", "_body", "_mine", "_prev")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened by underscores until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def as_position(c: Column, dtype: str) -> Column:
     """Order column as a double: numbers as they are, times as microseconds."""
     if dtype.startswith("timestamp"):
@@ -163,19 +174,21 @@ def row_index(
             added[total] = F.count(F.lit(1)).over(group)
         return df.withColumns(added)
 
-    placed = cut(df.repartitionByRange(buckets, *by, *order).withColumn("_bucket", F.spark_partition_id()), "ranges")
-    keys = [*by, "_bucket"]
+    # the columns made on the way must not be among the caller's: a key may well be called "_all"
+    bucket, below, every, count = unused(df, "_bucket", "_below", "_all", "_n")
+    placed = cut(df.repartitionByRange(buckets, *by, *order).withColumn(bucket, F.spark_partition_id()), "ranges")
+    keys = [*by, bucket]
     group = Window.partitionBy(*(by or [F.lit(0)]))
-    heads = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
+    heads = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias(count)).select(
         *keys,
-        F.coalesce(F.sum("_n").over(group.orderBy("_bucket").rowsBetween(_FIRST, -1)), F.lit(0)).alias("_below"),
-        F.sum("_n").over(group).alias("_all"),
+        F.coalesce(F.sum(count).over(group.orderBy(bucket).rowsBetween(_FIRST, -1)), F.lit(0)).alias(below),
+        F.sum(count).over(group).alias(every),
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
-    out = join_small(placed, cut(heads, "heads"), keys).withColumn(name, F.row_number().over(inside) - 1 + F.col("_below"))
+    out = join_small(placed, cut(heads, "heads"), keys).withColumn(name, F.row_number().over(inside) - 1 + F.col(below))
     if total:
-        out = out.withColumn(total, F.col("_all"))
-    return out.drop("_bucket", "_below", "_all")
+        out = out.withColumn(total, F.col(every))
+    return out.drop(bucket, below, every)
 
 
 def _ranked(df: DataFrame, value: str, by: list[str], rows_per_bucket: int, rows: int | None) -> DataFrame:

@@ -218,3 +218,10 @@ def test_look_ahead_scans_few_chunks(spark, monkeypatch):
     assert sum(scanned) < 4000 * 3 and learned > 3
     monkeypatch.setattr(module, "score", inner)
     assert _models(got) == _models(fit_by_key(rows, ["x", "y"], ["k"], "id", (), 1.0))
+
+
+def test_one_model_over_a_table_of_many_ranges(keyed):
+    """The single model groups by a constant key of its own; its rows are numbered in several ranges."""
+    pdf, df = keyed
+    got = fit_one(df, FEATS, "t", sigma=1.3, chunk_rows=400, rows_per_bucket=700).first()
+    assert same(got, fit(pdf.sort_values("t")[FEATS].to_numpy(), 1.3)[0])

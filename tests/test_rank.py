@@ -115,3 +115,19 @@ def test_running_totals_over_two_levels_of_cuts(spark, buckets):
     assert got.select(columns).exceptAll(want.select(columns)).isEmpty() and got.count() == want.count()
     sizes = _with_bucket(df.filter("v <> 7"), "v", cuts, "b").groupBy("b").count().agg(F.max("count")).first()[0]
     assert sizes <= max(40, 3 * rows // buckets)
+
+
+def test_positions_of_keys_named_like_helper_columns(spark):
+    """A long table is written in ranges; columns made on the way must not meet those of the caller."""
+    names = ["_all", "_n", "_below", "_bucket"]
+    rows = [(i % 2, i % 3 == 0, None if i % 5 else i, -i, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "_all int, _n boolean, _below int, _bucket int, t int")
+    for by in (["_all"], ["_n", "_all"], names[:3]):
+        got = row_index(df, "t", (), by, rows_per_bucket=40)
+        assert sorted(got.columns) == sorted([*names, "t", "row_idx", "n_rows"])
+        seen = {}
+        for r in sorted(got.collect(), key=lambda r: r["t"]):
+            group = seen.setdefault(tuple(r[k] for k in by), [])
+            assert r["row_idx"] == len(group)
+            group.append(r["n_rows"])
+        assert all(set(sizes) == {len(sizes)} for sizes in seen.values())
