@@ -4,7 +4,8 @@ The rows are prepared, scaled and numbered once and kept as a table. Batch 0 has
 key, each later one ``spec.incremental_batch``. With ``spec.checkpoints`` the model is saved as a version after batch 0
 and whenever ``spec.checkpoint_every`` batches are done, else after batch 0 and the last one. Every leg between two
 checkpoints starts from the saved model, so a resumed run and an unbroken one read the same numbers and
-end in the same model. Beside the model tables lie
+end in the same model. Legs that together fit a task are learned in one job, which writes the version of each of them:
+the number of jobs grows with the rows over ``rows_per_task``, not with the checkpoints. Beside the model tables lie
 
 * ``training_rows``: key, position, batch and scaled features,
 * ``training_plan``: what was fitted before the batches (scaler, maxima, width), written last: without it the rows are made anew,
@@ -19,9 +20,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ringfence.operators.fit import batch_stats, fit_steps, number_rows, objective_trace
+from ringfence.operators.fit import MODEL_COLUMNS, batch_stats, fit_legs, fit_steps, number_rows, objective_trace, rows_per_task
 from ringfence.operators.prep import Scaler, fit_maxima, fit_scaler, prepare
 from ringfence.operators.sampling import resolve_sigma
 from ringfence.operators.score import score
@@ -32,6 +33,8 @@ from ringfence.sources.models import latest_version, load_header, load_models, s
 from ringfence.spec import DatasetSpec
 
 _ALL = "all_rows"
+# Legs, and so versions, that one job learns at most.
+LEGS_PER_JOB = 256
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -88,7 +91,16 @@ def train_batches(
     rows = spark.read.parquet(f"{home}/training_rows")
     done = latest_version(spark, path, spec.name) if _read(spark, f"{home}/model_header") is not None else None
     upto = last if legs is None else min(last, (-1 if done is None else done) + legs)
-    for leg in range(0 if done is None else done + 1, upto + 1):
+    # legs of a key that one task may learn; 0: a leg alone may be too long, then it is learned in chunks
+    leg_rows = spec.checkpoint_every * batch_rows if spec.checkpoints else None
+    span = min(LEGS_PER_JOB, (chunk_rows or rows_per_task(names)) // leg_rows) if leg_rows else 0
+    leg = 0 if done is None else done + 1
+    while leg <= upto:
+        if leg and span > 1:
+            end = min(leg + span - 1, upto)
+            _train_legs(rows, spec, path, names, by, sigma, batch_rows, leg, end, last)
+            leg = end + 1
+            continue
         part = rows.filter(F.col("leg") == leg)
         before = load_models(spark, path, spec.name, leg - 1, by) if leg else None
         models, steps = fit_steps(
@@ -103,6 +115,7 @@ def train_batches(
         new = part.count()
         save_models(cut(models, "models"), path, spec.name, leg, by, names, None, scaler if not leg else None, maxima if not leg else None,
                     parent=leg - 1 if leg else None, source=f"leg {leg} of {last}", new_rows=new, mode="batches")
+        leg += 1
     if upto < last:
         return None
     # the finished detector is a version of its own, with thresholds over all rows
@@ -116,6 +129,37 @@ def train_batches(
     return Detector(spec, scaler, maxima, models, taus, sigma, keys, None, "batches")
 
 
+def _train_legs(rows: DataFrame, spec: DatasetSpec, path: str, names, by: list[str], sigma, batch_rows: int, start: int, end: int, last: int) -> None:
+    """Learn the legs ``start`` to ``end`` in one job and write batches, trace and a version for each of them."""
+    spark, home = rows.sparkSession, f"{path}/{spec.name}"
+    part = rows.filter(F.col("leg").between(start, end))
+    before = load_models(spark, path, spec.name, start - 1, by)
+    steps = cut(fit_legs(part, names, by, "position", "leg", before, sigma, batch_rows).withColumn("chunk", F.lit(0).cast("long")), "step")
+    known = F.lit(True)  # as in a leg of its own: batches of a NULL key are not listed
+    for k in by:
+        known = known & F.col(k).isNotNull()
+    ahead = F.greatest(F.lit(1), (F.col("leg") - 1) * spec.checkpoint_every)
+    stats = batch_stats(steps.filter(known), [*by, "leg"]).withColumn("batch", F.col("batch") + ahead)
+
+    def write(table: DataFrame, name: str) -> None:
+        out = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("leg").parquet(f"{home}/{name}")
+
+    write(stats, "training_batches")
+    write(objective_trace(steps, [*by, "leg"]), "training_trace")
+    # a version holds every key: the model of its last leg so far
+    taken = before.select(*by, F.lit(start - 1).cast("long").alias("leg"), *MODEL_COLUMNS).unionByName(steps.select(*by, "leg", *MODEL_COLUMNS))
+    after = F.coalesce(F.lead("leg").over(Window.partitionBy(*by).orderBy("leg")), F.lit(end + 1))
+    held = taken.withColumn("_after", after).filter(F.col("_after") > F.greatest("leg", F.lit(start)))
+    models = held.withColumn("version", F.explode(F.sequence(F.greatest("leg", F.lit(start)), F.col("_after") - 1))).drop("leg", "_after")
+    new = {r["leg"]: r["count"] for r in part.groupBy("leg").count().collect()}
+    counts = F.array(*[F.lit(new.get(v, 0)) for v in range(start, end + 1)])
+    version = F.col("version")
+    save_models(cut(models, "models"), path, spec.name, None, by, names, parent=version - 1,
+                source=F.concat(F.lit("leg "), version.cast("string"), F.lit(f" of {last}")),
+                new_rows=F.get(counts, (version - start).cast("int")), mode="batches")
+
+
 def training_history(spark: SparkSession, path: str, spec: DatasetSpec) -> tuple[DataFrame, DataFrame]:
     """(batches, trace) written so far."""
     return spark.read.parquet(f"{path}/{spec.name}/training_batches"), spark.read.parquet(f"{path}/{spec.name}/training_trace")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringfence.functions.kernel import Boundary
 from ringfence.operators.baselines import fit_forest, flag_forest, score_forest
+from ringfence.plans import batches
 from ringfence.plans.batches import train_batches, training_history
 from ringfence.plans.train import load, train
 from ringfence.sources.models import headers
@@ -76,3 +77,25 @@ def test_forest_flags_a_tenth(spark, rows):
     assert out.is_anomaly.sum() == (out.score > np.quantile(out.score, 0.9)).sum() == 30
     new = score_forest(spark.createDataFrame([(9.0, 9.0), (0.0, 0.0)], "x double, y double"), forest, ["x", "y"])
     assert [r["is_anomaly"] for r in flag_forest(new, scored).orderBy("x").collect()] == [0, 1]
+
+
+def test_jobs_do_not_grow_with_the_checkpoints(spark, tmp_path, rows, monkeypatch):
+    """Legs learned together leave the versions, batches and trace of legs learned one by one."""
+    spec = SPEC.with_(incremental_batch=10, checkpoint_every=1)
+    calls = []
+    whole = batches.fit_steps
+    monkeypatch.setattr(batches, "fit_steps", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    # 240 rows of the long key: 40 in batch 0, then 20 batches, each a leg of its own
+    together = train_batches(rows, spec, str(tmp_path / "a"), "t", keys=["k"])
+    assert len(calls) == 1
+    monkeypatch.setattr(batches, "LEGS_PER_JOB", 1)
+    alone = train_batches(rows, spec, str(tmp_path / "b"), "t", keys=["k"])
+    assert len(calls) > 20 and model_bits(together.models) == model_bits(alone.models)
+    for a, b in zip(training_history(spark, str(tmp_path / "a"), spec), training_history(spark, str(tmp_path / "b"), spec)):
+        assert sorted(a.columns) == sorted(b.columns)
+        assert sorted(map(repr, a.select(sorted(a.columns)).collect())) == sorted(map(repr, b.select(sorted(b.columns)).collect()))
+    for number in (1, 7, 21):
+        a, b = (load(spark, str(tmp_path / d), spec, number, ["k"]) for d in "ab")
+        assert model_bits(a.models) == model_bits(b.models)
+    a, b = (sorted(map(repr, headers(spark, str(tmp_path / d), "b").drop("tau").collect())) for d in "ab")
+    assert a == b
