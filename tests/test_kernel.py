@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from ringfence.functions import kernel
 from ringfence.functions.kernel import Boundary, fit, from_fields, judge, similarity, to_fields
 
 
@@ -99,3 +100,29 @@ def test_trace_has_one_radius_per_row():
     trace = []
     m, _ = fit(np.random.default_rng(5).normal(size=(500, 3)), 1.5, trace=trace)
     assert len(trace) == 499 and trace[-1] == m.radius
+
+
+@pytest.mark.parametrize("d,sigma,n", [(3, 0.5, 900), (6, 0.6, 700), (20, 3.0, 600)])
+def test_wide_pass_is_the_plain_pass(monkeypatch, d, sigma, n):
+    """Many support vectors, drops and returns among them; the pass over its inverse by blocks takes the same steps."""
+    rows, plain, wide = np.random.default_rng(d).normal(size=(n, d)), [], []
+    a, counts_a = fit(rows, sigma, trace=plain)
+    monkeypatch.setattr(kernel, "WIDE", 10)
+    taken, apply = [], kernel._Wide._apply
+    monkeypatch.setattr(kernel._Wide, "_apply", lambda self, **k: taken.append(self.r) or apply(self, **k))
+    b, counts_b = fit(rows, sigma, trace=wide)
+    # the inverse is gone over once a block, not for every vector taken or dropped
+    assert sum(taken) > 3 * len(taken) > 0 and counts_a["removed"] > 0
+    assert counts_a == counts_b and np.array_equal(a.sv, b.sv) and np.allclose(plain, wide, atol=1e-12)
+    assert np.allclose(a.alpha, b.alpha, atol=1e-9) and np.abs(gram(b) @ b.inverse - np.eye(b.size)).max() < 1e-8
+
+
+def test_wide_models_travel_without_their_inverse(monkeypatch):
+    rows = np.random.default_rng(1).normal(size=(300, 4))
+    whole, _ = fit(rows, 0.7)
+    monkeypatch.setattr(kernel, "INVERSE_ROWS", 20)
+    half, _ = fit(rows[:150], 0.7)
+    assert half.size > 20 and not len(to_fields(half)["inverse"])
+    again = from_fields(to_fields(half))
+    again.learn(rows[150:])
+    assert np.array_equal(again.sv, whole.sv) and np.allclose(again.alpha, whole.alpha, atol=1e-10) and again.seen == 300
