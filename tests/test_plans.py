@@ -172,6 +172,39 @@ def test_plane_is_certified(spark, shift, nu):
     assert abs(outside - nu * 3000) <= 30
 
 
+@pytest.mark.parametrize("spread, shift", [(1.0, 0.0), (30.0, 5.0), (1e5, -3.0), (1e300, 0.0)])
+def test_bounds_of_margins_hold_and_are_close(spread, shift):
+    """Rows told apart in single precision are never told wrongly, however long they are."""
+    rng = np.random.default_rng(7)
+    x, w = rng.normal(size=(5000, 4)) * spread + shift, rng.normal(size=64)
+    lift = baselines._Fourier(4, 64, 0.25, 1)
+    margin, floor = lift(x) @ w, lift.floor(x, w)
+    assert not (floor > margin).any()
+    if spread < 100:
+        assert (margin - floor).max() < 1e-4 * spread * np.abs(w).sum()
+
+
+def test_pass_lifts_only_rows_below_its_last_edge(spark):
+    rng = np.random.default_rng(8)
+    x, w = rng.normal(size=(4000, 3)), rng.normal(size=32)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").coalesce(1)
+    lift = baselines._Fourier(3, 32, 0.5, 2)
+    z = lift(x)
+    margin = z @ w
+    edges = np.quantile(margin, [0.0, 0.05, 0.1, 0.2])
+    at = np.searchsorted(edges, margin)
+    for last in (False, True):
+        got = baselines._pass(df, list("abc"), w, edges, lift, last)
+        assert list(got[:, 32]) == list(np.bincount(at, minlength=5))
+        for i in range(5 if last else 4):
+            mine = at == i
+            assert np.allclose(got[i, :32], z[mine].sum(axis=0))
+            assert np.allclose(got[i, 33:], [margin[mine].min(), margin[mine].max()])
+    # rows past the last edge leave no sum behind: they were never lifted
+    few = baselines._pass(df, list("abc"), w, edges, lift)
+    assert not np.allclose(few[4, :32], z[at == 4].sum(axis=0))
+
+
 def test_plane_through_a_centred_cloud_says_so(spark):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(size=(2000, 2))], "a double, b double")
