@@ -216,7 +216,8 @@ def number_rows(df: DataFrame, features, by: Sequence[str], order_col: str, ties
     """Keys, features and the place of each row among those of its key, as the fit takes them."""
     lean = _lean(df, list(by), features, 1.0, order_col, ties, "first")
     place = _order_of(lean)
-    return row_index(lean, place[0], place[1:], list(by), lean.count(), ROWS_PER_BUCKET, name, None).drop(*place)
+    kept = [c for c in lean.columns if c not in place]
+    return row_index(lean, place[0], place[1:], list(by), lean.count(), ROWS_PER_BUCKET, name, None, kept)
 
 
 def _central_first(lean: DataFrame, by: list[str], features) -> DataFrame:
@@ -275,8 +276,9 @@ def fit_steps(
     if batch_rows:
         chunk_rows = max(batch_rows, chunk_rows // batch_rows * batch_rows)
     place = _order_of(lean)
-    numbered = row_index(lean, place[0], place[1:], by, sizes["rows"], rows_per_bucket, "_idx", None)
-    numbered = cut(numbered.withColumn("_chunk", F.floor(F.col("_idx") / chunk_rows)).drop(*place), "rows")
+    kept = [c for c in lean.columns if c not in place]
+    numbered = row_index(lean, place[0], place[1:], by, sizes["rows"], rows_per_bucket, "_idx", None, kept)
+    numbered = cut(numbered.withColumn("_chunk", F.floor(F.col("_idx") / chunk_rows)), "rows")
     last = cut(numbered.groupBy(*by).agg(F.max("_chunk").alias("_last")), "last")
     opening = numbered.filter(F.col("_chunk") == 0).drop("_chunk")
     first = _group_step(opening, models, by, *args).withColumn("chunk", F.lit(0).cast("long"))

@@ -126,9 +126,9 @@ def running_totals(
     return out.drop("_bucket", "_body", "_mine", "_prev")
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """``names``, each lengthened by underscores until ``df`` has no such column."""
-    taken = {c.lower() for c in df.columns}
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """``names``, each lengthened by underscores until it is none of ``columns``."""
+    taken = {c.lower() for c in columns}
     out = []
     for name in names:
         while name.lower() in taken:
@@ -155,16 +155,18 @@ def row_index(
     rows_per_bucket: int = ROWS_PER_BUCKET,
     name: str = "row_idx",
     total: str | None = "n_rows",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row by ``order_col`` and the row count, per group.
 
     Rows are in order of (``order_col``, ``ties``) by value, NULL first and NaN last, at
     every size; together these columns must identify a row. Long tables are
     written in ranges of (``by``, ``order_col``, ``ties``), so neither a hot group nor a hot
-    value fills a task.
+    value fills a task. ``keep`` names the columns to return next to the keys (default: all); others are not written.
     """
     by, ties = list(by), list(ties)
     order = [order_col, *ties]
+    kept = df.columns if keep is None else list(dict.fromkeys([*by, *keep]))
     rows = df.count() if rows is None else rows
     buckets = ceil(rows / rows_per_bucket)
     if buckets <= 1:
@@ -172,23 +174,27 @@ def row_index(
         added = {name: F.row_number().over(group.orderBy(*order)).cast("long") - 1}
         if total:
             added[total] = F.count(F.lit(1)).over(group)
-        return df.withColumns(added)
+        return df.withColumns(added).select(*kept, *added)
 
     # the columns made on the way must not be among the caller's: a key may well be called "_all"
-    bucket, below, every, count = unused(df, "_bucket", "_below", "_all", "_n")
-    placed = cut(df.repartitionByRange(buckets, *by, *order).withColumn(bucket, F.spark_partition_id()), "ranges")
+    bucket, below, every, count, at = unused([*df.columns, name, total or name], "_bucket", "_below", "_all", "_n", "_at")
+    # a range is sorted as it is written, and its rows are numbered then, so that they move and are sorted once only
+    ranges = df.repartitionByRange(buckets, *by, *order).sortWithinPartitions(*by, *order)
+    # the number's upper bits are the range again
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut(ranges.select(*kept, F.spark_partition_id().alias(bucket), place.alias(at)), "ranges")
     keys = [*by, bucket]
     group = Window.partitionBy(*(by or [F.lit(0)]))
-    heads = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias(count)).select(
+    # rows of a group are consecutive in their range, from the smallest number on
+    heads = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), F.min(at).alias(below)).select(
         *keys,
-        F.coalesce(F.sum(count).over(group.orderBy(bucket).rowsBetween(_FIRST, -1)), F.lit(0)).alias(below),
+        (F.coalesce(F.sum(count).over(group.orderBy(bucket).rowsBetween(_FIRST, -1)), F.lit(0)) - F.col(below)).alias(below),
         F.sum(count).over(group).alias(every),
     )
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    out = join_small(placed, cut(heads, "heads"), keys).withColumn(name, F.row_number().over(inside) - 1 + F.col(below))
+    out = join_small(placed, cut(heads, "heads"), keys).withColumn(name, F.col(at) + F.col(below))
     if total:
         out = out.withColumn(total, F.col(every))
-    return out.drop(bucket, below, every)
+    return out.drop(bucket, below, every, at)
 
 
 def _ranked(df: DataFrame, value: str, by: list[str], rows_per_bucket: int, rows: int | None) -> DataFrame:

@@ -131,3 +131,19 @@ def test_positions_of_keys_named_like_helper_columns(spark):
             assert r["row_idx"] == len(group)
             group.append(r["n_rows"])
         assert all(set(sizes) == {len(sizes)} for sizes in seen.values())
+
+
+def test_long_tables_are_moved_and_sorted_once(skewed):
+    """Numbers come from the sorted ranges as written: no window, no second shuffle; equal rows get numbers of their own."""
+    _, df = skewed
+    twice = df.unionAll(df)
+    got = row_index(twice, "v", ["id"], ["g"], rows_per_bucket=100, name="_at", total=None)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    for r in got.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("_at").alias("d"), F.min("_at").alias("a"), F.max("_at").alias("z")).collect():
+        assert (r.d, r.a, r.z) == (r.n, 0, r.n - 1)
+    for per_bucket in (100, 100_000):
+        lean = row_index(twice, "v", ["id"], ["g"], rows_per_bucket=per_bucket, name="_at", total=None, keep=["y"])
+        assert lean.columns == ["g", "y", "_at"] and lean.count() == got.count()
+    ordered = got.orderBy("g", "_at").select("g", "v", "id").collect()
+    assert ordered == twice.orderBy("g", "v", "id").select("g", "v", "id").collect()
