@@ -11,6 +11,8 @@ among the first n - o + 1 of each, at places from which o common tokens can stil
 2. Every set is compared with the hubs of its token lists, those that meet most other sets. Most near copies are linked here, so that large groups do not give their square of pairs.
 3. Sets with candidates left under the first order send their prefix under the next one. Pairs from different
    components so far have to pass the filter of every order; then their whole sets are compared.
+4. Before whole sets are sent, pairs are compared by 16 bits of each token, which have at least as many in common. Texts
+   that are not asked for, and copies, are not cut into words again.
 
 Links inside a component are left out; they change no component. Nothing else is: no list or candidate is capped.
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ringfence.llm.components import components
 from ringfence.llm.kernels import LOWER, grams, mix, pieces, word_hashes, words
 from ringfence.llm.rows import text_key
-from ringfence.llm.segments import bit_arrays
+from ringfence.llm.segments import bit_arrays, is_set
 from ringfence.session import cut, join_small
 
 SKETCH_BITS, CHUNK = 22, 1 << 18
@@ -126,9 +128,13 @@ def _fresh_sets(column, size: int, seen: set):
             yield key, tokens
 
 
-def _in(known: np.ndarray, key: int, bits: int) -> bool:
-    p = (key % 2**64) >> (64 - bits)
-    return bool(known[p >> 3] >> (7 - (p & 7)) & 1)
+def _known_texts(batch, known, bits: int):
+    """The texts of a batch whose keys are known."""
+    import pyarrow as pa
+
+    if known is None:
+        return batch.column("text")
+    return batch.column("text").filter(pa.array(is_set(known.value, batch.column("text_key").to_numpy().view(np.uint64), bits)))
 
 
 LIST = ["token", "set_key", "n", "place"]
@@ -149,9 +155,7 @@ def _postings(size: int, percent: int, order: int, levels, known, bits: int):
                     [pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
                      pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]))], LIST)
 
-            for key, tokens in _fresh_sets(batch.column("text"), size, seen):
-                if known is not None and not _in(known.value, key, bits):
-                    continue
+            for key, tokens in _fresh_sets(_known_texts(batch, known, bits), size, seen):
                 parts.append(prefix(tokens, rank, order, percent))
                 keys.append(key)
                 sizes.append(len(tokens))
@@ -273,47 +277,62 @@ def _ends(new: np.ndarray) -> np.ndarray:
     return np.append(starts[1:], len(new))[np.cumsum(new) - 1]
 
 
-def _whole_sets(size: int, known, bits: int):
-    def whole(batches):
+def first_bits(tokens: np.ndarray) -> np.ndarray:
+    """16 bits of every token, in order: a quarter of the set, with as much in common with another one or more."""
+    return (tokens >> np.uint64(48)).astype(np.uint16)
+
+
+def _bodies(size: int, known, bits: int, short: bool):
+    def bodies(batches):
         import pyarrow as pa
 
         seen = set()
         for batch in batches:
             keys, bodies, held = [], [], 0
-            for key, tokens in _fresh_sets(batch.column("text"), size, seen):
-                if _in(known.value, key, bits):
-                    keys.append(key)
-                    bodies.append(tokens.tobytes())
-                    held += len(bodies[-1])
+            for key, tokens in _fresh_sets(_known_texts(batch, known, bits), size, seen):
+                keys.append(key)
+                bodies.append((first_bits(tokens) if short else tokens).tobytes())
+                held += len(bodies[-1])
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], ["set_key", "body"])
                     keys, bodies, held = [], [], 0
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], ["set_key", "body"])
 
-    return whole
+    return bodies
 
 
-def _similar(percent: int):
+def _counted(values: np.ndarray) -> np.ndarray:
+    """Sorted values with repeats as different ones: each with its number among its equals."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    number = np.arange(len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
+    return values.astype(np.int64) << 32 | number
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two arrays of different values reach the similarity."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def _similar(percent: int, short: bool):
+    def values(body):
+        return _counted(np.frombuffer(body.as_buffer(), np.uint16)) if short else np.frombuffer(body.as_buffer(), np.uint64)
+
     def similar(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ok = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column("body_a"), batch.column("body_b"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok[i] = 100 * common >= percent * (len(both) - common)
-            mask = pa.array(ok)
+            mask = pa.array([alike(values(x), values(y), percent) for x, y in zip(batch.column("body_a"), batch.column("body_b"))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     return similar
 
 
 def own_keys(batch):
-    return [batch.column("set_key").to_numpy().view(np.uint64)]
+    return [batch.column("text_key").to_numpy().view(np.uint64)]
 
 
 class SetJoin:
@@ -321,15 +340,16 @@ class SetJoin:
 
     def __init__(self, docs: DataFrame, size: int = 5, percent: int = 75, orders: int = 2, bits: int = 26, block: int = BLOCK):
         self.docs, self.size, self.percent, self.orders, self.bits, self.block = docs, size, percent, orders, bits, block
-        self.texts = docs.select("text")
+        self.texts = docs.select("text", text_key().alias("text_key"))
         self.context = docs.sparkSession.sparkContext
         self.described = cut(docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(_describe(size), SETS), "sets")
         self.rows = self.described.filter("chunk is null").select("doc_id", "text_key", "set_key", "n")
         self.levels = self.context.broadcast(frequency_levels(self.described))
 
     def known(self, keys: DataFrame):
-        """A bit array of fixed size over set keys, at every task; a false hit costs time only."""
-        return self.context.broadcast(bit_arrays(keys.select("set_key"), own_keys, 1, self.bits)[0])
+        """A bit array of fixed size over a text of each of these sets, at every task; a false hit costs time only."""
+        texts = self.rows.join(keys, "set_key").groupBy("set_key").agg(F.min("text_key").alias("text_key"))
+        return self.context.broadcast(bit_arrays(texts.select("text_key"), own_keys, 1, self.bits)[0])
 
     def lists(self, order: int, known=None) -> DataFrame:
         postings = self.texts.mapInArrow(_postings(self.size, self.percent, order, self.levels, known, self.bits), LISTS)
@@ -338,12 +358,17 @@ class SetJoin:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of set keys that reach the similarity."""
-        pairs = cut(pairs, "pairs")
+        return self.compared(self.compared(cut(pairs, "pairs"), True), False)
+
+    def compared(self, pairs: DataFrame, short: bool) -> DataFrame:
+        """The pairs that reach the similarity by their whole sets, or may reach it by the first bits of their tokens."""
+        label = "short" if short else "whole"
         keys = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-        sets = self.texts.mapInArrow(_whole_sets(self.size, self.known(keys), self.bits), "set_key long, body binary")
-        sets = cut(sets.join(keys, "set_key", "left_semi").groupBy("set_key").agg(F.first("body").alias("body")), "whole-sets")
+        sets = self.texts.mapInArrow(_bodies(self.size, self.known(keys), self.bits, short), "set_key long, body binary")
+        sets = cut(sets.join(keys, "set_key", "left_semi").groupBy("set_key").agg(F.first("body").alias("body")), f"{label}-sets")
         one, two = (sets.select(F.col("set_key").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
-        return cut(pairs.join(two, "b").join(one, "a").select("a", "b", "body_a", "body_b").mapInArrow(_similar(self.percent), "a long, b long"), "verified")
+        met = pairs.join(two, "b").join(one, "a").select("a", "b", "body_a", "body_b")
+        return cut(met.mapInArrow(_similar(self.percent, short), "a long, b long"), f"{label}-verified")
 
     def leader_pairs(self, lists: DataFrame) -> DataFrame:
         """Each set with up to ``LEADERS`` of its lists' hubs: the sets that meet most others, among those it may be similar to."""

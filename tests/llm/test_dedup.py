@@ -100,6 +100,42 @@ def test_false_hits_and_forgetting_change_nothing(spark, monkeypatch):
     assert corpus.same(got, corpus.near(rows))
 
 
+def test_unlike_pairs_send_no_whole_set(spark, monkeypatch):
+    """Texts below the threshold share prefix tokens; 16 bits of a token tell most of their pairs apart."""
+    sent, write = {}, ngram_join.cut
+
+    def counted(df, label="cut"):
+        out = write(df, label)
+        sent[label] = sent.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", counted)
+    rows = []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(200)]
+        for step, places in enumerate(((30, 90, 150), (37, 97, 157), (44, 104, 164), (51, 111, 171))):
+            own = list(words)
+            for place in places:
+                own[place:place + 3] = [f"n{g}{step}{place + i}" for i in range(3)]
+            rows.append((4 * g + step, " ".join(own), "s"))
+    rows += [(100, "a b c d e f g h", "s"), (101, "a b c d e f g h", "s"), (102, "a b c d e f g h i", "s")]
+    got = near_duplicates(corpus.frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert corpus.same(got, corpus.near(rows))
+    assert sent["short-sets"] > 10 and sent["whole-sets"] == 2
+
+
+def test_first_bits_have_as_much_in_common():
+    draw = np.random.default_rng(2)
+    for size in (30, 3000, 100_000):
+        tokens = np.unique(draw.integers(0, 2**64, size, dtype=np.uint64))
+        for share in (0.7, 0.85, 0.9, 1.0):
+            a, b = tokens[draw.random(len(tokens)) < share], tokens[draw.random(len(tokens)) < share]
+            short = [ngram_join._counted(ngram_join.first_bits(x)) for x in (a, b)]
+            assert len(short[0]) == len(a) == len(np.unique(short[0]))
+            assert len(np.intersect1d(*short)) >= len(np.intersect1d(a, b))
+            assert ngram_join.alike(*short, 75) or not ngram_join.alike(a, b, 75)
+
+
 def test_prefix_meets_under_every_order():
     draw = np.random.default_rng(1)
     levels = draw.integers(0, 5, 1 << ngram_join.SKETCH_BITS).astype(np.uint64)
