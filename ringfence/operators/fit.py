@@ -11,7 +11,7 @@ sequential pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import time
 
@@ -60,10 +60,9 @@ def _key_fields(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
     return [T.StructField(k, kinds[k].dataType) for k in by]
 
 
-def _learn(model: Boundary | None, rows: pa.Table, features, sigma, batch_rows, traced, start_idx=0):
+def _learn(model: Boundary | None, x: np.ndarray, width, batch_rows, traced, start_idx=0):
     """One task's step: start or continue ``model`` with the rows of one chunk, in order."""
     clock = time.perf_counter()
-    x = matrix(rows, features)
     whole = np.isfinite(x).all(axis=1) if len(x) else np.zeros(0, bool)
     trace: list | None = [] if traced else None
     counts = {"processed": 0, "added": 0, "removed": 0, "sv_before": model.size if model else 0}
@@ -74,7 +73,6 @@ def _learn(model: Boundary | None, rows: pa.Table, features, sigma, batch_rows,
         x = x[whole]
     else:
         skipped = 0
-    width = float(rows.column(sigma)[0].as_py()) if isinstance(sigma, str) and rows.num_rows else sigma
     if model is None:
         if not len(x):
             return None
@@ -125,6 +123,33 @@ def _plain_key(values):
     return tuple(v.as_py() if hasattr(v, "as_py") else v for v in values)
 
 
+def _width(rows, sigma):
+    return float(rows.column(sigma)[0].as_py()) if isinstance(sigma, str) and rows.num_rows else sigma
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], features, order, sigma):
+    """Feature matrix of a key's rows in order, and the width. Of a batch only its features and its order are held on to."""
+    cells, places, width = [], [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if width is None:
+            width = _width(batch, sigma)
+        x = matrix(batch, features)
+        # copies: the columns of a batch share its memory
+        cells.append(x.copy() if isinstance(features, str) else x)
+        places.append(batch.select([c for c, _ in order]).take(pa.array(np.arange(batch.num_rows))))
+    if not cells:
+        return np.empty((0, 0)), sigma
+    if len({x.shape[1] for x in cells}) > 1:
+        raise ValueError(f"vectors in '{features}' differ in length or are missing")
+    place = pc.sort_indices(pa.Table.from_batches(places), sort_keys=order, null_placement="at_start").to_numpy()
+    places.clear()
+    x = np.concatenate(cells)
+    cells.clear()
+    return x[place], width
+
+
 def _group_step(rows, models, by, features, sigma, batch_rows, traced) -> DataFrame:
     """Learn each key's rows in one task; ``models`` (one row per key) continues, else starts afresh.
 
@@ -138,11 +163,10 @@ def _group_step(rows, models, by, features, sigma, batch_rows, traced) -> DataFr
         return int(table.column("_idx")[0].as_py()) if "_idx" in table.column_names and table.num_rows else 0
 
     if models is None:
-        def fresh(key, table):
-            table = _sorted(table, order)
-            types = [table.schema.field(k).type for k in by]
-            got = _learn(None, table, features, sigma, batch_rows, traced)
-            return _empty(by, types) if got is None else _emit(_plain_key(key), by, types, got)
+        def fresh(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = _learn(None, *_gathered(batches, features, order, sigma), batch_rows, traced)
+            if got is not None:
+                yield from _emit(_plain_key(key), by, [k.type for k in key], got).to_batches()
 
         return rows.groupBy(*by).applyInArrow(fresh, schema)
 
@@ -150,7 +174,7 @@ def _group_step(rows, models, by, features, sigma, batch_rows, traced) -> DataFr
         types = [left.schema.field(k).type for k in by]
         model = from_fields({n: left.column(n)[0].as_py() for n in MODEL_COLUMNS}) if left.num_rows else None
         table = _sorted(right, order)
-        got = _learn(model, table, features, sigma, batch_rows, traced, start_of(table))
+        got = _learn(model, matrix(table, features), _width(table, sigma), batch_rows, traced, start_of(table))
         return _empty(by, types) if got is None else _emit(_plain_key(key), by, types, got)
 
     return models.select(*by, *MODEL_COLUMNS).groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(carry_on, schema)
@@ -177,7 +201,8 @@ def fit_legs(
         legs = table.column(leg).to_numpy()
         ends = [0, *(np.flatnonzero(np.diff(legs)) + 1).tolist(), len(legs)] if len(legs) else [0]
         for a, b in zip(ends, ends[1:]):
-            got = _learn(model, table.slice(a, b - a), features, sigma, batch_rows, trace)
+            part = table.slice(a, b - a)
+            got = _learn(model, matrix(part, features), _width(part, sigma), batch_rows, trace)
             if got is not None:
                 model = got[0]
                 parts.append(_emit(_plain_key(key), by, types, got).append_column(leg, pa.array([int(legs[a])], pa.int64())))

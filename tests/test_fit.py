@@ -1,12 +1,15 @@
 """Fits on Spark against the kernel run on the same rows in order."""
 
+import weakref
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ringfence.functions.kernel import fit, from_fields
-from ringfence.operators.fit import batch_stats, fit_by_key, fit_one, fit_steps, objective_trace, update_by_key
+from ringfence.operators.fit import _gathered, batch_stats, fit_by_key, fit_one, fit_steps, objective_trace, update_by_key
 from ringfence.operators.merge import fit_merged
 from ringfence.operators.sampling import median_sigma, sample
 from ringfence.operators.score import boundary, score
@@ -225,3 +228,29 @@ def test_one_model_over_a_table_of_many_ranges(keyed):
     pdf, df = keyed
     got = fit_one(df, FEATS, "t", sigma=1.3, chunk_rows=400, rows_per_bucket=700).first()
     assert same(got, fit(pdf.sort_values("t")[FEATS].to_numpy(), 1.3)[0])
+
+
+@pytest.mark.parametrize("features", [["x", "y"], "v"])
+def test_batches_of_a_key_are_let_go(features):
+    """A key's rows arrive batch by batch; only features and order are kept, and the order is that of the whole key."""
+    draw, alive, order = np.random.default_rng(5), [], [("_head", "ascending"), ("_t_0", "ascending"), ("_t_1", "ascending")]
+    t, tie, xy = draw.integers(0, 9, 400).astype(float), draw.permutation(400), draw.random((400, 2))
+    t[::7] = np.nan
+
+    def batch(at):
+        x = xy[at:at + 100]
+        made = pa.record_batch({
+            "x": pa.array(x[:, 0]), "y": pa.array(x[:, 1]), "v": pa.array(x.tolist()), "_head": pa.array(np.ones(100, np.int32)),
+            "_t_0": pa.array(t[at:at + 100], from_pandas=True), "_t_1": pa.array(tie[at:at + 100]), "w": pa.array(np.full(100, 0.7)),
+        })
+        alive.append(weakref.ref(made))
+        return made
+
+    def batches():
+        for at in range(0, 400, 100):
+            assert len([a for a in alive if a() is not None]) <= 1  # the one just read
+            yield batch(at)
+
+    got, width = _gathered(batches(), features, order, "w")
+    want = np.lexsort((tie, np.where(np.isnan(t), -1, t)))
+    assert width == 0.7 and (got == xy[want]).all()
