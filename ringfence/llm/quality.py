@@ -115,31 +115,49 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, weight: np.ndarra
     return par[:p], par[p] + np.concatenate([[0], np.cumsum(np.exp(par[p + 1:]))])
 
 
+# parts of the hash space that the fit looks at in turn
+RANGES = 16
+
+
+def _evidence(each, grade: np.ndarray, weight: np.ndarray, least: int):
+    """The features of all documents, ascending, and how clearly the grades of theirs differ from the rest; ``each`` has a document's in order."""
+    edges = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1)
+    cuts = np.array([[0, *np.searchsorted(e, edges), len(e)] for e in each])
+    mean = np.average(grade, weights=weight)
+    spread = np.average((grade - mean) ** 2, weights=weight)
+    names, clear = [], []
+    for k in range(RANGES):
+        doc = np.repeat(np.arange(len(each)), cuts[:, k + 1] - cuts[:, k])
+        found, index = np.unique(np.concatenate([e[a:b] for e, a, b in zip(each, cuts[:, k], cuts[:, k + 1])]), return_inverse=True)
+        df, mass = np.bincount(index), np.bincount(index, weight[doc])
+        own = np.bincount(index, (weight * grade)[doc]) / mass
+        names.append(found)
+        clear.append(np.where(df >= least, np.abs(own - mean) / np.sqrt(spread / df), 0))
+    return np.concatenate(names), np.concatenate(clear)
+
+
 def _fit(grades: int, least: int, clear: float, most: int):
     def fit(batches):
         import pyarrow as pa
 
-        rows = sorted((d, g, n, f) for b in batches for d, g, n, f in zip(*[b.column(c).to_pylist() for c in ("doc_id", "grade", "weight", "features")]))
-        grade, weight = np.array([g for _, g, _, _ in rows], np.int64), np.array([n for _, _, n, _ in rows], float)
+        rows, each = [np.empty((0, 3), np.int64)], []
+        for b in batches:
+            rows.append(np.column_stack([b.column(c).to_numpy() for c in ("doc_id", "grade", "weight")]))
+            each += [np.frombuffer(f.as_buffer(), np.uint64) for f in b.column("features")]
+        rows = np.concatenate(rows)
+        order = np.lexsort(rows.T[::-1])
+        grade, weight = rows[order, 1], rows[order, 2].astype(float)
         feats, w, cuts = np.empty(0, np.uint64), np.empty(0), np.full(grades - 1, -np.inf)
         if len(set(grade.tolist())) > 1:
-            each = [np.frombuffer(f, np.uint64) for _, _, _, f in rows]
-            doc = np.repeat(np.arange(len(rows)), [len(e) for e in each])
-            names, index = np.unique(np.concatenate(each), return_inverse=True)
-            df = np.bincount(index)
-            mass, all_ = np.bincount(index, weight[doc]), np.average(grade, weights=weight)
-            mean = np.bincount(index, (weight * grade)[doc]) / mass
-            rest = np.sqrt(np.average((grade - all_) ** 2, weights=weight) / df)
-            z = np.where(df >= least, np.abs(mean - all_) / rest, 0)
+            each = [each[i] for i in order]
+            names, z = _evidence(each, grade, weight, least)
             keep = np.sort(np.argsort(-z, kind="stable")[:most])
-            keep = keep[z[keep] >= clear]
-            column = np.full(len(names), -1)
-            column[keep] = np.arange(len(keep))
-            x = np.zeros((len(rows), len(keep)), np.float32)
-            hit = column[index] >= 0
-            x[doc[hit], column[index][hit]] = 1
+            feats = names[keep[z[keep] >= clear]]
+            x = np.zeros((len(each), len(feats)), np.float32)
+            for row, e in zip(x, each):
+                row[:] = e[np.minimum(np.searchsorted(e, feats), len(e) - 1)] == feats
+            del names, z, each, row, e
             w, cuts = fit_ordinal(x, grade, grades, weight)
-            feats = names[keep]
         shares = np.array([np.average(grade >= j, weights=weight) if len(grade) and len(feats) else 0.0 for j in range(1, grades)])
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (feats, w, cuts, shares)], [f.split()[0] for f in MODEL.split(", ")])
 

@@ -2,12 +2,15 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import ringfence.llm.quality as quality
 from ringfence.llm.pii import KINDS, Field, base_spans, field_spans, find_pii, fit_field, fit_pii, labelled_words, luhn, uncovered, viterbi, written
 from ringfence.llm.quality import fit_ordinal, fit_quality, grade_of, score_quality, select_quality
 from ringfence.llm.queries import QUERIES, SQL
@@ -38,6 +41,27 @@ def test_held_out_documents(spark):
     assert kept[1, 1][0] <= 0.25 * kept[1, 1][1] and kept[0, 0][0] <= 0.1 * kept[0, 0][1]
 
 
+def test_fit_holds_little_more_than_its_rows():
+    """The features are looked at range by range of their hashes, with the same result as all at once."""
+    draw = np.random.default_rng(6)
+    n, words = 3000, np.unique(draw.integers(0, 2**64, 40_000, dtype=np.uint64))
+    grade = draw.integers(0, 3, n)
+    each = [np.unique(np.concatenate([draw.choice(words[3:], 700), words[:3][draw.random(3) < 0.3 * g]])) for g in grade]
+    table = pa.RecordBatch.from_arrays([pa.array(draw.permutation(n)), pa.array(grade, pa.int32()), pa.array(draw.integers(1, 4, n)), pa.array([e.tobytes() for e in each], pa.binary())],
+                                       ["doc_id", "grade", "weight", "features"])
+    tracemalloc.start()
+    model = next(iter(quality._fit(3, 8, 6.0, 64)(iter([table.slice(0, 1000), table.slice(1000)]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * sum(e.nbytes for e in each)
+    assert np.array_equal(np.frombuffer(model.column(0)[0].as_py(), np.uint64), words[:3])
+    names, z = quality._evidence(each, grade, np.ones(n), 8)
+    index = {w: i for i, w in enumerate(names.tolist())}
+    for w in [*words[:3], *draw.choice(names, 20)]:
+        own = grade[[w in e for e in each]]
+        assert np.isclose(z[index[int(w)]], abs(own.mean() - grade.mean()) / np.sqrt(grade.var() / len(own)) if len(own) >= 8 else 0)
+
+
 def test_quality_awkward(spark):
     docs = corpus.frame(spark, corpus.awkward())
     ratings = spark.createDataFrame([(1, 2), (None, 1), (3, None), (99, 0), (3, 1), (3, 1)], "doc_id long, grade int")
