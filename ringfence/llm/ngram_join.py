@@ -11,8 +11,9 @@ among the first n - o + 1 of each, at places from which o common tokens can stil
 2. Every set is compared with the hubs of its token lists, those that meet most other sets. Most near copies are linked here, so that large groups do not give their square of pairs.
 3. Sets with candidates left under the first order send their prefix under the next one. Pairs from different
    components so far have to pass the filter of every order; then their whole sets are compared.
-4. Before whole sets are sent, pairs are compared by 16 bits of each token, which have at least as many in common. Texts
-   that are not asked for, and copies, are not cut into words again.
+4. Candidates are first compared by the parities of their sets, a bit or two for each token, which differ in no more places
+   than the sets in tokens; those ruled out take no part in the next order. Before whole sets are sent, pairs are compared by
+   16 bits of each token, which have at least as many in common. Texts that are not asked for, and copies, are not cut into words again.
 
 Links inside a component are left out; they change no component. Nothing else is: no list or candidate is capped.
 
@@ -22,6 +23,8 @@ token; repeated rows have equal sets; a null doc_id is never the smallest. Sets
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -36,7 +39,7 @@ LEADERS = 4
 # sets of a token that one task pairs with each other, and pairs looked at in one step
 BLOCK, PAIRS = 1 << 13, 1 << 20
 SEEN = 1 << 20
-SETS = "doc_id long, text_key long, set_key long, n int, chunk int, counts binary"
+SETS = "doc_id long, text_key long, set_key long, n int, parity binary, chunk int, counts binary"
 
 
 def sets_of(column, size: int):
@@ -60,6 +63,30 @@ def set_key(tokens: np.ndarray) -> int:
     return int(one.view(np.int64)[0])
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether an odd number of tokens falls on each of 64 or more places, a power of two from the size of the set on; packed bits."""
+    places = max(64, 1 << (len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1 > 0)
+
+
+def unlike(x: np.ndarray, y: np.ndarray) -> int:
+    """Places where two parities differ: at most as many as tokens that one of the sets has alone."""
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):  # halves of a parity add up to that of half as many places
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts byte by byte of their digits, compressed: most are small."""
+    return zlib.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T), 1)
+
+
+def unpacked(body: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(body), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def _describe(size: int):
     """A row per document, then the task's counts of all its tokens by leading bits."""
     names = [f.split()[0] for f in SETS.split(", ")]
@@ -69,48 +96,53 @@ def _describe(size: int):
 
         counts, held, many = np.zeros(1 << SKETCH_BITS, np.int32), [], 0
         for batch in batches:
-            keys, sizes = [None] * len(batch), [0] * len(batch)
+            keys, sizes, parity = [None] * len(batch), [0] * len(batch), [None] * len(batch)
             for row, tokens in sets_of(batch.column("text"), size):
-                keys[row], sizes[row] = set_key(tokens), len(tokens)
+                keys[row], sizes[row], parity[row] = set_key(tokens), len(tokens), parities(tokens).tobytes()
                 held.append((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                 many += len(tokens)
                 if many > 1 << 19:
                     counts += np.bincount(np.concatenate(held), minlength=len(counts))
                     held, many = [], 0
             none = pa.nulls(len(batch), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), none, pa.nulls(len(batch), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), none, pa.nulls(len(batch), pa.binary())], names)
         if held:
             counts += np.bincount(np.concatenate(held), minlength=len(counts))
         for chunk in range(0, len(counts), CHUNK):
             part = counts[chunk:chunk + CHUNK]
             if part.any():
-                blank = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*blank, pa.array([chunk], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
+                blank = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*blank, pa.array([chunk], pa.int32()), pa.array([packed(part)], pa.binary())], names)
 
     return describe
 
 
-def _added(key, pdf):
-    import pandas as pd
+def _levels(mean: float):
+    def levels(key, pdf):
+        import pandas as pd
 
-    total = sum(np.frombuffer(b, np.int32).astype(np.int64) for b in pdf["counts"])
-    return pd.DataFrame({"chunk": [key[0]], "counts": [total.tobytes()]})
+        counts = sum(unpacked(b).astype(np.int64) for b in pdf["counts"])
+        level = np.floor(np.log2(np.maximum(counts / max(1e-9, 2 * mean), 0.5))) + 1
+        return pd.DataFrame({"chunk": [key[0]], "levels": [np.clip(level, 0, 31).astype(np.uint8).tobytes()]})
+
+    return levels
 
 
 def frequency_levels(sketch: DataFrame) -> np.ndarray:
-    """Per leading bits of a token: 0 up to twice the mean count, then one more for every doubling."""
-    parts = sketch.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(_added, "chunk int, counts binary")
-    counts = np.zeros(1 << SKETCH_BITS)
+    """Per leading bits of a token: 0 up to twice the mean count, then one more for every doubling. A byte each comes to the driver."""
+    many = sketch.filter("chunk is null").agg(F.sum("n")).first()[0] or 0  # every token is counted once for its row
+    parts = sketch.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(_levels(many / (1 << SKETCH_BITS)), "chunk int, levels binary")
+    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for chunk, part in parts.collect():
-        counts[chunk:chunk + CHUNK] = np.frombuffer(bytes(part), np.int64)
-    return np.clip(np.floor(np.log2(np.maximum(counts / max(1e-9, 2 * counts.mean()), 0.5))) + 1, 0, 31).astype(np.uint64)
+        levels[chunk:chunk + CHUNK] = np.frombuffer(bytes(part), np.uint8)
+    return levels
 
 
 def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The first n - ceil(percent/100 n) + 1 tokens under an order, in that order; equal ranks by the token itself."""
     n = len(tokens)
     k = n + (-percent * n // 100) + 1
-    rank = (levels[tokens >> np.uint64(64 - SKETCH_BITS)] << np.uint64(58)) | (mix(tokens, 100 + order) >> np.uint64(6))
+    rank = (levels[tokens >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)) | (mix(tokens, 100 + order) >> np.uint64(6))
     if k < n:
         near = rank <= np.partition(rank, k - 1)[k - 1]
         tokens, rank = tokens[near], rank[near]
@@ -331,10 +363,28 @@ def _similar(percent: int, short: bool):
     return similar
 
 
+def _near(percent: int):
+    def near(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n, parts = [batch.column(f"n_{c}").to_numpy().astype(np.int64) for c in "ab"], [batch.column(f"parity_{c}") for c in "ab"]
+            most = n[0] + n[1] - 2 * -(-percent * (n[0] + n[1]) // (100 + percent))  # tokens that a similar pair does not share
+            differ = [unlike(*(np.frombuffer(p.as_buffer(), np.uint8) for p in pair)) for pair in zip(*parts)]
+            mask = pa.array(np.array(differ, np.int64) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+    return near
+
+
 def own_keys(batch):
     return [batch.column("text_key").to_numpy().view(np.uint64)]
 
 
+def set_keys(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+
+
 class SetJoin:
     """The join of one document table with itself, its scans and filters."""
 
@@ -357,18 +407,28 @@ class SetJoin:
         return cut(dealt.mapInArrow(_shared, LISTS), f"lists-{order}")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of set keys that reach the similarity."""
-        return self.compared(self.compared(cut(pairs, "pairs"), True), False)
+        """The pairs (a, b) of set keys that reach the similarity; ``pairs`` are written out."""
+        return self.compared(self.compared(pairs, True), False)
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that may reach the similarity by the parities of their sets; ``pairs`` are written out."""
+        sets = self.described.filter("chunk is null").select("set_key", "n", "parity").join(set_keys(pairs), "set_key", "left_semi")
+        sets = cut(sets.groupBy("set_key").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "parities")
+        met = self.met(pairs, sets, "n", "parity")
+        return cut(met.mapInArrow(_near(self.percent), "a long, b long"), "possible")
 
     def compared(self, pairs: DataFrame, short: bool) -> DataFrame:
         """The pairs that reach the similarity by their whole sets, or may reach it by the first bits of their tokens."""
         label = "short" if short else "whole"
-        keys = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+        keys = set_keys(pairs)
         sets = self.texts.mapInArrow(_bodies(self.size, self.known(keys), self.bits, short), "set_key long, body binary")
         sets = cut(sets.join(keys, "set_key", "left_semi").groupBy("set_key").agg(F.first("body").alias("body")), f"{label}-sets")
-        one, two = (sets.select(F.col("set_key").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
-        met = pairs.join(two, "b").join(one, "a").select("a", "b", "body_a", "body_b")
-        return cut(met.mapInArrow(_similar(self.percent, short), "a long, b long"), f"{label}-verified")
+        return cut(self.met(pairs, sets, "body").mapInArrow(_similar(self.percent, short), "a long, b long"), f"{label}-verified")
+
+    def met(self, pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+        """The pairs with these columns of either set."""
+        one, two = (sets.select(F.col("set_key").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]) for c in "ab")
+        return pairs.join(two, "b").join(one, "a").select("a", "b", *[f"{x}_{c}" for x in columns for c in "ab"])
 
     def leader_pairs(self, lists: DataFrame) -> DataFrame:
         """Each set with up to ``LEADERS`` of its lists' hubs: the sets that meet most others, among those it may be similar to."""
@@ -419,15 +479,17 @@ class SetJoin:
     def linked(self) -> DataFrame:
         """node, component of every set that is linked with another."""
         first = self.lists(0)
-        links = self.verified(self.leader_pairs(first))
+        links = self.verified(self.possible(cut(self.leader_pairs(first), "pairs")))
         parts = cut(components(links), "parts")
         candidates, survivors = None, None
         for order in range(self.orders):
             lists = first if order == 0 else self.lists(order, self.known(survivors))
             pairs = self.crossing(lists, parts)
-            pairs = pairs if candidates is None else candidates.join(pairs, ["a", "b"], "left_semi")
-            candidates = cut(pairs, f"candidates-{order}")
-            survivors = candidates.select(F.col("a").alias("set_key")).unionByName(candidates.select(F.col("b").alias("set_key"))).distinct()
+            if candidates is None:
+                candidates = self.possible(cut(pairs, "candidates-0"))
+            else:
+                candidates = cut(candidates.join(pairs, ["a", "b"], "left_semi"), f"candidates-{order}")
+            survivors = set_keys(candidates)
         return components(links.unionByName(self.verified(candidates)))
 
 

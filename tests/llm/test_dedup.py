@@ -136,6 +136,49 @@ def test_first_bits_have_as_much_in_common():
             assert ngram_join.alike(*short, 75) or not ngram_join.alike(a, b, 75)
 
 
+def test_parities_differ_in_no_more_places_than_sets():
+    draw = np.random.default_rng(4)
+    for size in (1, 40, 64, 300, 5000):
+        tokens = np.unique(draw.integers(0, 2**64, size, dtype=np.uint64))
+        for share in (0.3, 0.8, 0.95, 1.0):
+            a, b = tokens[draw.random(len(tokens)) <= share], tokens[draw.random(len(tokens)) <= share]
+            if len(a) and len(b):
+                x, y = ngram_join.parities(a), ngram_join.parities(b)
+                assert len(a) <= 8 * len(x) <= max(64, 2 * len(a)) and ngram_join.unlike(x, y) == ngram_join.unlike(y, x) <= len(np.setxor1d(a, b))
+                assert ngram_join.unlike(x, x) == 0
+
+
+def test_packed_counts_come_back_small():
+    counts = np.random.default_rng(5).poisson(0.6, ngram_join.CHUNK).astype(np.int32)
+    counts[[0, 77]] = 2**31 - 1, 70_000
+    body = ngram_join.packed(counts)
+    assert np.array_equal(ngram_join.unpacked(body), counts) and len(body) < counts.nbytes / 8
+
+
+def test_levels_are_a_byte_for_each_count(spark):
+    rows = [(i, " ".join(["again and again it is so"] * 30 + [f"w{i}x{k}" for k in range(40)]), "s") for i in range(60)]
+    join = ngram_join.SetJoin(corpus.frame(spark, rows, False))
+    counts = np.zeros(1 << ngram_join.SKETCH_BITS)
+    import pyarrow as pa
+    for _, tokens in ngram_join.sets_of(pa.array([t for _, t, _ in rows]), 5):
+        np.add.at(counts, tokens >> np.uint64(64 - ngram_join.SKETCH_BITS), 1)
+    want = np.clip(np.floor(np.log2(np.maximum(counts / (2 * counts.mean()), 0.5))) + 1, 0, 31)
+    levels = join.levels.value
+    assert levels.dtype == np.uint8 and np.array_equal(levels, want) and levels.max() > 5
+
+
+def test_pairs_ruled_out_by_parities_are_unlike(spark):
+    """Of all pairs of sets those that may be similar are left, and few others, before the next order and any text is read."""
+    rows = similar_rows(5, 5)
+    join = ngram_join.SetJoin(corpus.frame(spark, rows, False))
+    key = {r.doc_id: r.set_key for r in join.rows.collect()}
+    sets = {key[i]: corpus.shingles(t) for i, t, _ in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    left = {tuple(r) for r in join.possible(ngram_join.cut(spark.createDataFrame(pairs, "a long, b long"))).collect()}
+    like = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert like and like <= left <= set(pairs) and len(left) < len(like) + len(pairs) / 10
+
+
 def test_prefix_meets_under_every_order():
     draw = np.random.default_rng(1)
     levels = draw.integers(0, 5, 1 << ngram_join.SKETCH_BITS).astype(np.uint64)
