@@ -254,3 +254,45 @@ def test_batches_of_a_key_are_let_go(features):
     got, width = _gathered(batches(), features, order, "w")
     want = np.lexsort((tie, np.where(np.isnan(t), -1, t)))
     assert width == 0.7 and (got == xy[want]).all()
+
+
+@pytest.mark.parametrize("chunk_rows", [400, 150])
+def test_trace_is_whole_and_the_same_in_any_chunks(keyed, chunk_rows):
+    """A radius for every row, also of chunks that are passed over, numbered through the key as in one task."""
+    pdf, df = keyed
+    one, many = (
+        objective_trace(fit_steps(df, FEATS, ["k"], "t", sigma=1.3, trace=True, chunk_rows=c, rows_per_bucket=700)[1], ["k"]).toPandas()
+        for c in (100_000, chunk_rows)
+    )
+    one, many = (t.sort_values(["k", "seq"]).reset_index(drop=True) for t in (one, many))
+    assert len(many) == len(pdf) - 3 and list(many.columns) == ["k", "chunk", "seq", "radius"]
+    assert many[["k", "chunk", "seq"]].equals(one[["k", "chunk", "seq"]]) and (many.chunk == 0).all()
+    assert np.allclose(many.radius, one.radius, atol=1e-9)
+
+
+def test_missing_features_give_the_same_steps_in_any_chunks(spark):
+    """A key whose first chunk has no whole row still gets its model; batches and trace count whole rows."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame(rng.normal(size=(900, 2)), columns=["a", "b"])
+    pdf["k"], pdf["t"] = np.where(np.arange(900) < 600, "late", "plain"), np.arange(900)
+    pdf.loc[:119, "a"] = np.nan
+    pdf.loc[650:655, "b"] = np.inf
+    df = spark.createDataFrame(pdf)
+    found = []
+    for chunk_rows in (10_000, 50):
+        models, steps = fit_steps(df, ["a", "b"], ["k"], "t", sigma=1.0, batch_rows=25, trace=True, chunk_rows=chunk_rows)
+        batches = batch_stats(steps, ["k"]).orderBy("k", "batch").collect()
+        trace = objective_trace(steps, ["k"]).orderBy("k", "seq").toPandas()
+        seen = models.orderBy("k").select("k", "seen", "n_sv").collect()
+        found.append((batches, list(trace.k), list(trace.seq), seen, steps.groupBy("k").agg(F.sum("processed")).orderBy("k").collect(), trace.radius))
+    assert found[0][:-1] == found[1][:-1] and np.allclose(found[0][-1], found[1][-1], atol=1e-9)
+    assert [r["seen"] for r in found[0][3]] == [600, 300] and len(found[0][1]) == 479 + 293
+
+
+@pytest.mark.parametrize("odd", [None, [1.0]])
+def test_uneven_vectors_are_an_error_in_any_chunks(spark, odd):
+    rows = [(i, [float(i % 5), 0.0]) for i in range(60)] + [(60, odd)]
+    df = spark.createDataFrame(rows, "t long, v array<double>")
+    for chunk_rows in (1000, 10):
+        with pytest.raises(Exception, match="differ in length or are missing"):
+            fit_one(df, "v", "t", sigma=1.0, chunk_rows=chunk_rows).collect()
