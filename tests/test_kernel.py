@@ -1,5 +1,7 @@
 """Dense checks of the boundary kernel that need no golden data."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -126,3 +128,60 @@ def test_wide_models_travel_without_their_inverse(monkeypatch):
     again = from_fields(to_fields(half))
     again.learn(rows[150:])
     assert np.array_equal(again.sv, whole.sv) and np.allclose(again.alpha, whole.alpha, atol=1e-10) and again.seen == 300
+
+
+@pytest.mark.parametrize("held", [0, 1 << 30])
+def test_strips_are_the_matrix(monkeypatch, held):
+    """Products, rows, sums, changes and closed places, in memory and in a file, over several strips."""
+    monkeypatch.setattr(kernel, "HELD_BYTES", held)
+    rng = np.random.default_rng(2)
+    n, more = 300, 420
+    a = rng.normal(size=(n, n))
+    a = a + a.T
+    s = kernel.Strips(a)
+    assert (s.file is None) == bool(held) and np.array_equal(s.square(n), a) and np.array_equal(s.copy().square(n), a)
+    x, wanted = rng.normal(size=(5, n)), np.array([0, 299, 131])
+    products, rows = s.times(x, wanted)
+    assert np.allclose(products, x @ a) and np.array_equal(rows, a[wanted])
+    assert all(np.array_equal(s.row(j, n), a[j]) for j in (0, 127, 128, 299)) and np.allclose(s.sums(n), a.sum(axis=1))
+    u, d, gone = rng.normal(size=(7, more)), rng.normal(size=7), np.array([3, 129, 400])
+    want = np.zeros((more, more))
+    want[:n, :n] = a
+    want += (u * d[:, None]).T @ u
+    want[gone] = 0.0
+    want[:, gone] = 0.0
+    assert np.allclose(s.add(u, d, gone), want.sum(axis=1)) and np.allclose(s.square(more), want)
+    at = np.delete(np.arange(more), [*gone, *range(140, 290)])
+    s.close(at)
+    assert np.allclose(s.square(len(at)), want[np.ix_(at, at)]) and s.count == 3
+    assert np.allclose(s.add(np.zeros((1, 700)), np.ones(1), gone[:0])[len(at):], 0.0)
+    sv = rng.normal(size=(300, 4))
+    assert np.allclose(kernel.Strips.inverse_of(sv, 0.8).square(300) @ similarity(sv, sv, 0.8), np.eye(300), atol=1e-8)
+
+
+@pytest.mark.parametrize("d,sigma,n", [(3, 0.5, 900), (6, 0.6, 700), (20, 3.0, 600)])
+def test_pass_over_a_file_is_the_plain_pass(monkeypatch, d, sigma, n):
+    rows, plain, filed = np.random.default_rng(d).normal(size=(n, d)), [], []
+    a, counts_a = fit(rows, sigma, trace=plain)
+    for name, value in {"WIDE": 10, "HELD_BYTES": 0, "_LIKELY": 4, "INVERSE_ROWS": 20}.items():
+        monkeypatch.setattr(kernel, name, value)
+    b, counts_b = fit(rows, sigma, trace=filed)
+    assert counts_a == counts_b and counts_a["removed"] > 0 and np.array_equal(a.sv, b.sv)
+    assert b.inverse.file is not None and np.abs(gram(b) @ b.inverse.square(b.size) - np.eye(b.size)).max() < 1e-8
+    assert np.allclose(plain, filed, atol=1e-12) and np.allclose(a.alpha, b.alpha, atol=1e-9)
+    # a model whose inverse lies in a file is copied, travels without it and learns on
+    again = from_fields(to_fields(b.copy()))
+    more = np.random.default_rng(d + 1).normal(size=(100, d))
+    assert a.learn(more) == again.learn(more) and np.array_equal(a.sv, again.sv) and np.allclose(a.alpha, again.alpha, atol=1e-9)
+
+
+def test_memory_does_not_grow_with_the_square_of_the_vectors(monkeypatch):
+    for name, value in {"HELD_BYTES": 0, "INVERSE_ROWS": 100, "_BLOCK_CELLS": 100_000}.items():
+        monkeypatch.setattr(kernel, name, value, raising=False)
+    rows = np.random.default_rng(0).normal(size=(2500, 20))
+    tracemalloc.start()
+    model, _ = fit(rows, 1.0)
+    again = from_fields(to_fields(model))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert again.size > 2300 and peak < 0.6 * 8 * model.size**2
