@@ -379,3 +379,22 @@ def test_key_sets(spark):
     assert analysis.consistent(same, F.col("k")).first()["consistent"] == 1
     odd = same.unionByName(spark.createDataFrame([(["a"],)], "k array<string>"))
     assert analysis.consistent(odd, F.col("k")).first()["consistent"] == 0
+
+
+def test_passes_read_packed_rows(spark, monkeypatch):
+    """A pass over packed rows gives the bits of one over the rows; a fit makes its passes over them."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 3))
+    df = spark.createDataFrame([tuple(r) for r in x.tolist()], "a double, b double, c double").coalesce(1)
+    packed = baselines._packed(df, list("abc"))
+    assert packed.columns == ["_rows"] and packed.agg(F.sum(F.length("_rows"))).first()[0] == 8 * x.size
+    for lift, d in ((baselines._Identity(), 3), (baselines._Fourier(3, 16, 0.5, 1), 16)):
+        w = rng.normal(size=d)
+        edges = np.quantile(lift(x) @ w, [0.1, 0.4])
+        one, many = (baselines._pass(rows, list("abc"), w, edges, lift, True) for rows in (df, packed))
+        assert np.array_equal(one, many) and many[:, d].sum() == 3000
+    assert baselines._pass(baselines._packed(df.limit(0), list("abc")), list("abc"), w, edges, lift)[:, 16].sum() == 0
+    seen, whole = [], baselines._pass
+    monkeypatch.setattr(baselines, "_pass", lambda rows, *a: seen.append(rows.columns) or whole(rows, *a))
+    baselines.fit_linear_svm(df, list("abc"))
+    assert seen and all(c == ["_rows"] for c in seen)
